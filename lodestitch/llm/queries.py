@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..queries.registry import Registry
 from ..session import table
-from . import rank_fusion, splitting
+from . import encodings, leakage, packing, rank_fusion, splitting, tokens
 
 REG = Registry()
 
@@ -61,3 +61,43 @@ def p6_ranking_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_fusion.robust_rank(spark, table(spark, sf_dir, "artifact_scores"), "query_id", "artifact_id", SCORES)
+
+
+#: Tokens a container holds.
+CAPACITY = 4096
+
+
+@REG.add("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.with_token_count(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(spark, sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+@REG.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+@REG.add("p8_passages")
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@REG.add("p8_items")
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p8_passages(spark, sf_dir)
+    return found.groupBy("item_id").agg(
+        F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest")
+    )
+
+
+@REG.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = encodings.damaged_words(spark, table(spark, sf_dir, "documents"))
+    return encodings.damaged_documents(hits).select("doc_id")
+
+
+@REG.add("p9_restored")
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encodings.restored(docs, encodings.damaged_words(spark, docs))
