@@ -23,7 +23,8 @@ AGAIN = ["cp1252", "latin-1", "cp437", "mac_roman", "cp1250", "cp1251"]
 SINGLE = ["cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "cp437", "cp850", "mac_roman"]
 LOST_FROM = ["cp1252", "cp1250", "cp1251"]
 
-#: Evidence a document needs: one hit that is certain by itself, or two different weak ones of one chain.
+#: Evidence a document needs: one hit that is certain by itself, or two different weak ones of one chain, not
+#: both single characters.
 CERTAIN, WEAK = 2, 1
 
 LOST = "�"
@@ -119,8 +120,8 @@ _QUOTED = rf"^[{_EDGE}]*[`'\"(\[<{{][^\x00-\x7F]+[`'\")\]>}}][{_EDGE}]*$"
 
 
 def _words(text: Column) -> Column:
-    """Distinct words (between ASCII blanks) with a non-ASCII character."""
-    return F.array_distinct(F.filter(F.split(text, r"[\x00-\x20]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
+    """Words (between ASCII blanks) with a non-ASCII character."""
+    return F.filter(F.split(text, r"[\x00-\x20]+"), lambda w: w.rlike(r"[^\x00-\x7F]"))
 
 
 def _core(word: Column) -> Column:
@@ -129,14 +130,16 @@ def _core(word: Column) -> Column:
 
 
 def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, word, original, chain, weight): the words of each document that are garbled forms.
+    """(doc_id, word, original, chain, weight, alike): the words of each document that are garbled forms.
 
     ``word`` and ``original`` stand without edge punctuation and with numbers as 0. A hit under a UTF-8 chain is
     certain. Under a chain of single-byte encodings, where sound words can look like garbled ones, the original
     must be the more frequent in the corpus and longer than two characters to be certain. A word with replacement
-    characters within letters or digits is certain, its original known only if one clean word gives that form.
-    UTF-8 damage of words whose sound form is nowhere in the corpus is found by reversing the chain. Words alone
-    in quotes, backticks or brackets are examples of damage and no hits. Null and empty texts have no rows.
+    characters within letters or digits, or repeatedly of them alone, is certain, its original known only if one
+    clean word gives that form. UTF-8 damage of words whose sound form is nowhere in the corpus is found by
+    reversing the chain. Words alone in quotes, backticks or brackets are examples of damage and no hits.
+    ``chain`` and ``original`` are the likeliest; ``alike`` lists all chains that give the word. Null and empty
+    texts have no rows.
     """
     scratch = Scratch(spark, "encodings")
     seen = scratch.keep(
@@ -144,7 +147,7 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
         .select(F.col(doc_id), F.explode(_words(F.col(text))).alias("raw"))
         .select(doc_id, _core(F.col("raw")).alias("word"), F.col("raw").rlike(_QUOTED).alias("quoted"))
         .filter(F.length("word") > 0)
-        .groupBy(doc_id, "word").agg(F.bool_and("quoted").alias("quoted"))
+        .groupBy(doc_id, "word").agg(F.bool_and("quoted").alias("quoted"), F.count(F.lit(1)).alias("times"))
     )
     words = scratch.keep(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_and("quoted").alias("always_quoted")))
     forms = words.filter("NOT always_quoted").select("word", "n").repartition(F.col("word")).mapInPandas(
@@ -155,32 +158,35 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
         .filter(F.col("chain").startswith("utf-8") | (F.col("chain") == "lost") | (F.col("n_original") > F.col("n")))
         .select("garbled", "original", "n_original", "chain", "chain_no")
     )
-    # an original that is itself UTF-8 damage is only a step on the way
-    steps = hits.filter(F.col("chain").startswith("utf-8")).select(F.col("garbled").alias("_step")).distinct()
+    # an original that is itself damaged is only a step on the way
+    steps = hits.filter(F.col("chain") != "lost").select(F.col("garbled").alias("_step")).distinct()
     ranked = hits.join(steps, F.col("original") == F.col("_step"), "left").select(
         "garbled", "original", "chain", F.col("_step").isNotNull().alias("_is_step"), "chain_no", "n_original"
     )
+    likeliest = F.struct(
+        "_is_step", F.col("chain").startswith("utf-8").cast("int") * -1, -F.col("n_original"), "chain_no", "original", "chain"
+    )
     best = ranked.groupBy("garbled").agg(
-        F.min(F.struct("_is_step", F.col("chain").startswith("utf-8").cast("int") * -1, -F.col("n_original"), "chain_no", "original", "chain")).alias("_b"),
-        F.count_distinct("original").alias("_n"),
-    ).select("garbled", "_b.original", "_b.chain", "_n")
+        F.min(likeliest).alias("_b"),
+        F.count_distinct(F.when(~F.col("_is_step"), F.col("original"))).alias("_n"),
+        F.array_sort(F.collect_set("chain")).alias("alike"),  # at most the number of chains
+    ).select("garbled", "_b.original", "_b.chain", "_n", "alike")
     known = best.select(
-        "garbled", F.when((F.col("chain") != "lost") | (F.col("_n") == 1), F.col("original")).alias("original"), "chain"
+        "garbled", F.when((F.col("chain") != "lost") | (F.col("_n") == 1), F.col("original")).alias("original"), "chain", "alike"
     )
     rest = words.join(best, F.col("word") == F.col("garbled"), "left_anti").select("word").mapInPandas(
         _reversed, "garbled string, original string, chain string"
     )
-    table = known.unionByName(rest)
-    letters = F.length(F.regexp_replace("garbled", "[0-9]", ""))
+    table = known.unionByName(rest.withColumn("alike", F.array("chain")))
+    letters = F.length(F.regexp_replace("word", "[0-9]", ""))
     certain = (
         (F.col("chain").startswith("utf-8"))
-        | ((F.col("chain") == "lost") & F.col("garbled").rlike(rf"[\p{{L}}0-9]{LOST}|{LOST}[\p{{L}}0-9]"))
+        | ((F.col("chain") == "lost") & (F.col("word").rlike(rf"[\p{{L}}0-9]{LOST}|{LOST}[\p{{L}}0-9]") | (F.col("times") > 1)))
         | ((F.col("chain") != "lost") & (letters > 2))
     )
     weak = F.when(F.col("chain") == "lost", 0).otherwise(WEAK)
-    table = table.withColumn("weight", F.when(certain, CERTAIN).otherwise(weak))
     return seen.filter("NOT quoted").join(table, F.col("word") == F.col("garbled"), "inner").select(
-        doc_id, "word", "original", "chain", "weight"
+        doc_id, "word", "original", "chain", F.when(certain, CERTAIN).otherwise(weak).alias("weight"), "alike"
     )
 
 
@@ -208,10 +214,11 @@ def _reversed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def damaged_documents(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words) of the documents with enough evidence in ``damaged_words``."""
-    per_chain = hits.groupBy(doc_id, "chain").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
-    return per_chain.groupBy(doc_id).agg(F.max("_w").alias("_w"), F.sum("_n").alias("n_words")).filter(
-        F.col("_w") >= CERTAIN
-    ).select(doc_id, "n_words")
+    per_chain = hits.select(doc_id, "weight", F.length("word").alias("_len"), F.explode("alike").alias("_chain")).groupBy(
+        doc_id, "_chain"
+    ).agg(F.max("weight").alias("_top"), F.sum("weight").alias("_sum"), F.max("_len").alias("_len"), F.count(F.lit(1)).alias("_n"))
+    enough = (F.col("_top") >= CERTAIN) | ((F.col("_sum") >= CERTAIN) & (F.col("_len") > 1))
+    return per_chain.filter(enough).groupBy(doc_id).agg(F.max("_n").alias("n_words"))
 
 
 def restored(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
