@@ -28,14 +28,33 @@ def local_session(cores: int = 8, app: str = "lodestitch") -> SparkSession:
     )
 
 
+_OWN_DIRS: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # already imported from an archive
+        return
+    own = tempfile.mkdtemp(prefix="lodestitch-")
+    _OWN_DIRS.append(own)
+    archive = shutil.make_archive(
+        os.path.join(own, "lodestitch"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One Parquet table of a versioned directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-_OWN_DIRS: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir.
 
