@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..queries.registry import Registry
 from ..session import table
-from . import encodings, leakage, packing, rank_fusion, splitting, tokens
+from . import encodings, leakage, packing, rank_fusion, splitting, syntax, tokens
 
 REG = Registry()
 
@@ -101,3 +101,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return encodings.restored(docs, encodings.damaged_words(spark, docs))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "source_files"))
+
+
+@REG.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).filter(~F.col("valid")).select("file_id")
+
+
+@REG.add("p2_errors")
+def p2_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hinted = syntax.with_hints(_checked(spark, sf_dir), table(spark, sf_dir, "files"), table(spark, sf_dir, "walk_rejections"))
+    return hinted.filter(~F.col("valid") | F.col("logged")).select(
+        "file_id", "language", "valid", "n_errors", "first_line", "first_cause", "logged"
+    )
+
+
+@REG.add("p2_rates")
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(_checked(spark, sf_dir), table(spark, sf_dir, "files"))
