@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..queries.registry import Registry
 from ..session import table
-from . import encodings, leakage, packing, rank_fusion, splitting, syntax, tokens
+from . import encodings, leakage, packing, rank_fusion, similar_vectors, splitting, syntax, tokens
 
 REG = Registry()
 
@@ -123,3 +123,27 @@ def p2_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add("p2_rates")
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(_checked(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
+def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.usable_vectors(table(spark, sf_dir, "semantic_embeddings"), table(spark, sf_dir, "embedding_profiles"))
+
+
+#: A pair counts as found from this cosine on.
+NEAR = 0.9
+
+
+@REG.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors.similar_vectors(spark, _unit(spark, sf_dir), k=10, least=NEAR)
+    return near.select(
+        F.least("vec_id", "other_id").alias("vec_id_a"), F.greatest("vec_id", "other_id").alias("vec_id_b")
+    ).distinct()
+
+
+@REG.add("p5_neighbours")
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # neighbours at a low cosine need many probes; asked about is every id divisible by 50, against all rows
+    return similar_vectors.similar_vectors(
+        spark, _unit(spark, sf_dir), k=10, tables=4, probes=24, asked=F.col("vec_id") % 50 == 0
+    )
