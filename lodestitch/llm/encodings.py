@@ -104,11 +104,9 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for word, n in zip(pdf["word"], pdf["n"]):
             if LOST in word:
                 continue
-            seen = {word}
             for k, chain, name in every:
                 g = garble(word, chain)
-                if g is not None and g not in seen:
-                    seen.add(g)
+                if g is not None and g != word:
                     out.append((g, word, n, name, k))
             out += [(g, word, n, "lost", len(every)) for g in _lost_forms(word)]
         yield pd.DataFrame(out, columns=["garbled", "original", "n_original", "chain", "chain_no"])
