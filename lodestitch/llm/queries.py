@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..queries.registry import Registry
 from ..session import table
-from . import encodings, leakage, packing, rank_fusion, similar_vectors, splitting, syntax, tokens
+from . import encodings, handwritten, leakage, packing, rank_fusion, similar_vectors, splitting, syntax, tokens
 
 REG = Registry()
 
@@ -147,3 +147,13 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.similar_vectors(
         spark, _unit(spark, sf_dir), k=10, tables=4, probes=24, asked=F.col("vec_id") % 50 == 0
     )
+
+
+@REG.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_files(spark, sf_dir).filter("found").select("file_id")
+
+
+@REG.add("p3_files")
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.machine_written(spark, table(spark, sf_dir, "files"), table(spark, sf_dir, "source_files"))
