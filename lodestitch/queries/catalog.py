@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a registry ``REG``.
-MODULES = ["hierarchies"]
+MODULES = ["hierarchies", "scalars"]
 
 
 def registries() -> list:
