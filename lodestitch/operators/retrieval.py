@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from .skew import positions
 
 RRF_K = 60
 
@@ -50,11 +51,13 @@ def keep_first(lists: list[DataFrame], key: str) -> DataFrame:
     return first.select(key, "_f.list_no", "_f.rank")
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column], group_order: list[Column]) -> DataFrame:
-    """Rows with ``depth`` (place in their group) and ``position``: first of each group, then second of each ..."""
+def round_robin(spark: SparkSession, df: DataFrame, key: str, group: str, order: list[Column]) -> DataFrame:
+    """(key, group, depth, position): first of each group, then second of each ..., groups and keys ascending.
+
+    ``depth`` is the place in the group by ``order``; ``key`` is unique.
+    """
     depth = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")
-    placed = df.withColumn("depth", depth)
-    return placed.withColumn("position", F.row_number().over(Window.orderBy("depth", *group_order)).cast("long"))
+    return positions(spark, df.withColumn("depth", depth), ["depth", group, key])
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, partition: str, query: DataFrame, k: int) -> DataFrame:

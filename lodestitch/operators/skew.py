@@ -70,3 +70,13 @@ def ranked(
         offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "inner"
     ).select(group, *names, "n", (F.col("_offset") + F.col("_upto") - F.col("n")).alias("before"), "total")
     return out, scratch
+
+
+def positions(spark: SparkSession, df: DataFrame, columns: list[str], order: list[Column] | None = None) -> DataFrame:
+    """(columns, position) of rows that ``columns`` identify, numbered from 1 over the whole table.
+
+    A global row number without gathering the table in one task, as a window without partitions would.
+    """
+    keyed = df.select(F.lit(0).alias("_all"), *columns)
+    at, _ = ranked(spark, keyed, "_all", order or [F.col(x) for x in columns], columns, "positions")
+    return at.select(*columns, (F.col("before") + 1).cast("long").alias("position"))
