@@ -60,7 +60,8 @@ _TOKEN = re.compile(
     r"|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\s\w]"
 )
 _CONFLICT = re.compile(r"^(?:<{7} .*\n(?s:.*?)^>{7}.*\n?)", re.M)
-_SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d+")
+_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
+_NUMBERS = re.compile(r"\d+")
 _WORD = re.compile(r"\w+")
 
 
@@ -107,7 +108,7 @@ def features(text: str) -> list[float]:
     data = code.encode("utf-8", "surrogatepass")
     entropy = -sum(n / n_tokens * math.log2(n / n_tokens) for n in plain.values()) if n_tokens else 0.0
     lines = [x for x in code.split("\n") if x.strip()]
-    shapes = {_SHAPE.sub(lambda m: "0" if m[0][0].isdigit() else "a", x.strip()) for x in lines}
+    shapes = set(map(str.strip, _NUMBERS.sub("0", _NAMES.sub("a", code)).split("\n"))) - {""}
     size = max(len(code), 1)
     return [
         len(zlib.compress(data, 6)) / max(len(data), 1), entropy, sum(a * n for a, n in words) / max(n_words, 1),
@@ -152,7 +153,8 @@ def shingles(text: str) -> np.ndarray:
     words = _WORD.findall(text)
     if len(words) < SHINGLE:
         return np.zeros(0, dtype=np.uint64)
-    ids = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    own = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+    ids = np.fromiter(map(own.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(ids) - SHINGLE + 1
     h = np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE):
@@ -160,11 +162,19 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(h)
 
 
+#: Odd multipliers of the min-hash functions.
+_FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1000) | np.uint64(1)
+#: Shingles hashed at once, so that a long text needs little memory.
+_PART = 4096
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """One number per band of min-hashes; equal numbers make a pair of files a candidate."""
     if not len(hashes):
         return []
-    least = np.array([_mix(hashes, 1000 + k).min() for k in range(BANDS * ROWS)], dtype=np.uint64).reshape(BANDS, ROWS)
+    with np.errstate(over="ignore"):
+        parts = [(hashes[None, lo : lo + _PART] * _FACTORS[:, None]).min(axis=1) for lo in range(0, len(hashes), _PART)]
+    least = np.minimum.reduce(parts).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         out = _mix(out ^ least[:, k], 7 + k)
