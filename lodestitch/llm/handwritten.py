@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import Scratch
 
 #: Names of the features, in order.
@@ -28,7 +29,7 @@ FEATURES = [
     "compression_ratio", "token_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length",
     "longest_line", "blank_share", "literal_share", "line_shapes", "distinct_identifiers", "size", "word_share",
 ]
-#: At most so many labelled rows are learnt from: those with the least digests.
+#: At most so many labelled rows are learnt from: those whose ids hash lowest.
 SAMPLE = 20_000
 #: Votes of the forest from which a file counts as machine-written, and from which a text without a notice is taken
 #: out of the negatives before the next fit: most machine-written files bear no notice, so few votes are a doubt.
@@ -184,12 +185,12 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for digest, third, content in zip(pdf["digest"], pdf["third"], pdf["content"]):
+        for rep, third, content in zip(pdf["rep"], pdf["third"], pdf["content"]):
             text = content or ""
             found = None if third else notice(text)
             data = not third and is_data(text)
-            out.append((digest, third, found, data, None if third else features(text), bands(shingles(text))))
-        yield pd.DataFrame(out, columns=["digest", "third", "notice", "is_data", "features", "bands"])
+            out.append((rep, third, found, data, None if third else features(text), bands(shingles(text))))
+        yield pd.DataFrame(out, columns=["rep", "third", "notice", "is_data", "features", "bands"])
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +200,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = shingles(own), shingles(original)
             common = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(common >= ALIKE * min(len(a), len(b)) and common >= 0.4 * max(len(a), len(b)))
-        yield pdf.loc[keep, ["digest"]]
+        yield pdf.loc[keep, ["rep"]]
 
 
 def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -215,61 +216,65 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     """
     scratch = Scratch(spark, "handwritten")
     third = F.lower(F.trim(F.coalesce(F.col("origin"), F.lit("repository")))) == "dependency"
-    texts = scratch.keep(
-        files.select(F.col("id").alias("file_id"), third.alias("third"))
-        .join(sources.select("file_id", "content"), "file_id", "inner")
-        .withColumn("digest", F.sha2(F.coalesce("content", F.lit("")), 256))
+    read = sources.select(F.col("file_id").alias("_sid"), "content")
+    hashed = scratch.keep(
+        files.select(F.col("id").alias("file_id"), third.alias("third")).join(read, F.col("file_id") == F.col("_sid"), "inner")
+        .select(
+            "file_id", "third", F.sha2(F.concat(F.col("third").cast("string"), F.coalesce("content", F.lit(""))), 256).alias("digest"),
+            F.coalesce(F.length("content"), F.lit(0)).alias("size"),
+        )
     )
-    distinct = texts.groupBy("digest", "third").agg(F.max("content").alias("content"))
+    # of equal texts the file of the least id stands for all; only its text is read again
+    reps = scratch.keep(hashed.groupBy("digest", "third").agg(F.min("file_id").alias("rep")))
+    texts = read.join(reps.select("rep", "third"), F.col("_sid") == F.col("rep"), "inner").select("rep", "third", "content")
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     described = scratch.keep(
-        distinct.repartition(spread, "digest").mapInPandas(
-            _described,
-            "digest string, third boolean, notice string, is_data boolean, features array<double>, bands array<long>",
+        texts.dropDuplicates(["rep"]).repartition(spread, "rep").mapInPandas(
+            _described, "rep long, third boolean, notice string, is_data boolean, features array<double>, bands array<long>"
         )
     )
-    copies = _copies(scratch, texts, described)
-    own = described.filter("NOT third").join(copies.withColumn("is_copy", F.lit(True)), "digest", "left").select(
-        "digest", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
+    copies = _copies(scratch, read, described)
+    own = described.filter("NOT third").join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
+        "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
     judged = _judged(scratch.keep(own))
-    return texts.filter("NOT third").select("file_id", "digest", F.length("content").alias("_len")).join(judged, "digest", "inner").select(
-        "file_id", F.round("probability", 6).alias("probability"), "is_copy", "is_data",
-        (((F.col("probability") >= THRESHOLD) | F.col("is_copy") | F.col("is_data")) & (F.coalesce("_len", F.lit(0)) > 0)).alias("found"),
+    found = (F.col("probability") >= THRESHOLD) | F.col("is_copy") | F.col("is_data")
+    known = reps.select(F.col("digest").alias("_digest"), "rep").join(judged, "rep", "inner")
+    return lookup_join(hashed.filter("NOT third"), known, "digest", "_digest").select(
+        "file_id", F.round("probability", 6).alias("probability"), "is_copy", "is_data", (found & (F.col("size") > 0)).alias("found")
     )
 
 
-def _copies(scratch: Scratch, texts: DataFrame, described: DataFrame) -> DataFrame:
-    """Digests of own texts that are copies of a dependency's file.
+def _copies(scratch: Scratch, read: DataFrame, described: DataFrame) -> DataFrame:
+    """(rep): own texts that are copies of a dependency's file.
 
     Both sides are distinct texts, so copies of one text meet once; candidates share a min-hash band, and are
     compared by all their shingles.
     """
-    keyed = described.select("digest", "third", F.explode("bands").alias("band"))
-    original = keyed.filter("third").select(F.col("digest").alias("third_digest"), F.col("band").alias("_b"))
+    keyed = described.select("rep", "third", F.explode("bands").alias("band"))
+    original = keyed.filter("third").select(F.col("rep").alias("third_rep"), F.col("band").alias("_b"))
     pairs = scratch.keep(
-        keyed.filter("NOT third").join(original, F.col("band") == F.col("_b"), "inner").select("digest", "third_digest").distinct()
+        keyed.filter("NOT third").join(original, F.col("band") == F.col("_b"), "inner").select("rep", "third_rep").distinct()
     )
-    own_text = texts.filter("NOT third").groupBy("digest").agg(F.max("content").alias("own_text"))
-    third_text = texts.filter("third").groupBy(F.col("digest").alias("_t")).agg(F.max("content").alias("third_text"))
-    with_texts = pairs.join(own_text, "digest", "inner").join(third_text, F.col("third_digest") == F.col("_t"), "inner")
+    own_text = read.select(F.col("_sid").alias("rep"), F.col("content").alias("own_text"))
+    third_text = read.select(F.col("_sid").alias("third_rep"), F.col("content").alias("third_text"))
     return scratch.keep(
-        with_texts.select("digest", "own_text", "third_text").mapInPandas(_compared, "digest string").distinct()
+        pairs.join(own_text, "rep", "inner").join(third_text, "third_rep", "inner").mapInPandas(_compared, "rep long").distinct()
     )
 
 
 def _judged(own: DataFrame) -> DataFrame:
-    """(digest, is_copy, is_data, probability)."""
+    """(rep, is_copy, is_data, probability)."""
     label = (
         F.when(F.col("is_copy"), None).when((F.col("notice") == "generated") | (F.col("notice") == "banner") | F.col("is_data"), 1.0)
         .otherwise(0.0)
     )
     rows = own.withColumn("label", label).withColumn("vector", array_to_vector("features"))
-    sample = rows.filter(F.col("label").isNotNull()).orderBy("digest").limit(SAMPLE).select("digest", "label", "vector")
-    sample = sample.repartition(1).sortWithinPartitions("digest").cache()
+    sample = rows.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "label", "vector")
+    sample = sample.repartition(1).sortWithinPartitions("rep").cache()
     per_label = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(per_label) < 2:
-        return rows.select("digest", "is_copy", "is_data", F.lit(0.0).alias("probability"))
+        return rows.select("rep", "is_copy", "is_data", F.lit(0.0).alias("probability"))
     forest = RandomForestClassifier(
         featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2,
         featureSubsetStrategy="sqrt",
@@ -278,8 +283,8 @@ def _judged(own: DataFrame) -> DataFrame:
     chosen = sample
     for _ in range(CLEANINGS):
         votes = forest.fit(chosen).transform(sample).withColumn("_p", chance)
-        surer = votes.filter((F.col("label") == 1.0) | (F.col("_p") < DOUBT)).select("digest", "label", "vector")
-        chosen = surer.repartition(1).sortWithinPartitions("digest").cache()
+        surer = votes.filter((F.col("label") == 1.0) | (F.col("_p") < DOUBT)).select("rep", "label", "vector")
+        chosen = surer.repartition(1).sortWithinPartitions("rep").cache()
     model = forest.fit(chosen)
     sample.unpersist()
-    return model.transform(rows).select("digest", "is_copy", "is_data", chance.alias("probability"))
+    return model.transform(rows).select("rep", "is_copy", "is_data", chance.alias("probability"))
