@@ -65,7 +65,7 @@ _JSX_STRING = re.compile(r"\"[^\"]*\"|'[^']*'").match
 class Parser(Lexer):
     """Parses one source; ``errors`` holds (offset, message) of everything that is wrong."""
 
-    __slots__ = ("ts", "jsx", "goal", "errors", "trying", "depth", "in_function", "in_async", "in_generator", "no_in", "cover", "loops", "no_cond_types", "strict")
+    __slots__ = ("ts", "jsx", "goal", "errors", "trying", "depth", "in_function", "in_async", "in_generator", "no_in", "cover", "loops", "no_cond_types", "strict", "ambient")
 
     def __init__(self, src: str, dialect: Dialect):
         super().__init__(src)
@@ -81,6 +81,7 @@ class Parser(Lexer):
         self.loops = 0
         self.no_cond_types = False
         self.strict = self.goal == "module"
+        self.ambient = False  # inside declare, where nothing is initialised
 
     # --- driver and panic mode -------------------------------------------------------------------------------
 
@@ -293,7 +294,7 @@ class Parser(Lexer):
             if self.text == "=" and self.kind == PUNCT:
                 self.next()
                 self.assignment()
-            elif not in_for and not ambient and (pattern or word == "const"):
+            elif not in_for and not ambient and not self.ambient and (pattern or word == "const"):
                 self.fail("missing initialiser")
             if self.text != "," or self.kind != PUNCT:
                 return
@@ -940,7 +941,11 @@ class Parser(Lexer):
             self.variable_list(word=word, ambient=True)
             self.semicolon()
         else:
-            self.statement(True)
+            outer, self.ambient = self.ambient, True
+            try:
+                self.statement(True)
+            finally:
+                self.ambient = outer
         return True
 
     def _abstract(self, declaration: bool) -> bool:
