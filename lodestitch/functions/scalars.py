@@ -200,3 +200,13 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a) * dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
+
+
+def set_digest(*columns: Column) -> Column:
+    """Aggregate: digest of a set of rows that does not depend on their order.
+
+    The sum of 48-bit prefixes of the rows' digests, and the count, both exact, so partial aggregation works and no
+    group is gathered.
+    """
+    row = F.conv(F.substring(F.sha2(F.concat_ws("\0", *columns), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(row).cast("string")), 256)

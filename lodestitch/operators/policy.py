@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import repository_area
+from ..functions.scalars import repository_area, set_digest
+from .skew import ranked
 
 
 def scopes(files: DataFrame) -> DataFrame:
@@ -23,14 +24,17 @@ def subdivided(files: DataFrame, scope: str) -> DataFrame:
     return inside.groupBy(child.alias("child")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def evidence_fingerprint(files: DataFrame, members: int = 8) -> DataFrame:
-    """(repo, fingerprint): digest of all paths and of the hashes of members evenly spread over them."""
-    listed = F.array_sort(F.collect_list(F.struct("path", "hash")))
-    per = files.groupBy("repo").agg(listed.alias("l"), F.count(F.lit(1)).alias("n"))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (members - 1)).cast("int")))
-    hashes = F.transform(places, lambda p: F.element_at("l", p + 1)["hash"])
-    paths = F.transform("l", lambda x: x["path"])
-    return per.select("repo", F.sha2(F.concat(F.array_join(paths, "\n"), F.lit("\0"), F.array_join(hashes, "\n")), 256).alias("fingerprint"))
+def evidence_fingerprint(spark: SparkSession, files: DataFrame, members: int = 8) -> DataFrame:
+    """(repo, fingerprint): digest of all paths and of the hashes of members evenly spread over them.
+
+    Places come from a distributed rank and only the few members of a repository are gathered.
+    """
+    at, _ = ranked(spark, files.select("repo", "path", "hash"), "repo", [F.col("path"), F.col("hash")], ["path", "hash"])
+    picks = F.transform(F.sequence(F.lit(0), F.lit(members - 1)), lambda i: F.floor(i * (F.col("total") - 1) / (members - 1)))
+    chosen = at.filter(F.exists(picks, lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n"))))
+    few = chosen.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", "hash"))), lambda x: x["hash"]), ",").alias("_few"))
+    every = files.groupBy("repo").agg(set_digest(F.col("path")).alias("_all"))
+    return every.join(few, "repo").select("repo", F.sha2(F.concat_ws(":", "_all", "_few"), 256).alias("fingerprint"))
 
 
 def reconciled(classifications: DataFrame) -> DataFrame:

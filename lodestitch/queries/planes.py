@@ -116,9 +116,10 @@ put("p_scopes", f"SELECT scope, count(*) AS n_files, count(DISTINCT role) AS n_r
     lambda s, d: P.scopes(table(s, d, "files")))
 put("p_subdivision", "SELECT CASE WHEN contains(r, '/') THEN string_split(r, '/')[1] ELSE '.' END AS child, count(*) AS n_files FROM (SELECT substr(path, length('packages/core/') + 1) AS r FROM files WHERE path LIKE 'packages/core/%') GROUP BY 1",
     lambda s, d: P.subdivided(table(s, d, "files"), "packages/core"))
-put("p_evidence_fingerprint", """WITH l AS (SELECT repo, list(path ORDER BY path) AS ps, list(hash ORDER BY path) AS hs, count(*) AS n FROM files GROUP BY 1)
-SELECT repo, sha256(array_to_string(ps, chr(10)) || chr(0) || array_to_string(list_transform(list_sort(list_distinct(list_transform(range(8), lambda i: i * (n - 1) // 7))), lambda p: hs[p + 1]), chr(10))) AS fingerprint FROM l""",
-    lambda s, d: P.evidence_fingerprint(table(s, d, "files")))
+put("p_evidence_fingerprint", """WITH l AS (SELECT repo, path, hash, row_number() OVER (PARTITION BY repo ORDER BY path, hash) - 1 AS i, count(*) OVER (PARTITION BY repo) AS n FROM files),
+m AS (SELECT *, i IN (SELECT k * (n - 1) // 7 FROM range(8) t(k)) AS member FROM l)
+SELECT repo, sha256(sha256(count(*) || ':' || sum(('0x' || substr(sha256(path), 1, 12))::BIGINT)::VARCHAR) || ':' || string_agg(CASE WHEN member THEN hash END, ',' ORDER BY i)) AS fingerprint FROM m GROUP BY 1""",
+    lambda s, d: P.evidence_fingerprint(s, table(s, d, "files")))
 put("p_policy_reconcile", """WITH k AS (SELECT id, regexp_replace(path, '/[^/]+$', '') AS subject, role, CASE WHEN role IN ('test', 'fixture') THEN 'certain' ELSE 'possible' END AS confidence FROM files WHERE role IS NOT NULL),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id DESC) AS rn FROM k) WHERE rn = 1)
 SELECT subject, id, role, confidence FROM n WHERE NOT EXISTS (SELECT 1 FROM n u WHERE u.confidence = 'certain' AND starts_with(n.subject, u.subject || '/'))""",
@@ -253,5 +254,5 @@ put("l9_refresh_plan", f"WITH {_VERSIONS} SELECT coalesce(n.id, o.id) AS id, CAS
     lambda s, d: (lambda v: L.refresh_plan(v[0], v[1], "id", "digest"))(versions(s, d)))
 put("l9_refreshed_equals_rebuild", f"WITH {_VERSIONS} SELECT id, length(digest) AS size FROM n",
     lambda s, d: (lambda o, n: L.refreshed(o.select("id", F.length("digest").cast("long").alias("size")), L.refresh_plan(o, n, "id", "digest"), "id", n.select("id", F.length("digest").cast("long").alias("size"))))(*versions(s, d)))
-put("l10_no_op_digest", "SELECT sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path)) AS snapshot, count(*) AS n FROM files",
-    lambda s, d: table(s, d, "files").agg(F.array_sort(F.collect_list(F.concat("path", F.lit(":"), "hash"))).alias("l"), F.count(F.lit(1)).alias("n")).select(F.sha2(F.array_join("l", "\n"), 256).alias("snapshot"), "n"))
+put("l10_no_op_digest", "SELECT sha256(count(*) || ':' || sum(('0x' || substr(sha256(path || chr(0) || hash), 1, 12))::BIGINT)::VARCHAR) AS snapshot, count(*) AS n FROM files",
+    lambda s, d: table(s, d, "files").agg(X.set_digest(c("path"), c("hash")).alias("snapshot"), F.count(F.lit(1)).alias("n")))

@@ -134,8 +134,8 @@ put("a15_set_collection", "SELECT repo, array_to_string(list_sort(list(DISTINCT
     lambda s, d: table(s, d, "walk_rejections").groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("stages")))
 put("a18_path_floors", "SELECT id, least(CASE confidence WHEN 'certain' THEN 1.0 WHEN 'likely' THEN 0.6 ELSE 0.3 END, coalesce(support_count, 0) / 20.0)::DOUBLE AS floor FROM (SELECT DISTINCT id, confidence, support_count FROM artifact_views)",
     lambda s, d: table(s, d, "artifact_views").select("id", "confidence", "support_count").distinct().select("id", F.least(X.confidence_weight(c("confidence")), F.coalesce("support_count", F.lit(0)) / 20.0).alias("floor")))
-put("a19_relation_digest", "SELECT repo, sha256(string_agg(path || chr(0) || hash, chr(10) ORDER BY path)) AS digest FROM files GROUP BY 1",
-    lambda s, d: table(s, d, "files").groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("\0"), x["hash"])), "\n").alias("j")).select("repo", F.sha2("j", 256).alias("digest")))
+put("a19_relation_digest", "SELECT repo, sha256(count(*) || ':' || sum(('0x' || substr(sha256(path || chr(0) || hash), 1, 12))::BIGINT)::VARCHAR) AS digest FROM files GROUP BY 1",
+    lambda s, d: table(s, d, "files").groupBy("repo").agg(X.set_digest(c("path"), c("hash")).alias("digest")))
 put("a21_counts_by_decision", "SELECT lower(trim(stage)) AS stage, count(*) AS n FROM walk_rejections GROUP BY 1", lambda s, d: table(s, d, "walk_rejections").groupBy(F.lower(F.trim("stage")).alias("stage")).agg(F.count(F.lit(1)).alias("n")))
 put("a22_role_counts_per_scope", f"SELECT {AREA_SQL} AS area, coalesce(lower(role), 'none') AS role, count(*) AS n FROM files GROUP BY ALL",
     lambda s, d: table(s, d, "files").groupBy(X.repository_area(c("path")).alias("area"), F.coalesce(F.lower("role"), F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n")))
