@@ -56,9 +56,9 @@ BANNER = re.compile(r"/\*!")
 _HEAD = re.compile(r"(?:\s+|#![^\n]*|['\"]use strict['\"];?|//[^\n]*|/\*(?s:.*?)\*/)*+")
 _COMMENT = re.compile(r"//[^\n]*|/\*(?s:.*?)\*/")
 _TOKEN = re.compile(
-    r"//[^\n]*|/\*(?s:.*?)\*/|'(?:[^'\\\n]++|\\(?s:.))*+'|\"(?:[^\"\\\n]++|\\(?s:.))*+\"|`(?:[^`\\]++|\\(?s:.))*+`"
-    r"|(?<=[(,=:!&|?;\[{])\s*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*"
-    r"|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\s\w]"
+    r"[^\W\d][\w$]*+|[^\s\w'\"`/$]|\d[\w.]*+|'(?:[^'\\\n]++|\\(?s:.))*+'|\"(?:[^\"\\\n]++|\\(?s:.))*+\"|`(?:[^`\\]++|\\(?s:.))*+`"
+    r"|//[^\n]*+|/\*(?s:.*?)\*/|(?:(?<=[(,=:!&|?;\[{])|(?<=[(,=:!&|?;\[{] ))/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*"
+    r"|\$[\w$]*|[^\s\w]"
 )
 _CONFLICT = re.compile(r"^(?:<{7} .*\n(?s:.*?)^>{7}.*\n?)", re.M)
 _NAMES = re.compile(r"[A-Za-z_$][\w$]*")
@@ -150,21 +150,23 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of all runs of SHINGLE words."""
+    """Hashes of all runs of SHINGLE words, repeated ones included."""
     words = _WORD.findall(text)
     if len(words) < SHINGLE:
         return np.zeros(0, dtype=np.uint64)
     own = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)}
     ids = np.fromiter(map(own.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(ids) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        h = _mix(h ^ ids[k : k + n], k + 1)
-    return np.unique(h)
+    h = ids[:n].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, SHINGLE):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += ids[k : k + n]
+    return _mix(h, 1)
 
 
 #: Odd multipliers of the min-hash functions.
-_FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1000) | np.uint64(1)
+_FACTORS = (_mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1000) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Shingles hashed at once, so that a long text needs little memory.
 _PART = 4096
 
@@ -173,9 +175,10 @@ def bands(hashes: np.ndarray) -> list[int]:
     """One number per band of min-hashes; equal numbers make a pair of files a candidate."""
     if not len(hashes):
         return []
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        parts = [(hashes[None, lo : lo + _PART] * _FACTORS[:, None]).min(axis=1) for lo in range(0, len(hashes), _PART)]
-    least = np.minimum.reduce(parts).reshape(BANDS, ROWS)
+        parts = [(low[None, lo : lo + _PART] * _FACTORS[:, None]).min(axis=1) for lo in range(0, len(low), _PART)]
+    least = np.minimum.reduce(parts).astype(np.uint64).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         out = _mix(out ^ least[:, k], 7 + k)
@@ -197,7 +200,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = []
         for own, original in zip(pdf["own_text"], pdf["third_text"]):
-            a, b = shingles(own), shingles(original)
+            a, b = np.unique(shingles(own)), np.unique(shingles(original))
             common = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(common >= ALIKE * min(len(a), len(b)) and common >= 0.4 * max(len(a), len(b)))
         yield pdf.loc[keep, ["rep"]]
