@@ -167,6 +167,8 @@ def shingles(text: str) -> np.ndarray:
 
 #: Odd multipliers of the min-hash functions.
 _FACTORS = (_mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1000) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Odd multipliers that join the rows of a band.
+_ROW_FACTORS = _mix(np.arange(1, ROWS + 1, dtype=np.uint64), 2000) | np.uint64(1)
 #: Shingles hashed at once, so that a long text needs little memory.
 _PART = 4096
 
@@ -179,10 +181,9 @@ def bands(hashes: np.ndarray) -> list[int]:
     with np.errstate(over="ignore"):
         parts = [(low[None, lo : lo + _PART] * _FACTORS[:, None]).min(axis=1) for lo in range(0, len(low), _PART)]
     least = np.minimum.reduce(parts).astype(np.uint64).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = _mix(out ^ least[:, k], 7 + k)
-    return out.astype(np.int64).tolist()
+    with np.errstate(over="ignore"):
+        joined = (least * _ROW_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)
+    return _mix(joined, 7).astype(np.int64).tolist()
 
 
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -38,7 +38,7 @@ def sites(s: SparkSession, d: str) -> DataFrame:
 put("s10_entity_sites", f"WITH {SITE} SELECT * FROM site", sites)
 put("g6_entities", f"WITH {SITE} SELECT plane, entity_type, name, count(DISTINCT file_id) AS n_files, sum(n)::BIGINT AS n_occurrences FROM site GROUP BY ALL",
     lambda s, d: N.entities(sites(s, d)).drop("entity_key"))
-put("g7_g9_entity_edges", f"""WITH {SITE}, e AS (SELECT DISTINCT f.path, entity_type, name, kind, plane, role IN ({', '.join(map(_q, N.CONSUMERS))}) AS takes FROM site JOIN files f ON f.id = site.file_id)
+put("g7_g9_entity_edges", f"""WITH {SITE}, e AS (SELECT DISTINCT f.path, entity_type, name, kind, plane, site.role IN ({', '.join(map(_q, N.CONSUMERS))}) AS takes FROM site JOIN files f ON f.id = site.file_id)
 SELECT kind, CASE WHEN plane = 'contract' THEN 'certain' ELSE 'likely' END AS confidence, takes AS from_entity, count(*) AS n FROM e GROUP BY ALL""",
     lambda s, d: N.entity_edges(sites(s, d), table(s, d, "files")).groupBy("kind", "confidence", c("src_key").startswith("entity:").alias("from_entity")).agg(F.count(F.lit(1)).alias("n")))
 put("q4_entity_crossings", f"""WITH {SITE}, per AS (SELECT DISTINCT entity_type, name, plane, role, file_id FROM site WHERE plane <> 'contract'),

@@ -10,7 +10,7 @@ from ..operators import evidence as E
 from ..operators import graph_build as G
 from ..operators import graph_query as Q
 from ..operators import intervals as I
-from ..session import table
+from ..session import Scratch, table
 from .registry import Registry
 
 REG = Registry()
@@ -71,12 +71,14 @@ def symbols(s: SparkSession, d: str) -> DataFrame:
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
+    """All edges, written once, as queries read them from several sides."""
     chunks, files, sources = table(s, d, "chunks"), table(s, d, "files"), table(s, d, "source_files")
     sym, imp = symbols(s, d), E.imports(sources)
-    return (
+    every = (
         G.contains_edges(sym).unionByName(G.module_edges(files, imp)).unionByName(G.reference_edges(sym, E.references(chunks), imp))
         .unionByName(G.member_edges(sym, E.member_calls(chunks)))
     )
+    return Scratch(s, "edges").keep(every)
 
 
 def anchor(degree: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python workers can import it."""
+    """Send this package to the executors, once per application, so that Python workers can import it.
+
+    The archive is written to the shared folder, not to a folder of this machine.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -41,12 +46,20 @@ def ship(spark: SparkSession) -> None:
     package = os.path.dirname(os.path.abspath(__file__))
     if not os.path.isdir(package):  # already imported from an archive
         return
-    own = tempfile.mkdtemp(prefix="lodestitch-")
-    _OWN_DIRS.append(own)
-    archive = shutil.make_archive(
-        os.path.join(own, "lodestitch"), "zip", os.path.dirname(package), os.path.basename(package)
-    )
-    sc.addPyFile(archive)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    target = f"{shared_dir(spark).rstrip('/')}/lodestitch-{uuid.uuid4().hex}.zip"
+    at = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    Scratch._live.add(target)
+    sc.addPyFile(target)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -118,7 +131,9 @@ def _drop_live() -> None:
     spark = SparkSession.getActiveSession()
     for path in list(Scratch._live):
         plain = path.removeprefix("file://")
-        if os.path.isabs(plain):
+        if os.path.isfile(plain):
+            os.remove(plain)
+        elif os.path.isabs(plain):
             shutil.rmtree(plain, ignore_errors=True)
         elif spark is not None:
             try:
