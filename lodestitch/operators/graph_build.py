@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A call that matches more symbols than this goes through a hub node instead of an edge to each.
-MOST_CANDIDATES = 3
-
 
 def nodes(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(node_key, node_kind, display_name, file_id) of files, symbols and imported packages."""
@@ -40,7 +37,7 @@ def module_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def reference_edges(symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
     """Calls from symbols: to a symbol of that name in the same file (certain), else to the package an import
-    names (likely), else to every symbol of that name, if at most MOST_CANDIDATES (possible)."""
+    names (likely), else to every symbol of that name, however many bear it (possible)."""
     caller = symbols.select(F.col("symbol_id").alias("chunk_id"), F.col("node_key").alias("src"))
     calls = refs.join(caller, "chunk_id").select("src", "file_id", "target_name").distinct()
     target = symbols.select(F.col("file_id").alias("_f"), F.col("name").alias("_n"), F.col("node_key").alias("dst"))
@@ -49,9 +46,7 @@ def reference_edges(symbols: DataFrame, refs: DataFrame, imports: DataFrame) ->
     named = imports.select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), "package")
     imported = rest.join(named, (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in")))
     free = rest.join(named.select("_if", "_in").distinct(), (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in")), "left_anti")
-    known = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") <= MOST_CANDIDATES).select(F.col("name").alias("_n"))
-    candidates = target.select("_n", "dst").join(known, "_n", "left_semi")
-    possible = free.join(candidates, F.col("target_name") == F.col("_n"))
+    possible = free.join(target.select("_n", "dst"), F.col("target_name") == F.col("_n"))
     return reduce(DataFrame.unionByName, [
         local.select(*_edge(F.col("src"), F.col("dst"), "call", "certain")),
         imported.filter("package IS NOT NULL").select(*_edge(F.col("src"), F.concat(F.lit("pkg:"), "package"), "call", "likely")),

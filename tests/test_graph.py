@@ -1,5 +1,6 @@
 """Graph queries on small graphs with known answers."""
 
+from lodestitch.operators import graph_build as G
 from lodestitch.operators import graph_query as Q
 
 EDGES = [
@@ -58,3 +59,14 @@ def test_export_chains(spark):
     e = spark.createDataFrame(rows, "file_id long, export_name string, local_name string, from_file long, from_name string")
     got = {(r.file_id, r.export_name): (r.def_file, r.def_name, r.hops) for r in Q.export_chains(spark, e).collect()}
     assert got == {(1, "f"): (2, "gImpl", 1), (2, "g"): (2, "gImpl", 0), (3, "g"): (2, "gImpl", 1), (4, "g"): (4, "other", 0), (7, "h"): (4, "qImpl", 2), (4, "q"): (4, "qImpl", 0)}
+
+
+def test_ambiguous_calls_keep_every_candidate(spark):
+    symbols = spark.createDataFrame(
+        [(0, 0, "f0.js", "main", "sym:main")] + [(k, k, f"f{k}.js", "load", f"sym:load{k}") for k in range(1, 7)],
+        "symbol_id long, file_id long, path string, name string, node_key string",
+    )
+    refs = spark.createDataFrame([(0, 0, "load", 1)], "chunk_id long, file_id long, target_name string, n long")
+    imports = spark.createDataFrame([], "file_id long, local_name string, package string")
+    got = {tuple(r) for r in G.reference_edges(symbols, refs, imports).collect()}
+    assert got == {("sym:main", f"sym:load{k}", "call", "possible") for k in range(1, 7)}
