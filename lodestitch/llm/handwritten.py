@@ -38,8 +38,12 @@ TREES, DEPTH, SEED = 60, 8, 11
 
 #: Shingle length in words and the least share of the smaller file's shingles that a copy shares with its original.
 SHINGLE, ALIKE = 5, 0.8
-#: Min-hash bands and rows: pairs of Jaccard similarity 0.6 meet with probability 0.996, of 0.8 with 1 - 1e-9.
-BANDS, ROWS = 40, 4
+#: The least share of the repository's file itself: a file is judged as a whole, so one that is for the greater part
+#: something else is no copy, whatever small third-party file it holds. A truncated copy is not touched by this.
+WHOLE = 0.4
+#: Places for each shingle of the dependencies in the table of how frequent they are, and the greatest size of the
+#: table as a power of 2. A full table only lets more through.
+PLACES, PLACES_MOST = 8, 25
 
 #: What generators write into the header (fixed values).
 NOTICES = re.compile(
@@ -165,46 +169,75 @@ def shingles(text: str) -> np.ndarray:
     return _mix(h, 1)
 
 
-#: Odd multipliers of the min-hash functions.
-_FACTORS = (_mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1000) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-#: Odd multipliers that join the rows of a band.
-_ROW_FACTORS = _mix(np.arange(1, ROWS + 1, dtype=np.uint64), 2000) | np.uint64(1)
-#: Shingles hashed at once, so that a long text needs little memory.
-_PART = 4096
+def _at(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of shingles in a table of 2 ** bits counts."""
+    return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One number per band of min-hashes; equal numbers make a pair of files a candidate."""
-    if not len(hashes):
-        return []
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        parts = [(low[None, lo : lo + _PART] * _FACTORS[:, None]).min(axis=1) for lo in range(0, len(low), _PART)]
-    least = np.minimum.reduce(parts).astype(np.uint64).reshape(BANDS, ROWS)
-    with np.errstate(over="ignore"):
-        joined = (least * _ROW_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)
-    return _mix(joined, 7).astype(np.int64).tolist()
+def _added(a: bytes, b: bytes) -> bytes:
+    """Two packed tables of counts added, up to 255; an empty one has no counts."""
+    if not a or not b:
+        return a or b
+    x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (a, b))
+    return zlib.compress((x + np.minimum(y, 255 - x)).tobytes(), 1)
+
+
+def frequencies(originals: DataFrame) -> tuple[int, bytes]:
+    """(bits, packed counts): by place, how many ``originals`` have a shingle there; never 0 for one they have."""
+    total = originals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(max(16, math.ceil(math.log2(PLACES * total + 1))), PLACES_MOST)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << bits, dtype=np.uint8)
+        for pdf in batches:
+            for h in pdf["shingles"]:
+                at = np.unique(_at(np.asarray(h, dtype=np.int64), bits))
+                counts[at] += counts[at] < 255
+        yield pd.DataFrame({"counts": [zlib.compress(counts.tobytes(), 1)]})
+
+    counted = originals.select("shingles").mapInPandas(count, "counts binary").rdd.map(lambda r: bytes(r[0]))
+    return bits, counted.treeAggregate(b"", _added, _added, 3)
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def probes(hashes: np.ndarray, bits: int, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """(hits, probes): how many shingles of a text the dependencies may have, and of these, the rare first, all but
+    the least number to share less one: a dependency's file that shares WHOLE of the text's has one of them."""
+    if not len(counts) or not len(hashes):
+        return 0, hashes[:0]
+    n = counts[_at(hashes, bits)]
+    hits = int(np.count_nonzero(n))
+    wanted = hits - math.ceil(WHOLE * len(hashes)) + 1
+    if wanted <= 0:
+        return hits, hashes[:0]
+    order = np.argsort(n, kind="stable")[len(n) - hits :]
+    return hits, hashes[order[:wanted]]
+
+
+def _originals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for rep, third, content in zip(pdf["rep"], pdf["third"], pdf["content"]):
-            text = content or ""
-            found = None if third else notice(text)
-            data = not third and is_data(text)
-            out.append((rep, third, found, data, None if third else features(text), bands(shingles(text))))
-        yield pd.DataFrame(out, columns=["rep", "third", "notice", "is_data", "features", "bands"])
+        found = [np.unique(shingles(text or "")).view(np.int64) for text in pdf["content"]]
+        yield pd.DataFrame({"rep": pdf["rep"], "n": [len(h) for h in found], "shingles": found})
+
+
+def _is_copy(own: np.ndarray, original: np.ndarray) -> bool:
+    """Whether of two sets of shingles the first is a copy of the second, perhaps altered or truncated."""
+    common = len(np.intersect1d(own, original, assume_unique=True))
+    return common > 0 and common >= ALIKE * min(len(own), len(original)) and common >= WHOLE * len(own)
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep = []
-        for own, original in zip(pdf["own_text"], pdf["third_text"]):
-            a, b = np.unique(shingles(own)), np.unique(shingles(original))
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(common >= ALIKE * min(len(a), len(b)) and common >= 0.4 * max(len(a), len(b)))
-        yield pdf.loc[keep, ["rep"]]
+        copies: set[int] = set()
+        known: dict[int, np.ndarray] = {}
+        for rep, third, own, original in zip(pdf["rep"], pdf["third_rep"], pdf["own_text"], pdf["third_text"]):
+            if rep in copies:
+                continue
+            for key, text in (rep, own), (third, original):
+                if key not in known:
+                    known[key] = np.unique(shingles(text))
+            if _is_copy(known[rep], known[third]):
+                copies.add(rep)
+        yield pd.DataFrame({"rep": sorted(copies)}, dtype="int64")
 
 
 def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -> DataFrame:
@@ -212,8 +245,8 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
 
     ``files``: id, path, origin; ``sources``: file_id, content. Case and blanks of the origin do not count; a null
     origin is the repository's own. Equal texts are judged once. ``found`` is set if the forest's ``probability``
-    reaches THRESHOLD, if the file is one data literal, or if it shares ALIKE of its word shingles with a file of a
-    dependency. Null and empty contents are never found. The forest is fitted on at most SAMPLE labelled texts:
+    reaches THRESHOLD, if the file is one data literal, or if it is a copy: ALIKE of the word shingles of the smaller
+    and WHOLE of its own are shared with a file of a dependency. Null and empty contents are never found. The forest is fitted on at most SAMPLE labelled texts:
     files with a generator's notice or a bundler's banner, and data literals, against those without any; after
     each of CLEANINGS fits the texts without a notice that got DOUBT or more are left out of the negatives. With
     no positive or no negative text there is no forest and the probability is 0.
@@ -232,13 +265,29 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     reps = scratch.keep(hashed.groupBy("digest", "third").agg(F.min("file_id").alias("rep")))
     texts = read.join(reps.select("rep", "third"), F.col("_sid") == F.col("rep"), "inner").select("rep", "third", "content")
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = texts.dropDuplicates(["rep"])
+    originals = scratch.keep(texts.filter("third").repartition(spread, "rep").mapInPandas(_originals, "rep long, n long, shingles array<long>"))
+    bits, packed = frequencies(originals)
+    shared = spark.sparkContext.broadcast(packed)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.frombuffer(zlib.decompress(shared.value) if shared.value else b"", dtype=np.uint8)
+        for pdf in batches:
+            out = []
+            for rep, content in zip(pdf["rep"], pdf["content"]):
+                text = content or ""
+                own = np.unique(shingles(text))
+                hits, rare = probes(own, bits, counts)
+                out.append((rep, notice(text), is_data(text), features(text), len(own), hits, rare.view(np.int64)))
+            yield pd.DataFrame(out, columns=["rep", "notice", "is_data", "features", "n", "hits", "probes"])
+
     described = scratch.keep(
-        texts.dropDuplicates(["rep"]).repartition(spread, "rep").mapInPandas(
-            _described, "rep long, third boolean, notice string, is_data boolean, features array<double>, bands array<long>"
+        texts.filter("NOT third").repartition(spread, "rep").mapInPandas(
+            describe, "rep long, notice string, is_data boolean, features array<double>, n long, hits long, probes array<long>"
         )
     )
-    copies = _copies(scratch, read, described)
-    own = described.filter("NOT third").join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
+    copies = _copies(scratch, read, described, originals)
+    own = described.join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
         "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
     judged = _judged(scratch.keep(own))
@@ -249,16 +298,19 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     )
 
 
-def _copies(scratch: Scratch, read: DataFrame, described: DataFrame) -> DataFrame:
+def _copies(scratch: Scratch, read: DataFrame, described: DataFrame, originals: DataFrame) -> DataFrame:
     """(rep): own texts that are copies of a dependency's file.
 
-    Both sides are distinct texts, so copies of one text meet once; candidates share a min-hash band, and are
-    compared by all their shingles.
+    Both sides are distinct texts, so copies of one text meet once. A copy shares as many of its hits as ``least``
+    says, so it shares one of those that are left when all but one of the ``least`` last are taken off; candidates
+    share such a probe, and are compared by all their shingles.
     """
-    keyed = described.select("rep", "third", F.explode("bands").alias("band"))
-    original = keyed.filter("third").select(F.col("rep").alias("third_rep"), F.col("band").alias("_b"))
+    probed = described.select("rep", "n", "hits", F.posexplode("probes").alias("_at", "shingle"))
+    original = originals.select(F.col("rep").alias("third_rep"), F.col("n").alias("_n"), F.explode("shingles").alias("_s"))
+    least = F.greatest(F.ceil(F.col("n") * WHOLE), F.ceil(F.least("n", "_n") * ALIKE))
     pairs = scratch.keep(
-        keyed.filter("NOT third").join(original, F.col("band") == F.col("_b"), "inner").select("rep", "third_rep").distinct()
+        probed.join(original, F.col("shingle") == F.col("_s"), "inner").filter((F.col("_at") <= F.col("hits") - least) & (least <= F.col("_n")))
+        .select("rep", "third_rep").distinct()
     )
     own_text = read.select(F.col("_sid").alias("rep"), F.col("content").alias("own_text"))
     third_text = read.select(F.col("_sid").alias("third_rep"), F.col("content").alias("third_text"))

@@ -73,3 +73,27 @@ def test_notices_and_data():
     assert H.is_data(f"[{big}]") and H.is_data(f"module.exports = [{big}];") and not H.is_data("[1, 2]")
     assert not H.is_data('{"a": [' + big + "]}") and not H.is_data(f"[{big}].map(f); " + "const names = load(other, thing);" * 9)
     assert H.features("// @generated\nlet a = 1") == H.features("let a = 1")
+
+
+def test_every_contained_copy_is_found(spark):
+    rnd = random.Random(4)
+    originals = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    files = [(k, f"lib/{k}.js", "dependency") for k in range(40)]
+    texts = list(enumerate(originals))
+    want = set()
+    for k, t in enumerate(originals):  # cut to between 10 and 60 hundredths, a few words altered
+        words = t.split()[: 40 + 5 * k]
+        if k % 2:
+            words[len(words) // 2] = "altered"
+        files.append((100 + k, f"src/{k}.js", "repository"))
+        texts.append((100 + k, " ".join(words)))
+        want.add(100 + k)
+    for k in range(5):  # a whole copy with text of half its length added; and a small part of something else
+        files += [(200 + k, f"src/more{k}.js", "repository"), (300 + k, f"src/other{k}.js", "repository")]
+        more = " ".join(f"x{rnd.randrange(10**6)}" for _ in range(200))
+        texts += [(200 + k, originals[k] + " " + more), (300 + k, " ".join(originals[k].split()[:40]) + " " + more)]
+        want.add(200 + k)
+    f = spark.createDataFrame(files, "id long, path string, origin string")
+    s = spark.createDataFrame(texts, "file_id long, content string")
+    got = {r.file_id for r in H.machine_written(spark, f, s).filter("is_copy").collect()}
+    assert got == want
