@@ -26,6 +26,11 @@ LOST_FROM = ["cp1252", "cp1250", "cp1251"]
 #: Evidence a document needs: one hit that is certain by itself, or two different weak ones of one chain, not
 #: both single characters.
 CERTAIN, WEAK = 2, 1
+#: Different words of one document and chain that are certain together though their originals are not the more
+#: frequent: each original reads like a word and the garbled form does not.
+MANY = 3
+#: Unit of the number of texts in the frequency of a word; the number of documents is below it.
+TEXTS = 1 << 32
 
 LOST = "�"
 
@@ -112,6 +117,13 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["garbled", "original", "n_original", "chain", "chain_no"])
 
 
+#: A word of one alphabet, in lower case, capitalised or in capitals; a Latin one has a letter without accent. The
+#: second form allows several with typographic signs around and between them.
+_LATIN, _CYRILLIC = (rf"(?:[\p{{Is{s}}}&&\p{{Lu}}]?[\p{{Is{s}}}&&\p{{Ll}}]+|[\p{{Is{s}}}&&\p{{Lu}}]+)" for s in ("Latin", "Cyrillic"))
+_PLAIN = rf"^(?:(?=.*[A-Za-z]){_LATIN}(?:['’-]{_LATIN})*|{_CYRILLIC}(?:['’-]{_CYRILLIC})*)$"
+_SIGN = r"[\p{Punct}0-9‘’“”„«»‹›–—…•€£§©®™°±²³µ¶½×¿¡≠≤≥≈→∞√\u00A0\u202F]"
+_READS = rf"^{_SIGN}*(?:(?:(?=\p{{L}}*[A-Za-z]){_LATIN}|{_CYRILLIC})(?:{_SIGN}+|$))*$"
+
 _EDGE = r"!-/:-@\[-`{-~"
 #: A word alone between quotes, backticks or brackets, as examples of damage are written.
 _QUOTED = rf"^[{_EDGE}]*[`'\"(\[<{{][^\x00-\x7F]+[`'\")\]>}}][{_EDGE}]*$"
@@ -132,7 +144,9 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
 
     ``word`` and ``original`` stand without edge punctuation and with numbers as 0. A hit under a UTF-8 chain is
     certain. Under a chain of single-byte encodings, where sound words can look like garbled ones, the original
-    must be the more frequent in the corpus and longer than two characters to be certain. A word with replacement
+    must be the more frequent among the different texts of the corpus and longer than two characters to be certain;
+    otherwise it takes MANY such words of one chain in the document, whose originals read like words while they
+    do not. A word with replacement
     characters within letters or digits, or repeatedly of them alone, is certain, its original known only if one
     clean word gives that form. UTF-8 damage of words whose sound form is nowhere in the corpus is found by
     reversing the chain. Words alone in quotes, backticks or brackets are examples of damage and no hits.
@@ -142,20 +156,25 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     scratch = Scratch(spark, "encodings")
     seen = scratch.keep(
         docs.filter(F.col(text).isNotNull())
-        .select(F.col(doc_id), F.explode(_words(F.col(text))).alias("raw"))
-        .select(doc_id, _core(F.col("raw")).alias("word"), F.col("raw").rlike(_QUOTED).alias("quoted"))
+        .select(F.col(doc_id), F.xxhash64(text).alias("text_key"), F.explode(_words(F.col(text))).alias("raw"))
+        .select(doc_id, "text_key", _core(F.col("raw")).alias("word"), F.col("raw").rlike(_QUOTED).alias("quoted"))
         .filter(F.length("word") > 0)
-        .groupBy(doc_id, "word").agg(F.bool_and("quoted").alias("quoted"), F.count(F.lit(1)).alias("times"))
+        .groupBy(doc_id, "word").agg(F.bool_and("quoted").alias("quoted"), F.count(F.lit(1)).alias("times"), F.min("text_key").alias("text_key"))
     )
-    words = scratch.keep(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bool_and("quoted").alias("always_quoted")))
+    # copies of a text count once; only between equal numbers of texts do documents count, in the low half of n
+    words = scratch.keep(seen.groupBy("word", "text_key").agg(F.bool_and("quoted").alias("quoted"), F.count(F.lit(1)).alias("_docs")).groupBy("word").agg(
+        (F.count(F.lit(1)) * TEXTS + F.sum("_docs")).alias("n"), F.bool_and("quoted").alias("always_quoted")))
     forms = words.filter("NOT always_quoted").select("word", "n").repartition(F.col("word")).mapInPandas(
         _forms, "garbled string, original string, n_original long, chain string, chain_no long"
     )
-    hits = scratch.keep(
+    plain, odd = F.col("original").rlike(_PLAIN), ~F.col("garbled").rlike(_READS)
+    in_texts = F.shiftright("n_original", 32) > F.shiftright("n", 32)
+    frequent = F.col("chain").startswith("utf-8") | (F.col("chain") == "lost") | in_texts | ((F.col("n_original") > F.col("n")) & (plain | odd) & (F.shiftright("n_original", 32) == F.shiftright("n", 32)))
+    every = scratch.keep(
         forms.join(words, F.col("garbled") == F.col("word"), "inner")
-        .filter(F.col("chain").startswith("utf-8") | (F.col("chain") == "lost") | (F.col("n_original") > F.col("n")))
-        .select("garbled", "original", "n_original", "chain", "chain_no")
+        .select("garbled", "original", "n_original", "chain", "chain_no", frequent.alias("frequent"), ((F.length("original") > 2) & plain & odd).alias("reads"))
     )
+    hits = every.filter("frequent").drop("frequent", "reads")
     # an original that is itself damaged is only a step on the way
     steps = hits.filter(F.col("chain") != "lost").select(F.col("garbled").alias("_step")).distinct()
     ranked = hits.join(steps, F.col("original") == F.col("_step"), "left").select(
@@ -175,7 +194,7 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     rest = words.join(best, F.col("word") == F.col("garbled"), "left_anti").select("word").mapInPandas(
         _reversed, "garbled string, original string, chain string"
     )
-    table = known.unionByName(rest.withColumn("alike", F.array("chain")))
+    table = scratch.keep(known.unionByName(rest.withColumn("alike", F.array("chain"))))
     letters = F.length(F.regexp_replace("word", "[0-9]", ""))
     certain = (
         (F.col("chain").startswith("utf-8"))
@@ -183,9 +202,16 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
         | ((F.col("chain") != "lost") & (letters > 2))
     )
     weak = F.when(F.col("chain") == "lost", 0).otherwise(WEAK)
-    return seen.filter("NOT quoted").join(table, F.col("word") == F.col("garbled"), "inner").select(
+    sure = seen.filter("NOT quoted").join(table, F.col("word") == F.col("garbled"), "inner").select(
         doc_id, "word", "original", "chain", F.when(certain, CERTAIN).otherwise(weak).alias("weight"), "alike"
     )
+    rare = every.filter("NOT frequent").join(table.select("garbled"), "garbled", "left_anti").select("garbled", "chain", "chain_no", "original", "reads")
+    fits = scratch.keep(seen.filter("NOT quoted").join(rare, F.col("word") == F.col("garbled"), "inner").select(doc_id, "word", "original", "chain", "chain_no", "reads"))
+    together = fits.filter("reads").groupBy(doc_id, "chain").agg(F.count_distinct("word").alias("_n")).filter(F.col("_n") >= MANY).select(doc_id, "chain")
+    many = fits.join(together, [doc_id, "chain"], "left_semi").groupBy(doc_id, "word").agg(
+        F.min(F.struct("chain_no", "original", "chain")).alias("_b"), F.array_sort(F.collect_set("chain")).alias("alike")
+    ).select(doc_id, "word", "_b.original", "_b.chain", F.lit(CERTAIN).alias("weight"), "alike")
+    return sure.unionByName(many)
 
 
 _SOUND = re.compile(r"[A-Za-zÀ-ÖØ-öø-žșțА-яЁёІіЇїЄєҐґ‘’“”„«»–—…•€£§©®™°±²³µ¶½×ß¿¡≠≤≥≈→∞√  '.,;:!?()0-9/_-]+")

@@ -51,3 +51,13 @@ def test_lost_characters(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert E.damaged_documents(E.damaged_words(spark, df)).count() == 0
+
+
+def test_copies_of_a_damaged_text_do_not_outvote_the_clean_one(spark):
+    clean = "Господин Иванов приехал в Москву вместе с Петровым и Сидоровым"
+    bad = E.garble(clean, ("cp1251", "mac_roman"))
+    rows = [(0, clean), (1, "sound words only")] + [(k, bad) for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = E.damaged_words(spark, docs)
+    assert {r.doc_id for r in E.damaged_documents(hits).collect()} == set(range(10, 20))
+    assert {r.text for r in E.restored(docs, hits).collect()} == {clean}
