@@ -268,10 +268,8 @@ def _blocks(rows: list[tuple[int, str]]) -> Iterator[ItemIndex]:
 
 
 def _scan_text(text: str, index: ItemIndex) -> list[tuple[int, int, int]]:
-    found = passages(normal_words(text), index)
-    if found is None:  # line markers break passages, but not every five words in a line
-        return []
-    bare = line_free(text)
+    found = passages(normal_words(text), index) or []
+    bare = line_free(text)  # markers in short lines break every seed, so this pass does not depend on the first
     if bare != text:
         known = {f[0] for f in found}
         found += [f for f in passages(normal_words(bare), index) or [] if f[0] not in known]

@@ -46,3 +46,18 @@ def test_frames_and_blocks(spark, monkeypatch):
     assert get() == want
     assert L.leaked_passages(spark, d, i.limit(0)).count() == 0
     assert L.leaked_passages(spark, d.limit(0), i).count() == 0
+
+
+def test_short_lines_behind_markers():
+    rnd = random.Random(6)
+    items = [(k, item(rnd, 60)) for k in range(4)]
+    words = [t.split() for _, t in items]
+    four = lambda k, mark: "\n".join(f"{mark(n)}{' '.join(words[k][a : a + 4])}" for n, a in enumerate(range(0, 40, 4)))
+    nine = words[3][:45]
+    for p in range(4, 45, 9):
+        nine[p] = "other"
+    docs = [
+        (0, four(0, lambda n: f"{n + 1}. ")), (1, four(1, lambda n: f"[{n + 1}] ")), (2, four(2, lambda n: f"{'abcdefghij'[n]}) ")),
+        (3, "\n".join("Q: " + " ".join(nine[a : a + 9]) for a in range(0, 45, 9))),
+    ]
+    assert found(docs, items) == {(k, k) for k in range(4)}
