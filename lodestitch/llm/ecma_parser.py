@@ -32,10 +32,10 @@ STARTERS = frozenset(
 MODIFIERS = frozenset("public private protected static readonly abstract override declare async accessor get set in out const".split())
 
 # what an expression is, as far as the parser needs to know
-VALUE, TARGET, PATTERN, ARROW = range(4)
+VALUE, TARGET, PATTERN, ARROW, FURTHER = range(5)
 
-#: Deeper nesting than this is reported as an error instead of exhausting the stack.
-MAX_DEPTH = 160
+#: Deeper nesting than this is reported as TOO_DEEP instead of exhausting the stack; that is no verdict on the source.
+MAX_DEPTH, TOO_DEEP = 1000, "nested too deeply"
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ class Parser(Lexer):
             except RecursionError:
                 if self.trying:
                     raise
-                self.note(SourceError(self.start, "nested too deeply"))
+                self.note(SourceError(self.start, TOO_DEEP))
                 self.kind, self.text, self.start = EOF, "", len(self.src)
                 self.end = self.start
 
@@ -335,13 +335,16 @@ class Parser(Lexer):
         self.name()
 
     def _if(self, declaration: bool) -> bool:
-        self.next()
-        self.paren()
-        self.statement()
-        if self.text == "else" and self.kind == NAME:
+        while True:  # a chain of else-if is no nesting
             self.next()
+            self.paren()
             self.statement()
-        return True
+            if self.text != "else" or self.kind != NAME:
+                return True
+            self.next()
+            if self.text != "if" or self.kind != NAME:
+                self.statement()
+                return True
 
     def _for(self, declaration: bool) -> bool:
         self.next()
@@ -980,7 +983,14 @@ class Parser(Lexer):
             self.depth -= 1
             raise RecursionError
         try:
-            return self._assignment()
+            cover, shape = self.cover, self._assignment()
+            if shape != FURTHER:
+                return shape
+            while shape == FURTHER:  # the arms of chained conditionals are no nesting
+                shape = self._assignment()
+            self._check_cover()
+            self.cover = cover
+            return VALUE
         finally:
             self.depth -= 1
 
@@ -1020,10 +1030,7 @@ class Parser(Lexer):
                 self.conditional_middle()
                 self.no_in = saved
                 self.need(":")
-                self.assignment()
-                self._check_cover()
-                self.cover = cover
-                return VALUE
+                return FURTHER
             if t == ">":
                 t = self.angle()
             if t in ASSIGN:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ecma_parser import syntax_errors
+from .ecma_parser import TOO_DEEP, syntax_errors
 
 _SCHEMA = "file_id long, language string, valid boolean, n_errors long, first_line long, first_cause string, errors array<struct<line:long,message:string>>"
 
@@ -24,7 +24,8 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
     Result per file with a row in both tables: file_id, language, valid, n_errors, first_line and first_cause
     (null if valid) and errors, all of them in order. A null or empty content is valid. A path with an extension
-    that is no ECMAScript or TypeScript one is not judged: valid is null. Repeated rows of a file count once.
+    that is no ECMAScript or TypeScript one, or a text without an error up to where it is nested deeper than
+    MAX_DEPTH, is not judged: valid is null. Repeated rows of a file count once.
     """
     named = files.select(F.col("id").alias("file_id"), extension(F.col("path")).alias("language"))
     texts = sources.select("file_id", "content")
@@ -32,12 +33,12 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40_000))
     for pdf in batches:
         out = []
         for file_id, language, content in zip(pdf["file_id"], pdf["language"], pdf["content"]):
             found = syntax_errors(content, language) if content else []
-            if found and found[0][1] == "unknown language":
+            if found and found[0][1] in ("unknown language", TOO_DEEP):
                 out.append((file_id, language, None, 0, None, None, []))
                 continue
             lines = [{"line": content.count("\n", 0, at) + 1, "message": message} for at, message in found]

@@ -78,3 +78,14 @@ def test_files_and_rates(spark):
     assert rates == {("r", "ts"): (1, 1), ("r", "js"): (1, 0), (None, "js"): (1, 0)}
     log = spark.createDataFrame([("r", "C:\\x\\a\\b.ts", " PARSE "), ("r", "c.JS", None)], "repo string, path string, stage string")
     assert {r.file_id: r.logged for r in syntax.with_hints(syntax.check_files(files, texts), files, log).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_long_chains_are_no_nesting_and_too_deep_is_no_verdict(spark):
+    chain = "if (a) b();" + " else if (a) b();" * 1000 + " else c();"
+    arms = "x = " + "a ? b : " * 1000 + "c"
+    deep = "x = " + "[" * 300 + "]" * 300
+    texts = [chain, arms, deep, "x = " + "[" * 9000 + "]" * 9000, "let = = 1;\nx = " + "[" * 9000, chain + "\nlet a = ;", arms + " ? "]
+    files = spark.createDataFrame([(k, f"f{k}.js", "r") for k in range(len(texts))], "id long, path string, repo string")
+    sources = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
+    got = {r.file_id: r.valid for r in syntax.check_files(files, sources).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: None, 4: False, 5: False, 6: False}
