@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def bootstrap(clusters: list[list[float]], iterations: int = 10_000, seed: int =
     return at(0.025), at(0.975)
 
 
-def bootstrap_intervals(df: DataFrame, group: str, cluster: str, value: str, iterations: int = 1000) -> DataFrame:
+def bootstrap_intervals(df: DataFrame, group: str, cluster: str, value: str, iterations: int = 10_000) -> DataFrame:
     """(group, low, high) of a cluster bootstrap in each group.
 
     The clusters' sums and counts are aggregated first, so a task receives one row per cluster of its group.
@@ -73,11 +74,17 @@ def bootstrap_intervals(df: DataFrame, group: str, cluster: str, value: str, ite
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cluster)
         sums, counts, n = pdf["_sum"].tolist(), pdf["_n"].tolist(), len(pdf)
-        random = lcg(1)
-        means = []
+        sums, counts = np.array(sums, dtype=float), np.array(counts, dtype=float)
+        # the numbers of lcg, n at a time: the k-th after a state is factor[k] * state + shift[k]
+        factor, shift, a, b = np.empty(n, np.uint64), np.empty(n, np.uint64), 1, 0
+        for k in range(n):
+            a, b = 1664525 * a & 0xFFFFFFFF, 1664525 * b + 1013904223 & 0xFFFFFFFF
+            factor[k], shift[k] = a, b
+        state, means = np.uint64(1), []
         for _ in range(iterations):
-            picks = [int(next(random) * n) for _ in range(n)]
-            means.append(sum(sums[i] for i in picks) / sum(counts[i] for i in picks))
+            states = factor * state + shift & np.uint64(0xFFFFFFFF)
+            picks, state = (states.astype(float) / 2**32 * n).astype(np.int64), states[-1]
+            means.append(float(sums[picks].sum() / counts[picks].sum()))
         means.sort()
         return pd.DataFrame({group: [pdf[group].iloc[0]], "low": [round(means[int(0.025 * (iterations - 1))], 6)], "high": [round(means[int(0.975 * (iterations - 1))], 6)]})
 

@@ -140,3 +140,11 @@ def test_tables(spark, tmp_path):
     assert {r.id for r in taken.filter("taken").collect()} == {4, 1}
     with pytest.raises(Exception):
         B.embedded(df, "id", "v", lambda t: [[0.0, 1.0]] * len(t), 1).collect()
+
+
+def test_bootstrap_intervals_take_ten_thousand_resamples(spark):
+    clusters = [[k * k * 0.37 + j for j in range(1 + k % 3)] for k in range(12)]
+    df = spark.createDataFrame([("g", k, v) for k, vs in enumerate(clusters) for v in vs], "g string, k long, v double")
+    got = A.bootstrap_intervals(df, "g", "k", "v").first()
+    assert (got.low, got.high) == tuple(round(x, 6) for x in A.bootstrap(clusters))
+    assert (got.low, got.high) != tuple(round(x, 6) for x in A.bootstrap(clusters, 1000))
