@@ -17,6 +17,8 @@ def profiles(spark):
 
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK", 64)  # several blocks per bucket
+    monkeypatch.setattr(V, "SMALL", 100)
+    monkeypatch.setattr(V, "COUNTED", 2)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 48))
     x[300:450] = x[:150] + 0.25 * rng.normal(size=(150, 48))
@@ -26,7 +28,7 @@ def test_recall(spark, monkeypatch):
     cos = y @ y.T
     np.fill_diagonal(cos, -2)
     got = {}
-    for r in V.similar_vectors(spark, unit, k=10, tables=4, probes=24).collect():
+    for r in V.similar_vectors(spark, unit, k=10, recall=0.95).collect():
         got.setdefault(r.vec_id, {})[r.other_id] = r.cosine
     hits = sum(len(set(np.argsort(-cos[k])[:10]) & set(got[k])) for k in range(600))
     assert hits >= 0.9 * 6000
@@ -42,7 +44,7 @@ def test_copies_and_unusable(spark):
     unit = V.usable_vectors(frame(spark, rows), profiles(spark))
     assert unit.count() == 42
     got = {}
-    for r in V.similar_vectors(spark, unit, k=3, tables=2).collect():
+    for r in V.similar_vectors(spark, unit, k=3).collect():
         got.setdefault(r.vec_id, []).append((r.position, r.other_id, round(r.cosine, 4)))
     assert sorted(got[0]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
     assert sorted(got[47]) == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
