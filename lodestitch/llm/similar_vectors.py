@@ -17,7 +17,7 @@ from ..operators.skew import lookup_join
 #: Rows of a bucket compared in one task: larger buckets are cut into blocks, every block meeting every block.
 BLOCK = 4096
 #: At most so many vectors, over all profiles and for one, are sampled to plan the tables and to find hot buckets.
-SAMPLE, SAMPLE_EACH = 65_536, 16_384
+SAMPLE, SAMPLE_EACH = 24_576, 8_192
 #: Profiles up to this size are compared as a whole; of larger ones the counts are estimated from one id in COUNTED.
 SMALL, COUNTED = 2_048, 64
 #: Bits of the sign code that candidates are compared by before the exact cosine, and the deviations left to it.
@@ -114,7 +114,7 @@ def _meetings(dim: int, cosine: float, axes: tuple[int, ...], probes: int) -> tu
 def plan(dim: int, n: float, asked: float, sample: np.ndarray, cosine: float, recall: float) -> Plan:
     """The cheapest tables by which a pair at ``cosine`` of a profile of ``n`` vectors meets with chance ``recall``.
 
-    Keys of up to three rotations, the last perhaps of fewer axes, are tried with up to 64 probes. The chance in one
+    Keys of up to three rotations, the last perhaps of fewer axes, are tried with up to 64 probes (32 if of several). The chance in one
     table is simulated, the number of candidates is estimated from the ``sample`` (distinct rows of the profile).
     Larger profiles so get longer keys, and the work grows slower than the square of the size.
     """
@@ -124,11 +124,11 @@ def plan(dim: int, n: float, asked: float, sample: np.ndarray, cosine: float, re
     last = [a for a in (8, 16, 32, 64, 128) if a < full] + [full]
     kinds = [(full,)] + [(full, a) for a in last] + [(full, full, a) for a in last]
     best, least = Plan(), math.inf
-    known = sample[:4096]
+    known = sample[:1024]
     for axes in kinds:
         if math.prod(axes) > 4 * n and len(axes) > 1:
             continue
-        most = 64
+        most = 64 if len(axes) == 1 else 32
         looked = nearest_keys(known, TRIAL_TABLE, axes, most)
         bases, counts = np.unique(looked[:, 0], return_counts=True)
         at = np.minimum(np.searchsorted(bases, looked), len(bases) - 1)
@@ -144,9 +144,9 @@ def plan(dim: int, n: float, asked: float, sample: np.ndarray, cosine: float, re
             if tables <= TABLES and cost < least:
                 best, least = Plan(axes, probes, tables), cost
     for t in range(best.tables):
-        keys, counts = np.unique(nearest_keys(known, t, best.axes, 1)[:, 0], return_counts=True)
+        keys, counts = np.unique(nearest_keys(sample, t, best.axes, 1)[:, 0], return_counts=True)
         for key, c in zip(keys, counts):
-            size = c / len(known) * n
+            size = c / len(sample) * n
             if c > 1 and size > BLOCK:
                 best.hot[t, int(key)] = (math.ceil(size / BLOCK), math.ceil(size * asked / n * best.probes / BLOCK))
     return best
@@ -187,10 +187,13 @@ def _plans(unit: DataFrame, asked: Column, k: int, least: float | None, recall:
     chosen = F.lit(False)
     for p, (n, _, _) in sizes.items():
         chosen = chosen | ((F.col("profile_id") == p) & (hashed < int((1 << 20) * min(1.0, each / n))))
-    rows = unit.filter(chosen).select("profile_id", "vec").collect()
+    rows = unit.filter(chosen).select("profile_id", "vec").toPandas()
     out = {}
     for p, (n, n_asked, dim) in sizes.items():
-        sample = np.unique(np.array([r["vec"] for r in rows if r["profile_id"] == p], dtype=np.float32).reshape(-1, dim), axis=0)
+        own = rows["vec"][rows["profile_id"] == p]
+        sample = np.unique(np.stack(own.to_list()).astype(np.float32) if len(own) else np.zeros((0, dim), np.float32), axis=0)
+        if not len(sample):
+            continue
         sample = np.random.default_rng(5).permutation(sample)
         cosine = _usual(sample, n, k) if least is None else least
         out[p] = plan(dim, n, max(n_asked, 1), sample, round(cosine, 2), recall)
