@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup_join
-
 #: Rows of a bucket compared in one task: larger buckets are cut into blocks, every block meeting every block.
 BLOCK = 4096
 #: At most so many vectors, over all profiles and for one, are sampled to plan the tables and to find hot buckets.
@@ -21,22 +19,29 @@ SAMPLE, SAMPLE_EACH = 24_576, 8_192
 #: Profiles up to this size are compared as a whole; of larger ones the counts are estimated from one id in COUNTED.
 SMALL, COUNTED = 2_048, 64
 #: Bits of the sign code that candidates are compared by before the exact cosine, and the deviations left to it.
-BITS, SLACK = 128, 4.0
+BITS, SLACK = 192, 3.5
 #: Relative costs of a table entry and of a comparison by which a plan is chosen, and the most tables of a plan.
 ENTRY, COMPARISON, TABLES = 3e-6, 3e-8, 48
 #: Table numbers of the code's rotation and of the simulated tables.
 CODE_TABLE, TRIAL_TABLE = 90_000, 91_000
 
 
+@lru_cache(maxsize=8)
+def _sylvester(n: int) -> np.ndarray:
+    h = np.ones((1, 1), dtype=np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two."""
+    """Fast Walsh-Hadamard transform of the rows, whose length is a power of two, in steps of up to 16 at once."""
     n = x.shape[1]
-    h = 1
-    y = x.copy()
+    y, h = x, 1
     while h < n:
-        y = y.reshape(len(x), n // (2 * h), 2, h)
-        y = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), axis=2)
-        h *= 2
+        step = min(16, n // h)
+        y = np.matmul(_sylvester(step), y.reshape(len(x), n // (h * step), step, h)) if h > 1 else y.reshape(-1, step) @ _sylvester(step)
+        h *= step
     return y.reshape(len(x), n) / np.float32(np.sqrt(n))
 
 
@@ -241,7 +246,7 @@ def similar_vectors(
     )
     # unit is partitioned by vec_id already, so its exchange serves here and for the exact cosines
     reps = unit.join(groups.select("rep", F.col("_asked").alias("_query")), F.col("vec_id") == F.col("rep"), "inner").select("profile_id", "rep", "vec", "_query")
-    entries = reps.mapInPandas(_hasher(plans, least), "bucket long, rep long, is_base boolean, is_query boolean, code binary")
+    entries = reps.mapInPandas(_hasher(plans, least), f"bucket long, rep long, is_base boolean, is_query boolean, {_code_type(least)}")
     near = _exact(_candidates(entries, k, least), reps, k, least)
     # what a representative's neighbours stand for
     members = groups.select(F.col("rep").alias("_o"), F.col("members").alias("_m"))
@@ -252,27 +257,35 @@ def similar_vectors(
         .groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other_id"))).alias("_near"))
         .select(F.col("rep").alias("_r"), F.slice("_near", 1, k * (k + 1) + k + 1).alias("_near"))
     )
-    # representatives with neighbours, by key; only their copies' ids are joined
+    # representatives with neighbours, by key; rows of ids alone are joined, and those of a hot group of copies are
+    # split by the adaptive skew join
     listed_keys = groups.select("rep", "key").join(per_rep, F.col("rep") == F.col("_r"), "inner").select(F.col("key").alias("_k"), "_near")
     mine = F.slice(F.filter("_near", lambda x: x["other_id"] != F.col("vec_id")), 1, k)
     floor = -2.0 if least is None else least
     return (
-        lookup_join(keyed.filter("_asked").select("vec_id", "profile_id", "key"), listed_keys, "key", "_k")
+        keyed.filter("_asked").select("vec_id", "profile_id", "key").join(listed_keys, F.col("key") == F.col("_k"), "inner")
         .select("profile_id", "vec_id", F.posexplode(mine).alias("_at", "_x"))
         .select("profile_id", "vec_id", F.col("_x.other_id").alias("other_id"), (-F.col("_x.c")).alias("cosine"), (F.col("_at") + 1).alias("position"))
         .filter(F.col("cosine") >= floor)
     )
 
 
-def _codes(x: np.ndarray, least: float | None) -> np.ndarray:
-    """A row of bytes for each vector: signs after a rotation, or coordinates scaled to a byte."""
+def _code_type(least: float | None) -> str:
+    """Columns of a vector's code: its coordinates in a byte each, or BITS signs in longs."""
+    return "code binary" if least is None else ", ".join(f"c{w} long" for w in range(BITS // 64))
+
+
+def _codes(x: np.ndarray, least: float | None) -> dict[str, np.ndarray]:
+    """The code columns: signs after a rotation, or coordinates scaled to a byte followed by the scale."""
     if least is None:
         top = np.abs(x).max(axis=1, keepdims=True)
         scaled = np.rint(x * (127 / top)).astype(np.int8).view(np.uint8)
-        return np.concatenate((scaled, top.astype(np.float32).view(np.uint8)), axis=1)
+        rows = np.concatenate((scaled, top.astype(np.float32).view(np.uint8)), axis=1)
+        return {"code": np.array([r.tobytes() for r in rows], dtype=object)}
     turns = -(-BITS // padded(x.shape[1]))
     y = np.concatenate([rotate(x, CODE_TABLE, t) for t in range(turns)], axis=1)[:, :BITS]
-    return np.packbits(y > 0, axis=1)
+    words = np.packbits(y > 0, axis=1).view(np.int64)
+    return {f"c{w}": words[:, w] for w in range(words.shape[1])}
 
 
 def _mixed(*parts: np.ndarray | int) -> np.ndarray:
@@ -295,7 +308,7 @@ def _hasher(plans: dict[int, Plan], least: float | None):
             for (profile, _), part in pdf.groupby([pdf["profile_id"], pdf["vec"].map(len)]):
                 p = plans.get(profile, Plan())
                 x = np.vstack(part["vec"].to_numpy()).astype(np.float32)
-                codes = np.array([c.tobytes() for c in _codes(x, least)], dtype=object)
+                codes = _codes(x, least)
                 rep, asked = part["rep"].to_numpy(), part["_query"].to_numpy(dtype=bool)
                 for t in range(p.tables):
                     keys = nearest_keys(x, t, p.axes, p.probes)
@@ -304,11 +317,12 @@ def _hasher(plans: dict[int, Plan], least: float | None):
     return hashed
 
 
-def _table_entries(profile: int, t: int, keys: np.ndarray, rep: np.ndarray, asked: np.ndarray, codes: np.ndarray, p: Plan) -> Iterator[pd.DataFrame]:
+def _table_entries(profile: int, t: int, keys: np.ndarray, rep: np.ndarray, asked: np.ndarray, codes: dict[str, np.ndarray], p: Plan) -> Iterator[pd.DataFrame]:
     hot = np.isin(keys, [key for at, key in p.hot if at == t]) if p.hot else np.zeros(keys.shape, dtype=bool)
     rows, cols = np.nonzero(~hot & (asked[:, None] | (np.arange(keys.shape[1]) == 0)[None, :]))
     yield pd.DataFrame({
-        "bucket": _mixed(profile, t, keys[rows, cols], 0, 0), "rep": rep[rows], "is_base": cols == 0, "is_query": asked[rows], "code": codes[rows],
+        "bucket": _mixed(profile, t, keys[rows, cols], 0, 0), "rep": rep[rows], "is_base": cols == 0, "is_query": asked[rows],
+        **{n: v[rows] for n, v in codes.items()},
     })
     out = []
     for i, j in zip(*np.nonzero(hot)):
@@ -320,7 +334,7 @@ def _table_entries(profile: int, t: int, keys: np.ndarray, rep: np.ndarray, aske
             out += [(keys[i, j], b, part % nq, i, False, True) for b in range(nb)]
     if out:
         key, b, q, i, base, query = map(np.array, zip(*out))
-        yield pd.DataFrame({"bucket": _mixed(profile, t, key, b + 1, q + 1), "rep": rep[i], "is_base": base, "is_query": query, "code": codes[i]})
+        yield pd.DataFrame({"bucket": _mixed(profile, t, key, b + 1, q + 1), "rep": rep[i], "is_base": base, "is_query": query, **{n: v[i] for n, v in codes.items()}})
 
 
 def _candidates(entries: DataFrame, k: int, least: float | None) -> DataFrame:
@@ -358,16 +372,17 @@ def _comparer(k: int, least: float | None):
 def _met(rows: pd.DataFrame, k: int, least: float | None) -> pd.DataFrame:
     """Pairs of the lookers of each bucket with the best of those that lie in it."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    # codes are of one length except for profiles of different dimensions
-    for _, part in rows.groupby(rows["code"].map(len), sort=False):
-        ids, codes = part["rep"].to_numpy(), np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
+    # byte codes are of one length but for profiles of different dimensions
+    for _, part in rows.groupby(rows["code"].map(len), sort=False) if least is None else [(0, rows)]:
+        ids = part["rep"].to_numpy()
         base, query = np.flatnonzero(part["is_base"]), np.flatnonzero(part["is_query"])
         bucket = part["bucket"].to_numpy()
         lo, hi = (np.searchsorted(bucket[base], bucket[query], side=s) for s in ("left", "right"))
         if least is None:
+            codes = np.frombuffer(b"".join(part["code"]), dtype=np.uint8).reshape(len(part), -1)
             values = codes[:, :-4].view(np.int8).astype(np.float32) * (np.ascontiguousarray(codes[:, -4:]).view(np.float32) / 127)
         else:
-            values = np.ascontiguousarray(codes).view(np.uint64)
+            values = np.stack([part[f"c{w}"].to_numpy() for w in range(BITS // 64)], axis=1).view(np.uint64)
         upto = np.concatenate(([0], np.cumsum(hi - lo)))
         at = 0
         while at < len(query):
@@ -404,11 +419,11 @@ def _foremost(group: np.ndarray, value: np.ndarray, tie: np.ndarray, most: int)
 def _exact(candidates: DataFrame, reps: DataFrame, k: int, least: float | None) -> DataFrame:
     """(rep, other, cosine): the ``k`` best of each representative asked about, by the cosine of the vectors."""
     pairs = candidates.select(F.least("rep", "other").alias("_a"), F.greatest("rep", "other").alias("_b")).distinct()
-    side = lambda n: reps.select(F.col("rep").alias(f"_{n}"), F.col("vec").alias(f"_v{n}"), F.col("profile_id").alias(f"_p{n}"), F.col("_query").alias(f"_q{n}"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, t: s + t.cast("double") * t.cast("double")))
+    side = lambda n: reps.select(F.col("rep").alias(f"_{n}"), F.col("vec").alias(f"_v{n}"), norm.alias(f"_n{n}"), F.col("profile_id").alias(f"_p{n}"), F.col("_query").alias(f"_q{n}"))
     both = pairs.join(side("a"), "_a").join(side("b"), "_b").filter("_pa = _pb")
-    cosine = dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb"))
-    scored = both.select("_a", "_b", "_qa", "_qb", F.round(cosine, 9).alias("cosine"))
+    dot = F.aggregate(F.zip_with("_va", "_vb", lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    scored = both.select("_a", "_b", "_qa", "_qb", F.round(dot / (F.col("_na") * F.col("_nb")), 9).alias("cosine"))
     if least is not None:
         scored = scored.filter(F.col("cosine") >= least)
     ways = F.explode(F.array(F.struct(F.col("_a").alias("rep"), F.col("_b").alias("other"), F.col("_qa").alias("q")), F.struct(F.col("_b").alias("rep"), F.col("_a").alias("other"), F.col("_qb").alias("q"))))
