@@ -32,7 +32,10 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     Rows of hot keys are joined with a broadcast of just those keys' rows (at most 256), the rest by the
     ordinary join, so that no task receives a whole hot key. Column names must not clash.
     """
-    hot = hot_keys(left, left_key)
+    return _joined(left, right, left_key, right_key, how, hot_keys(left, left_key))
+
+
+def _joined(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, hot: list) -> DataFrame:
     on = F.col(left_key) == F.col(right_key)
     if not hot:
         return left.join(right, on, how)
@@ -56,6 +59,7 @@ def ranked(
     parted = scratch.keep(
         keys.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
     )
+    scratch.first = parted
     sizes = parted.groupBy(group, "_part").agg(F.sum("n").alias("_size"))
     over_parts = Window.partitionBy(group).orderBy("_part")
     offsets = sizes.select(
@@ -72,6 +76,26 @@ def ranked(
     return out, scratch
 
 
+def with_ranks(
+    spark: SparkSession, df: DataFrame, group: list[str], value: str, order: Column, tag: str = "rank"
+) -> DataFrame:
+    """``df`` with n, before and total of each row's ``value`` in its group, as ``ranked`` gives them.
+
+    The ranks are joined back by a hash of group and value (and their equality), which hot values, such as the null
+    of a large group, do not gather: the at most 1/HOT_SHARE most frequent above HOT_FLOOR are joined by broadcast.
+    """
+    keyed = df.select("*", F.struct(*group).alias("_grp"))
+    at, scratch = ranked(spark, keyed.select("_grp", value), "_grp", [order], [value], tag)
+    hashed = lambda: F.xxhash64("_grp", value).alias("_key")
+    parted = scratch.first
+    hot = [r[0] for r in parted.filter(F.col("n") > HOT_FLOOR).orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE)).select(hashed()).collect()]
+    right = at.select(hashed().alias("_rkey"), F.col("_grp").alias("_rg"), F.col(value).alias("_rv"), "n", "before", "total")
+    left = keyed.select("*", hashed())
+    joined = _joined(left, right, "_key", "_rkey", "inner", hot)
+    same = F.col("_grp").eqNullSafe(F.col("_rg")) & F.col(value).eqNullSafe(F.col("_rv"))
+    return joined.filter(same).select(*df.columns, "n", "before", "total")
+
+
 def positions(spark: SparkSession, df: DataFrame, columns: list[str], order: list[Column] | None = None) -> DataFrame:
     """(columns, position) of rows that ``columns`` identify, numbered from 1 over the whole table.
 
