@@ -56,7 +56,7 @@ SELECT query_id, artifact_id, lexical_score, vector_cosine, rank_score, round(rh
   row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, artifact_id) AS position FROM b""")
 def p6_ranking_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking = p6_ranking(spark, sf_dir)
-    return ranking.withColumns({c: F.round(c, 6) for c in ("rho", "mean_rank")})
+    return ranking.drop("n_items").withColumns({c: F.round(c, 6) for c in ("rho", "mean_rank")})
 
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup_join, ranked
+from ..operators.skew import lookup_join, ranked, with_ranks
 from ..session import Scratch
 
 #: Rows folded into one champion at a time when looking for the item ahead of all others.
@@ -42,7 +42,7 @@ def robust_rank(spark: SparkSession, df: DataFrame, query: str, item: str, score
     tuple counts. Rows with a null query or item are dropped. Other columns are ignored. Groups are ranked over
     range partitions, so a query may hold any share of the rows.
 
-    Result: query, item, the scores, rho, mean_rank, position (1 is best).
+    Result: query, item, the scores, rho, mean_rank, position (1 is best), n_items (of the query).
     """
     base = (
         df.filter(F.col(query).isNotNull() & F.col(item).isNotNull())
@@ -53,25 +53,28 @@ def robust_rank(spark: SparkSession, df: DataFrame, query: str, item: str, score
     scratch = Scratch(spark, "fusion")
     rows = scratch.keep(base)
     names = [f"_s{k}" for k in range(len(scores))]
-    for k, c in enumerate(names):
-        at, _ = ranked(spark, rows.select("_q", c), "_q", [F.col(c).desc_nulls_last()], [c])
-        mean = ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(f"_r{k}")
-        at = at.select(F.col("_q").alias("_rq"), F.col(c).alias("_rs"), mean)
-        rows = rows.join(at, (F.col("_q") == F.col("_rq")) & F.col(c).eqNullSafe(F.col("_rs")), "inner").drop("_rq", "_rs")
+    # one row per score, so that all scores are ranked by one range partitioning
+    each = rows.select("_q", "_i", F.struct(*names).alias("_s"), F.posexplode(F.array(*names)).alias("_k", "_v"))
+    placed = with_ranks(spark, each, ["_q", "_k"], "_v", F.col("_v").desc_nulls_last(), "fusion-ranks")
+    mean = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total")
+    by_score = [F.max(F.when(F.col("_k") == k, mean)).alias(f"_r{k}") for k in range(len(names))]
+    rows = placed.groupBy("_q", "_i").agg(F.any_value("_s").alias("_s"), F.max("total").alias("n_items"), *by_score).select(
+        "_q", "_i", "_s.*", "n_items", *[f"_r{k}" for k in range(len(names))]
+    )
     m = len(names)
     sorted_ranks = F.array_sort(F.array(*[F.col(f"_r{k}") for k in range(m)]))
     rows = rows.withColumn("_sorted", sorted_ranks)
     least = F.least(*[_beta(F.col("_sorted")[k - 1], k, m) for k in range(1, m + 1)]) if m > 1 else _beta(F.col("_sorted")[0], 1, 1)
     rho = F.round(F.least(F.lit(1.0), least * m), 12)
     mean_rank = F.round(reduce(lambda a, b: a + b, [F.col(f"_r{k}") for k in range(m)]) / m, 12)
-    scored = scratch.keep(rows.select("_q", "_i", *names, rho.alias("rho"), mean_rank.alias("mean_rank")))
+    scored = scratch.keep(rows.select("_q", "_i", *names, "n_items", rho.alias("rho"), mean_rank.alias("mean_rank")))
     order = [F.col("rho"), F.col("mean_rank"), F.col("_i")]
     at, _ = ranked(spark, scored.select("_q", "rho", "mean_rank", "_i"), "_q", order, ["rho", "mean_rank", "_i"])
     place = at.select(F.col("_q").alias("_pq"), F.col("_i").alias("_pi"), (F.col("before") + 1).alias("position"))
     out = scored.join(place, (F.col("_q") == F.col("_pq")) & (F.col("_i") == F.col("_pi")), "inner")
     return out.select(
         F.col("_q").alias(query), F.col("_i").alias(item), *[F.col(n).alias(c) for n, c in zip(names, scores)],
-        "rho", "mean_rank", "position",
+        "rho", "mean_rank", "position", "n_items",
     )
 
 
@@ -91,15 +94,20 @@ def _ahead(a: Column, b: Column, scores: list[str]) -> Column:
 def ahead_of_all(spark: SparkSession, ranking: DataFrame, query: str, item: str, scores: list[str]) -> DataFrame:
     """(query, item): the item of each query that is ahead of every other one in most scores, if any.
 
-    ``ranking`` is the result of ``robust_rank``. Blocks of neighbours in the ranking are folded to one champion
-    each, champions again until one is left; an item ahead of all others wins each fold it takes part in. The
-    last one is then checked against all rows of its query. The only item of a query is ahead of all others.
+    ``ranking`` is the result of ``robust_rank``, which decides who can be it: an item ahead of each of the n - 1
+    others is higher in more scores than it is lower against each, so the sum of its normalised ranks over the m
+    scores is at most ((m - 1) n + m + 1) / 2n; all other items are out. Of those left, blocks of neighbours in the
+    ranking are folded to one champion each, champions again until one is left; an item ahead of all others wins each
+    fold it takes part in. The last one is then checked against all rows of its query. The only item of a query is
+    ahead of all others.
     """
     scratch = Scratch(spark, "champion")
     rows = scratch.keep(
-        ranking.select(F.col(query).alias("_q"), F.col("position").alias("_p"), F.col(item).alias("_i"), *scores)
+        ranking.select(F.col(query).alias("_q"), F.col("position").alias("_p"), F.col(item).alias("_i"), *scores, "mean_rank", "n_items")
     )
-    champions = rows
+    m, n = len(scores), F.col("n_items")
+    most = ((m - 1) * n + m + 1) / (2 * m * n)
+    champions = rows.filter(F.col("mean_rank") <= most + 1e-9).select("_q", "_p", "_i", *scores)
     while True:
         champions = scratch.keep(_fold(champions, scores))
         if (champions.agg(F.max("_p")).first()[0] or 1) <= 1:
@@ -107,7 +115,7 @@ def ahead_of_all(spark: SparkSession, ranking: DataFrame, query: str, item: str,
     best = champions.select(F.col("_q").alias("_bq"), F.struct("_i", *scores).alias("_best"))
     beaten = F.when(F.col("_best._i") == F.col("_i"), True).otherwise(_ahead(F.col("_best"), F.struct("_i", *scores), scores))
     return (
-        lookup_join(rows, best, "_q", "_bq")
+        lookup_join(rows.select("_q", "_i", *scores), best, "_q", "_bq")
         .groupBy("_q").agg(F.bool_and(beaten).alias("_all"), F.any_value("_best._i").alias(item))
         .filter("_all").select(F.col("_q").alias(query), item)
     )
