@@ -8,21 +8,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import Scratch
 
 #: Words of a seed n-gram; of 20 words of which one in nine is altered, at least five in a row are unaltered.
 SEED = 5
 #: Least words of a leaked passage, and the greatest share of them that may be altered.
 LEAST_WORDS = 20
 ALTERED = 1 / 7
-#: The test items are broadcast and so must stay below this many words in all; more are scanned in blocks.
+#: Words of test items in one broadcast; a larger set of items is scanned for in several passes, one block at a time.
 BLOCK_WORDS = 2_000_000
+#: A document of which more than this share leaked is removed whole.
+MOST_LEAKED = 0.5
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _NOT_WORD = re.compile(r"[^\w\s]+|_+")
@@ -70,22 +76,29 @@ def window_hashes(numbers: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text, each as its normalised words joined by blanks."""
+    return [" ".join(normal_words(s)) for s in _SENTENCE.split(text or "")]
+
+
 def build_index(items: list[tuple[int, str]]) -> ItemIndex:
     """Index of (item id, text). Sentences that several items share are masked and take no part."""
-    sentences: dict[tuple[str, ...], set[int]] = {}
-    split = []
-    for item, text in items:
-        parts = [tuple(normal_words(s)) for s in _SENTENCE.split(text or "")]
-        split.append((item, parts))
+    owners: dict[str, set[int]] = {}
+    split = [(item, sentences(text)) for item, text in items]
+    for item, parts in split:
         for s in parts:
-            sentences.setdefault(s, set()).add(item)
+            owners.setdefault(s, set()).add(item)
+    return index_of((item, [(s, len(owners[s]) > 1) for s in parts]) for item, parts in split)
+
+
+def index_of(items: Iterable[tuple[int, list[tuple[str, bool]]]]) -> ItemIndex:
+    """Index of (item id, [(sentence, whether other items have it too)])."""
     index = ItemIndex()
     words: list[int] = []
     owner: list[int] = []
-    for item, parts in split:
-        for s in parts:
-            shared = len(sentences[s]) > 1
-            for w in s:
+    for item, parts in items:
+        for s, shared in parts:
+            for w in s.split():
                 # a masked word gets a number no document word has
                 words.append(-1 if shared else index.vocabulary.setdefault(w, len(index.vocabulary) + 1))
                 owner.append(item)
@@ -208,20 +221,45 @@ def _stretched(c: list[int], numbers: np.ndarray, index: ItemIndex) -> list[int]
     return [first_d, first_p, last_d, last_p, altered]
 
 
+def _blocks(spark: SparkSession, items: DataFrame, item_id: str) -> Iterator[ItemIndex]:
+    """Indexes of about BLOCK_WORDS words or fewer, made one after the other; sharing is judged over all items."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, n, s) for i, text in zip(pdf[item_id], pdf["text"]) for n, s in enumerate(sentences(text))]
+            yield pd.DataFrame(rows, columns=["item", "place", "sentence"])
+
+    parts = items.filter(F.col(item_id).isNotNull() & (F.length("text") > 0)).select(item_id, "text").mapInPandas(
+        split, f"item {items.schema[item_id].dataType.simpleString()}, place long, sentence string"
+    )
+    shared = parts.groupBy("sentence").agg(F.count_distinct("item").alias("_n")).filter("_n > 1").select("sentence", F.lit(True).alias("shared"))
+    own = F.array_sort(F.collect_list(F.struct("place", "sentence", F.coalesce("shared", F.lit(False)).alias("shared"))))
+    whole = Scratch(spark, "items").keep(parts.join(shared, "sentence", "left").groupBy("item").agg(own.alias("parts")))
+    n_words = F.aggregate("parts", F.lit(0), lambda n, s: n + F.size(F.split(s["sentence"], " "))).alias("n")
+    words = whole.select(F.sum(n_words)).first()[0] or 0
+    n_blocks = 1 if words <= BLOCK_WORDS else -(-2 * words // BLOCK_WORDS)
+    for block in range(n_blocks if words else 0):
+        rows = whole.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block).collect()
+        if rows:
+            yield index_of((r["item"], [(s["sentence"], s["shared"]) for s in r["parts"]]) for r in sorted(rows))
+
+
 def leaked_passages(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Passages of ``items`` (item_id unique, text) in ``docs`` (doc_id, text).
 
-    Each document is scanned whole, once with and once without its line markers. The items are a held-out set of
-    known size: up to BLOCK_WORDS words they are one broadcast, beyond that the documents are scanned once for
-    each block of items, and sentences are compared for sharing across all of them.
+    Each document is scanned whole, once with and once without its line markers; passages of one item that overlap
+    are one. The items are a held-out set: their index is broadcast in blocks of about BLOCK_WORDS words, of which
+    the driver holds one at a time, and sentences are compared for sharing across all items.
 
     Null and empty texts have no rows; an item shorter than the least passage cannot leak.
     Result: doc_id, item_id, first_word, last_word (of the document's words), n_words.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = sorted((r[0], r[1]) for r in items.select(item_id, "text").collect() if r[0] is not None and r[1])
-    out = None
-    for index in _blocks(rows):
+    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, doc_id), (items, item_id)))
+    schema = f"{doc_id} {kind}, {item_id} {item_kind}, first_word long, last_word long, n_words long"
+    scratch, out, waiting = Scratch(spark, "leaks"), [], None
+    for index in _blocks(spark, items, item_id):
+        if waiting is not None:  # more than one block: each pass is written before the next index is made
+            out.append(scratch.keep(waiting))
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -235,42 +273,81 @@ def leaked_passages(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_
                 frame["n_words"] = frame["last_word"] - frame["first_word"] + 1
                 yield frame
 
-        part = docs.select(doc_id, "text").mapInPandas(
-            scan, f"{doc_id} {kind}, {item_id} long, first_word long, last_word long, n_words long"
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{doc_id} {kind}, {item_id} long, first_word long, last_word long, n_words long")
-    return out
+        waiting = docs.select(doc_id, "text").mapInPandas(scan, schema)
+    if waiting is None:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [*out, waiting])
 
 
-def _blocks(rows: list[tuple[int, str]]) -> Iterator[ItemIndex]:
-    """Indexes of at most BLOCK_WORDS words each, sharing judged over all rows."""
-    if sum(t.count(" ") + 1 for _, t in rows) <= BLOCK_WORDS:
-        if rows:
-            yield build_index(rows)
-        return
-    seen: dict[str, int] = {}
-    for item, text in rows:
-        for s in {" ".join(normal_words(s)) for s in _SENTENCE.split(text)}:
-            seen[s] = seen.get(s, 0) + 1
-    block: list[tuple[int, str]] = []
-    size = 0
-    for item, text in rows:
-        own = " ".join(s if seen[" ".join(normal_words(s))] == 1 else "\u0000." for s in _SENTENCE.split(text))
-        block.append((item, own))
-        size += own.count(" ") + 1
-        if size > BLOCK_WORDS:
-            yield build_index(block)
-            block, size = [], 0
-    if block:
-        yield build_index(block)
+def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """``docs`` that hold leaked passages, with these cut out: doc_id, text, n_words, n_removed, removed.
+
+    The passages are those of ``leaked_passages``; from the first word of one to its last, the text between is cut
+    too. Of a document of which more than MOST_LEAKED of the words leaked nothing is left (``removed``, text null).
+    The text is cut where it is scanned, so no text is shuffled.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rest = docs.select(doc_id, "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"))
+    for index in _blocks(spark, items, item_id):
+        shared = spark.sparkContext.broadcast(index)
+
+        def cut(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for d, text, n, gone in zip(pdf[doc_id], pdf["text"], pdf["n_words"], pdf["n_removed"]):
+                    found = _scan_text(text, shared.value) if text else []
+                    left, words, cut_words = without_words(text, [f[1:] for f in found]) if found else (text, 0, 0)
+                    out.append((d, left, n or words, gone + cut_words))
+                yield pd.DataFrame(out, columns=[doc_id, "text", "n_words", "n_removed"])
+
+        rest = rest.mapInPandas(cut, f"{doc_id} {kind}, text string, n_words long, n_removed long")
+    whole = F.col("n_removed") > MOST_LEAKED * F.col("n_words")
+    return rest.filter("n_removed > 0").select(
+        doc_id, F.when(~whole, F.col("text")).alias("text"), "n_words", "n_removed", whole.alias("removed")
+    )
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the words of the spans (first, last, counted as ``normal_words`` does), the number of its
+    words, and of those cut. What stands between two cut words goes with them."""
+    at, places = 0, []
+    for m in re.finditer(r"\S+", text):
+        n = len(normal_words(m.group()))
+        places.append((at, at + n, m.start(), m.end()))
+        at += n
+    out, pos, gone = [], 0, 0
+    for first, last in sorted(spans):
+        inside = [p for p in places if p[0] <= last and p[1] > first and p[2] >= pos]
+        if inside:
+            out.append(text[pos : inside[0][2]])
+            pos = inside[-1][3]
+            gone += inside[-1][1] - inside[0][0]
+    return "".join([*out, text[pos:]]), at, gone
 
 
 def _scan_text(text: str, index: ItemIndex) -> list[tuple[int, int, int]]:
+    """(item, first word, last word) of the passages with and without line markers, in the words of ``text``."""
     found = passages(normal_words(text), index) or []
     bare = line_free(text)  # markers in short lines break every seed, so this pass does not depend on the first
     if bare != text:
-        known = {f[0] for f in found}
-        found += [f for f in passages(normal_words(bare), index) or [] if f[0] not in known]
-    return found
+        more = passages(normal_words(bare), index) or []
+        if more:
+            at = _word_numbers(text)
+            found += [(item, at[a], at[b]) for item, a, b in more]
+    out: list[tuple[int, int, int]] = []
+    for item, a, b in sorted(found):
+        if out and out[-1][0] == item and a <= out[-1][2]:
+            out[-1] = (item, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((item, a, b))
+    return out
+
+
+def _word_numbers(text: str) -> list[int]:
+    """For each word of the text without line markers its number among the words of the text."""
+    out, start = [], 0
+    for line in text.split("\n"):
+        n, bare = len(normal_words(line)), len(normal_words(line_free(line)))
+        out += range(start + n - bare, start + n)
+        start += n
+    return out

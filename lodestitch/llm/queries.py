@@ -91,6 +91,11 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REG.add("p8_cleaned")
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.without_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 @REG.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = encodings.damaged_words(spark, table(spark, sf_dir, "documents"))

@@ -61,3 +61,38 @@ def test_short_lines_behind_markers():
         (3, "\n".join("Q: " + " ".join(nine[a : a + 9]) for a in range(0, 45, 9))),
     ]
     assert found(docs, items) == {(k, k) for k in range(4)}
+
+
+def test_passages_of_both_scans_in_one_coordinate_system():
+    rnd = random.Random(8)
+    items = [(1, item(rnd, 70))]
+    words = items[0][1].split()
+    # one passage in plain running text, another in short marked lines, and lines of three words only
+    lined = "\n".join(f"{n + 1}. {' '.join(words[a : a + 3])}" for n, a in enumerate(range(40, 64, 3)))
+    text = f"start here {' '.join(words[:25])} and then\n{lined}\nend"
+    index = L.build_index(items)
+    got = L._scan_text(text, index)
+    own = L.normal_words(text)
+    assert len(got) == 2 and own[got[0][1] : got[0][2] + 1] == words[:25]
+    assert own[got[1][1]] == words[40] and own[got[1][2]] == words[63]
+    left, n, gone = L.without_words(text, [f[1:] for f in got])
+    assert left == "start here  and then\n1. \nend" and n == len(own) and gone == sum(b - a + 1 for _, a, b in got)
+
+
+def test_cleaned(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = [(k, item(rnd, 40)) for k in range(5)]
+    rest = [f"other{k}" for k in range(100)]
+    docs = [(0, f"{' '.join(rest)} {items[0][1]} tail", 1), (1, items[1][1], 1), (2, " ".join(rest), 1), (3, None, 1), (4, "", 1),
+            (5, f"{items[2][1]} {' '.join(rest)} {items[3][1]}", 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_words int")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for size in (L.BLOCK_WORDS, 90):
+        monkeypatch.setattr(L, "BLOCK_WORDS", size)
+        got = {r.doc_id: r for r in L.without_leaks(spark, d, i).collect()}
+        assert set(got) == {0, 1, 5}
+        assert got[1].removed and got[1].text is None
+        assert got[0].text == f"{' '.join(rest)}  tail" and got[0].n_removed == 40
+        assert got[5].text.split() == rest and got[5].n_words == 180
+    assert L.without_leaks(spark, d.limit(0), i).count() == 0
+    assert L.without_leaks(spark, d, i.limit(0)).count() == 0
