@@ -56,11 +56,13 @@ class Lexer:
         start, end = m.span(kind)
         self.start, self.end = start, end
         self.text = m[kind]
-        if start > pos:
-            gap = self.src[pos:start]
-            self.newline = "\n" in gap or "\r" in gap or " " in gap
-        else:
+        if start == pos:
             self.newline = False
+        elif start == pos + 1:
+            self.newline = self.src[pos] in "\n\r\u2028\u2029"
+        else:
+            gap = self.src[pos:start]
+            self.newline = "\n" in gap or "\r" in gap or "\u2028" in gap or "\u2029" in gap
         if kind == NUMBER:
             if _WORDLIKE(self.src, end):
                 raise SourceError(start, "malformed number")

@@ -34,8 +34,8 @@ MODIFIERS = frozenset("public private protected static readonly abstract overrid
 # what an expression is, as far as the parser needs to know
 VALUE, TARGET, PATTERN, ARROW, FURTHER = range(5)
 
-#: Deeper nesting than this is reported as TOO_DEEP instead of exhausting the stack; that is no verdict on the source.
-MAX_DEPTH, TOO_DEEP = 1000, "nested too deeply"
+#: What is noted where the interpreter's recursion limit, which the caller sets, ends; that is no verdict on the source.
+TOO_DEEP = "nested too deeply"
 
 
 @dataclass(frozen=True)
@@ -211,9 +211,6 @@ class Parser(Lexer):
 
     def statement(self, declaration: bool = False) -> None:
         self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.depth -= 1
-            raise RecursionError
         try:
             kind, t = self.kind, self.text
             if kind == NAME:
@@ -978,21 +975,14 @@ class Parser(Lexer):
 
     def assignment(self) -> int:
         """An assignment expression; tells what it is for the sake of a following = or loop."""
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.depth -= 1
-            raise RecursionError
-        try:
-            cover, shape = self.cover, self._assignment()
-            if shape != FURTHER:
-                return shape
-            while shape == FURTHER:  # the arms of chained conditionals are no nesting
-                shape = self._assignment()
-            self._check_cover()
-            self.cover = cover
-            return VALUE
-        finally:
-            self.depth -= 1
+        cover, shape = self.cover, self._assignment()
+        if shape != FURTHER:
+            return shape
+        while shape == FURTHER:  # the arms of chained conditionals are no nesting
+            shape = self._assignment()
+        self._check_cover()
+        self.cover = cover
+        return VALUE
 
     def _assignment(self) -> int:
         kind, t = self.kind, self.text
@@ -1482,24 +1472,14 @@ class Parser(Lexer):
 
     # --- JSX -------------------------------------------------------------------------------------------------
 
-    def jsx_element(self, at: int) -> int:
-        """An element or fragment whose opening angle is at ``at``; returns the offset after it."""
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.depth -= 1
-            raise RecursionError
-        try:
-            return self._jsx_element(at)
-        finally:
-            self.depth -= 1
-
     def _jsx_error(self, at: int, message: str) -> None:
         at = min(at, len(self.src))
         self.start = at
         self.end = max(self.end, min(at + 1, len(self.src)))
         raise SourceError(at, "unexpected end of file" if at >= len(self.src) else message)
 
-    def _jsx_element(self, at: int) -> int:
+    def jsx_element(self, at: int) -> int:
+        """An element or fragment whose opening angle is at ``at``; returns the offset after it."""
         src = self.src
         pos = _JSX_SPACE(src, at + 1).end()
         name = ""
@@ -1614,16 +1594,6 @@ class Parser(Lexer):
         self.type()
 
     def type(self) -> None:
-        self.depth += 1
-        if self.depth > MAX_DEPTH:
-            self.depth -= 1
-            raise RecursionError
-        try:
-            self._type()
-        finally:
-            self.depth -= 1
-
-    def _type(self) -> None:
         if self.kind == NAME and self.text in ("new", "abstract"):
             if self.text == "abstract" and self.peek()[1] == "new":
                 self.next()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -24,20 +25,33 @@ def check_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
     Result per file with a row in both tables: file_id, language, valid, n_errors, first_line and first_cause
     (null if valid) and errors, all of them in order. A null or empty content is valid. A path with an extension
-    that is no ECMAScript or TypeScript one, or a text without an error up to where it is nested deeper than
-    MAX_DEPTH, is not judged: valid is null. Repeated rows of a file count once.
+    that is no ECMAScript or TypeScript one is not judged: valid is null; so is a text without an error up to where
+    it is nested deeper than RECURSION allows. Repeated rows of a file count once.
     """
     named = files.select(F.col("id").alias("file_id"), extension(F.col("path")).alias("language"))
     texts = sources.select("file_id", "content")
     return named.join(texts, "file_id", "inner").dropDuplicates(["file_id"]).mapInPandas(_check, _SCHEMA)
 
 
+#: Calls of the interpreter in one another, about five for a level of nesting. Since Python 3.11 they take memory of
+#: the heap and not of the stack.
+RECURSION = 20_000_000
+#: Verdicts a worker remembers, so that copies of a text among its files are parsed once.
+REMEMBERED = 5_000
+
+
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION if sys.version_info >= (3, 11) else 20_000))
+    known: dict[tuple[str, bytes], list[tuple[int, str]]] = {}
     for pdf in batches:
         out = []
         for file_id, language, content in zip(pdf["file_id"], pdf["language"], pdf["content"]):
-            found = syntax_errors(content, language) if content else []
+            key = (language, hashlib.blake2b((content or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            if key not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = syntax_errors(content, language) if content else []
+            found = known[key]
             if found and found[0][1] in ("unknown language", TOO_DEEP):
                 out.append((file_id, language, None, 0, None, None, []))
                 continue

@@ -1,5 +1,7 @@
 """The syntax checker against sources known to be valid or not."""
 
+import sys
+
 import pytest
 
 from lodestitch.llm import syntax
@@ -63,9 +65,18 @@ def test_panic_mode_reports_later_errors_too():
     assert [at for at, _ in found] == [8, 46]
 
 
-def test_deep_nesting_is_an_error_not_a_crash():
-    assert syntax_errors("(" * 5000, "js")
-    assert syntax_errors("x = " + "[" * 3000 + "]" * 3000, "ts")
+@pytest.mark.parametrize("ext,source", [
+    ("js", "a" + ".then(function () { return b" * 500 + " })" * 500), ("ts", "x = " + "[" * 20_000 + "]" * 20_000), ("jsx", "x = " + "<a>" * 5000 + "</a>" * 5000),
+    ("ts", "type A = " + "Array<" * 5000 + "B" + ">" * 5000), ("js", "x = " + "`${" * 5000 + "1" + "}`" * 5000), ("js", "{" * 5000 + "}" * 5000),
+])
+def test_depth_is_no_error(ext, source):
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(syntax.RECURSION)
+    try:
+        assert syntax_errors(source, ext) == []
+        assert syntax_errors(source[:-1], ext)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def test_files_and_rates(spark):
@@ -80,7 +91,7 @@ def test_files_and_rates(spark):
     assert {r.file_id: r.logged for r in syntax.with_hints(syntax.check_files(files, texts), files, log).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
-def test_long_chains_are_no_nesting_and_too_deep_is_no_verdict(spark):
+def test_long_chains_and_deep_nesting(spark):
     chain = "if (a) b();" + " else if (a) b();" * 1000 + " else c();"
     arms = "x = " + "a ? b : " * 1000 + "c"
     deep = "x = " + "[" * 300 + "]" * 300
@@ -88,4 +99,4 @@ def test_long_chains_are_no_nesting_and_too_deep_is_no_verdict(spark):
     files = spark.createDataFrame([(k, f"f{k}.js", "r") for k in range(len(texts))], "id long, path string, repo string")
     sources = spark.createDataFrame(list(enumerate(texts)), "file_id long, content string")
     got = {r.file_id: r.valid for r in syntax.check_files(files, sources).collect()}
-    assert got == {0: True, 1: True, 2: True, 3: None, 4: False, 5: False, 6: False}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
