@@ -53,9 +53,9 @@ class Lexer:
             self._no_token(pos)
             return
         kind = m.lastindex
-        start, end = m.span(kind)
-        self.start, self.end = start, end
-        self.text = m[kind]
+        self.text = text = m[kind]
+        self.end = end = m.end()
+        self.start = start = end - len(text)
         if start == pos:
             self.newline = False
         elif start == pos + 1:

@@ -22,6 +22,9 @@ BINARY = {
     "??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8,
     ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12,
 }
+#: Names that are no plain operand, and what ends an expression after one.
+_NO_OPERAND = RESERVED | {"async", "await", "yield"}
+_ENDERS = frozenset(",);]}")
 ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 UNARY = frozenset("delete void typeof + - ~ !".split())
 #: Words that begin a statement; panic mode stops at one that stands first in its line.
@@ -975,7 +978,18 @@ class Parser(Lexer):
 
     def assignment(self) -> int:
         """An assignment expression; tells what it is for the sake of a following = or loop."""
-        cover, shape = self.cover, self._assignment()
+        kind, cover = self.kind, self.cover
+        if kind == STRING or kind == NAME and self.text not in _NO_OPERAND or kind == NUMBER and self.text[0] != "0":
+            # most expressions begin with a plain operand, and many are nothing else
+            start = self.start
+            self.next()
+            shape = TARGET if kind == NAME else VALUE
+            if self.kind == PUNCT and self.text in _ENDERS:
+                return shape
+            self.cover = -1
+            shape = self._assigned(self.binary(0, self._postfix(self.subscripts(shape))), start, cover, kind)
+        else:
+            shape = self._assignment()
         if shape != FURTHER:
             return shape
         while shape == FURTHER:  # the arms of chained conditionals are no nesting
@@ -1002,7 +1016,10 @@ class Parser(Lexer):
                 return ARROW
         start, cover = self.start, self.cover
         self.cover = -1
-        shape = self.binary(0)
+        return self._assigned(self.binary(0), start, cover, kind)
+
+    def _assigned(self, shape: int, start: int, cover: int, kind: int) -> int:
+        """What follows the operand or operation at ``start``, whose first token is of ``kind``."""
         if shape == ARROW:
             self.cover = cover
             return ARROW
@@ -1094,9 +1111,11 @@ class Parser(Lexer):
         finally:
             self.in_function, self.in_async, self.in_generator = saved
 
-    def binary(self, least: int) -> int:
-        """Precedence climbing over operators that bind tighter than ``least``."""
-        shape = self.unary()
+    def binary(self, least: int, shape: int | None = None) -> int:
+        """Precedence climbing over operators that bind tighter than ``least``; ``shape`` is the first operand's, if
+        that is read already."""
+        if shape is None:
+            shape = self.unary()
         if shape == ARROW:
             return shape
         while True:
@@ -1168,7 +1187,9 @@ class Parser(Lexer):
                 self.need(">")
                 self.unary()
                 return VALUE
-        shape = self.subscripts(self.primary())
+        return self._postfix(self.subscripts(self.primary()))
+
+    def _postfix(self, shape: int) -> int:
         if self.kind == PUNCT and (self.text == "++" or self.text == "--") and not self.newline:
             if shape != TARGET:
                 self.fail("invalid update target")
