@@ -77,22 +77,19 @@ def ranked(
 
 
 def with_ranks(
-    spark: SparkSession, df: DataFrame, group: list[str], value: str, order: Column, tag: str = "rank"
+    spark: SparkSession, df: DataFrame, group: str, value: str, order: Column, tag: str = "rank"
 ) -> DataFrame:
     """``df`` with n, before and total of each row's ``value`` in its group, as ``ranked`` gives them.
 
     The ranks are joined back by a hash of group and value (and their equality), which hot values, such as the null
     of a large group, do not gather: the at most 1/HOT_SHARE most frequent above HOT_FLOOR are joined by broadcast.
     """
-    keyed = df.select("*", F.struct(*group).alias("_grp"))
-    at, scratch = ranked(spark, keyed.select("_grp", value), "_grp", [order], [value], tag)
-    hashed = lambda: F.xxhash64("_grp", value).alias("_key")
-    parted = scratch.first
-    hot = [r[0] for r in parted.filter(F.col("n") > HOT_FLOOR).orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE)).select(hashed()).collect()]
-    right = at.select(hashed().alias("_rkey"), F.col("_grp").alias("_rg"), F.col(value).alias("_rv"), "n", "before", "total")
-    left = keyed.select("*", hashed())
-    joined = _joined(left, right, "_key", "_rkey", "inner", hot)
-    same = F.col("_grp").eqNullSafe(F.col("_rg")) & F.col(value).eqNullSafe(F.col("_rv"))
+    at, scratch = ranked(spark, df.select(group, value), group, [order], [value], tag)
+    hashed = F.xxhash64(group, value)
+    hot = [r[0] for r in scratch.first.filter(F.col("n") > HOT_FLOOR).orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE)).select(hashed).collect()]
+    right = at.select(hashed.alias("_rkey"), F.col(group).alias("_rg"), F.col(value).alias("_rv"), "n", "before", "total")
+    joined = _joined(df.select("*", hashed.alias("_key")), right, "_key", "_rkey", "inner", hot)
+    same = F.col(group).eqNullSafe(F.col("_rg")) & F.col(value).eqNullSafe(F.col("_rv"))
     return joined.filter(same).select(*df.columns, "n", "before", "total")
 
 
