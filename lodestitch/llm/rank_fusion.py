@@ -53,13 +53,13 @@ def robust_rank(spark: SparkSession, df: DataFrame, query: str, item: str, score
     scratch = Scratch(spark, "fusion")
     rows = scratch.keep(base)
     names = [f"_s{k}" for k in range(len(scores))]
-    # one row per score, so that all scores are ranked by one range partitioning
-    each = rows.select("_q", "_i", F.struct(*names).alias("_s"), F.posexplode(F.array(*names)).alias("_k", "_v"))
-    placed = with_ranks(spark, each, ["_q", "_k"], "_v", F.col("_v").desc_nulls_last(), "fusion-ranks")
+    # one row per score, so that all scores are ranked by one range partitioning; its group is query and score
+    each = rows.select("_q", "_i", F.posexplode(F.array(*names)).alias("_k", "_v")).withColumn("_grp", F.struct("_q", "_k"))
+    placed = with_ranks(spark, each, "_grp", "_v", F.col("_v").desc_nulls_last(), "fusion-ranks")
     mean = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total")
-    by_score = [F.max(F.when(F.col("_k") == k, mean)).alias(f"_r{k}") for k in range(len(names))]
-    rows = placed.groupBy("_q", "_i").agg(F.any_value("_s").alias("_s"), F.max("total").alias("n_items"), *by_score).select(
-        "_q", "_i", "_s.*", "n_items", *[f"_r{k}" for k in range(len(names))]
+    of = lambda k, x: F.max(F.when(F.col("_k") == k, x))
+    rows = placed.groupBy("_q", "_i").agg(
+        F.max("total").alias("n_items"), *[of(k, F.col("_v")).alias(c) for k, c in enumerate(names)], *[of(k, mean).alias(f"_r{k}") for k in range(len(names))]
     )
     m = len(names)
     sorted_ranks = F.array_sort(F.array(*[F.col(f"_r{k}") for k in range(m)]))
