@@ -13,7 +13,7 @@ CONFIDENCE_RANK = {"possible": 1, "likely": 2, "certain": 3}
 RELATION_WEIGHT = {
     1.0: "call render extend dispatches registered_handler produces_lifecycle produces_lifecycle_via lifecycle_listener"
     " produces_job produces_job_via job_handler injects provides handles_route handles_graphql",
-    0.9: "invokes_graphql reads_resource writes_resource member_call member_candidate",
+    0.9: "invokes_graphql reads_resource writes_resource member_call member_candidate name_candidate",
     0.8: "acquires_resource reads_env reads_config checks_flag calls_host",
     0.75: "import reexport",
     0.7: "decorated_by emits listens",

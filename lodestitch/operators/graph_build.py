@@ -27,31 +27,69 @@ def contains_edges(symbols: DataFrame) -> DataFrame:
     return symbols.select(*_edge(F.concat(F.lit("file:"), "path"), F.col("node_key"), "contains", "certain"))
 
 
-def module_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """One edge from a file to each package it imports."""
-    at = files.select(F.col("id").alias("_f"), "path")
-    return imports.filter("package IS NOT NULL").join(at, F.col("file_id") == F.col("_f")).select(
-        *_edge(F.concat(F.lit("file:"), "path"), F.concat(F.lit("pkg:"), "package"), "import", "certain")
-    ).distinct()
-
-
-def reference_edges(symbols: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """Calls from symbols: to a symbol of that name in the same file (certain), else to the package an import
-    names (likely), else to every symbol of that name, however many bear it (possible)."""
+def import_edges(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Edges of resolved requests (``modules.module_edges``): file to file, or file to package.
+
+    Requests for types only have kinds of their own; a file reached by a workspace name is likely, others certain;
+    unresolved requests have no edge.
+    """
+    at = files.select(F.col("id").alias("_f"), F.concat(F.lit("file:"), "path").alias("_key"))
+    rows = resolved.join(at.select(F.col("_f").alias("from_file"), F.col("_key").alias("src")), "from_file").join(
+        at.select(F.col("_f").alias("to_file"), F.col("_key").alias("dst")), "to_file", "left")
+    to_file = rows.filter("dst IS NOT NULL").select(
+        F.col("src").alias("src_key"), F.col("dst").alias("dst_key"), F.when(F.col("type_only"), "imports_types").otherwise("import").alias("kind"),
+        F.when(F.col("resolution") == "workspace", "likely").otherwise("certain").alias("confidence"))
+    to_package = rows.filter("package IS NOT NULL").select(
+        F.col("src").alias("src_key"), F.concat(F.lit("pkg:"), "package").alias("dst_key"),
+        F.when(F.col("type_only"), "imports_package_types").otherwise("import").alias("kind"), F.lit("certain").alias("confidence"))
+    return to_file.unionByName(to_package).distinct()
+
+
+#: A name that more symbols bear than this is reached through a hub node, so that callers and symbols do not multiply.
+DIRECT = 3
+
+
+def reference_edges(symbols: DataFrame, refs: DataFrame, imports: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Calls, renderings and extensions from symbols to what they name.
+
+    In this order: a symbol of that name in the same file (certain); the symbol that an import's export chain lands on
+    (certain, likely through a workspace name), ``chains`` being file_id, local_name, def_file, def_name, confidence; the
+    package an import names (likely); else every symbol of that name (possible), however many bear it: up to DIRECT
+    of them by an edge each, more through one hub node of the name with edges of kind ``name_candidate``.
+    A name imported from a file in which nothing is found has no edge.
+    """
     caller = symbols.select(F.col("symbol_id").alias("chunk_id"), F.col("node_key").alias("src"))
-    calls = refs.join(caller, "chunk_id").select("src", "file_id", "target_name").distinct()
+    calls = refs.join(caller, "chunk_id").select("src", "file_id", "kind", "target_name").distinct()
     target = symbols.select(F.col("file_id").alias("_f"), F.col("name").alias("_n"), F.col("node_key").alias("dst"))
-    local = calls.join(target, (F.col("file_id") == F.col("_f")) & (F.col("target_name") == F.col("_n"))).filter("src <> dst")
-    rest = calls.join(target.select("_f", "_n").distinct(), (F.col("file_id") == F.col("_f")) & (F.col("target_name") == F.col("_n")), "left_anti")
-    named = imports.select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), "package")
-    imported = rest.join(named, (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in")))
-    free = rest.join(named.select("_if", "_in").distinct(), (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in")), "left_anti")
-    possible = free.join(target.select("_n", "dst"), F.col("target_name") == F.col("_n"))
-    return reduce(DataFrame.unionByName, [
-        local.select(*_edge(F.col("src"), F.col("dst"), "call", "certain")),
-        imported.filter("package IS NOT NULL").select(*_edge(F.col("src"), F.concat(F.lit("pkg:"), "package"), "call", "likely")),
-        possible.select(*_edge(F.col("src"), F.col("dst"), "call", "possible")),
-    ]).distinct()
+    on_name = (F.col("file_id") == F.col("_f")) & (F.col("target_name") == F.col("_n"))
+    local = calls.join(target, on_name).filter("src <> dst").select("src", "dst", "kind", F.lit("certain").alias("confidence"))
+    rest = calls.join(target.select("_f", "_n").distinct(), on_name, "left_anti")
+    named = imports.filter("local_name IS NOT NULL").select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), "package")
+    on_import = (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in"))
+    parts = [local, rest.join(named.filter("package IS NOT NULL"), on_import).select("src", F.concat(F.lit("pkg:"), "package").alias("dst"), "kind", F.lit("likely").alias("confidence"))]
+    if chains is not None:
+        ends = chains.select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), F.col("def_file").alias("_f"), F.col("def_name").alias("_n"), "confidence")
+        parts.append(rest.join(ends, on_import).join(target, ["_f", "_n"]).select("src", "dst", "kind", "confidence"))
+    free = rest.join(named.select("_if", "_in").distinct(), on_import, "left_anti")
+    per_name = target.groupBy("_n").agg(F.count(F.lit(1)).alias("_bear"))
+    few, many = per_name.filter(F.col("_bear") <= DIRECT).select("_n"), per_name.filter(F.col("_bear") > DIRECT).select("_n")
+    possible = F.lit("possible").alias("confidence")
+    parts.append(free.join(target.join(few, "_n", "left_semi").select("_n", "dst"), F.col("target_name") == F.col("_n")).select("src", "dst", "kind", possible))
+    hub = lambda name: F.concat(F.lit("name:unknown:"), name).alias("dst")
+    wide = free.join(many, F.col("target_name") == F.col("_n"), "left_semi")
+    parts.append(wide.select("src", hub(F.col("target_name")), "kind", possible))
+    used = wide.select(F.col("target_name").alias("_n")).distinct()
+    parts.append(target.join(used, "_n", "left_semi").select(hub(F.col("_n")).alias("src"), "dst", F.lit("name_candidate").alias("kind"), possible))
+    return reduce(DataFrame.unionByName, parts).select(F.col("src").alias("src_key"), F.col("dst").alias("dst_key"), "kind", "confidence").distinct()
+
+
+def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src_key, dst_key, confidence) of the call edges to ``targets`` (node_key), those through name hubs included."""
+    to = targets.select(F.col("node_key").alias("dst_key")).distinct()
+    direct = edges.filter("kind = 'call'").join(to, "dst_key", "left_semi").select("src_key", "dst_key", "confidence")
+    hubs = edges.filter("kind = 'name_candidate'").join(to, "dst_key", "left_semi").select(F.col("src_key").alias("_hub"), "dst_key")
+    wide = edges.filter("kind = 'call'").select("src_key", F.col("dst_key").alias("_hub"), "confidence").join(hubs, "_hub")
+    return direct.unionByName(wide.filter("src_key <> dst_key").select("src_key", "dst_key", "confidence")).distinct()
 
 
 def member_edges(symbols: DataFrame, members: DataFrame) -> DataFrame:
@@ -65,14 +103,18 @@ def member_edges(symbols: DataFrame, members: DataFrame) -> DataFrame:
     return into.unionByName(out)
 
 
-def event_edges(symbols: DataFrame, sites: DataFrame) -> DataFrame:
-    """Emitters point to the hub of an event name, the hub to its listeners."""
-    caller = symbols.select(F.col("symbol_id").alias("chunk_id"), F.col("node_key").alias("src"))
-    at = sites.join(caller, "chunk_id")
+def event_edges(files: DataFrame, sites: DataFrame) -> DataFrame:
+    """A file contains its event sites (certain); a site that emits points to the hub of the event's name, the hub to
+    the sites that listen (possible). Sites are numbered in the order of (name, method, chunk)."""
+    at = files.select(F.col("id").alias("file_id"), "path")
+    order = Window.partitionBy("file_id").orderBy("name", "role", "method", "chunk_id")
+    rows = sites.join(at, "file_id").withColumn("_no", F.row_number().over(order))
+    site = F.concat(F.lit("event-site:"), "path", F.lit(":"), F.col("_no").cast("string"))
     hub = F.concat(F.lit("event:unknown:"), "name")
-    emits = at.filter("role = 'emit'").select(*_edge(F.col("src"), hub, "emits", "possible"))
-    listens = at.filter("role = 'listen'").select(*_edge(hub, F.col("src"), "listens", "possible"))
-    return emits.unionByName(listens).distinct()
+    holds = rows.select(*_edge(F.concat(F.lit("file:"), "path"), site, "contains_event", "certain"))
+    emits = rows.filter("role = 'emit'").select(*_edge(site, hub, "emits", "possible"))
+    listens = rows.filter("role = 'listen'").select(*_edge(hub, site, "listens", "possible"))
+    return holds.unionByName(emits).unionByName(listens)
 
 
 def deduplicated(edges: DataFrame, rank) -> DataFrame:

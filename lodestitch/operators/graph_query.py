@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..session import Scratch
+from .skew import lookup_join
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -55,65 +56,144 @@ def distances(spark: SparkSession, edges: DataFrame, sources: DataFrame, depth:
     return known
 
 
-def bounded_edges(spark: SparkSession, edges: DataFrame, anchor: str, depth: int, limit: int) -> list[tuple]:
-    """Edges among nodes within ``depth`` hops of the anchor, for replay on the driver.
+def ends_table(edges: DataFrame, degree: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """``endpoints`` with what scores an edge: confidence, relation weight, the other node's damping by its degree in
+    the whole graph, and its role's penalty; src_key and dst_key give the direction.
 
-    At most ``limit`` rows come to the driver, those nearest to the anchor; this bound is the budget of the
-    neighbourhood and path queries, not a cap on stored data.
+    ``degree``: node, degree; ``roles``: node, role (none counts as production). This is the table to publish, sorted
+    by node, that neighbourhoods are read from.
+    """
+    d = degree.select(F.col("node").alias("_n"), F.col("degree").alias("_d"))
+    forward = edges.select(F.col("src_key").alias("node"), F.col("dst_key").alias("other"), "src_key", "dst_key", "kind", "confidence")
+    back = edges.filter("src_key <> dst_key").select(F.col("dst_key").alias("node"), F.col("src_key").alias("other"), "src_key", "dst_key", "kind", "confidence")
+    out = lookup_join(forward.unionByName(back), d, "other", "_n", "left")
+    penalty = F.lit(1.0)
+    if roles is not None:
+        out = lookup_join(out.drop("_n"), roles.select(F.col("node").alias("_rn"), F.col("role").alias("_role")).dropDuplicates(["_rn"]), "other", "_rn", "left")
+        penalty = X.role_penalty(F.col("_role"))
+    return out.select(
+        "node", "other", "src_key", "dst_key", "kind", "confidence", X.confidence_rank(F.col("confidence")).alias("rank"), X.confidence_weight(F.col("confidence")).alias("conf"),
+        X.relation_weight(F.col("kind")).alias("rel"), X.hub_damping(F.coalesce("_d", F.lit(0))).alias("hub"), penalty.alias("part"),
+    )
+
+
+#: An edge (source, target, kind, confidence), and the state of a reached node: depth and the floors of confidence,
+#: relation, hub damping and role along the way.
+Edge = tuple[str, str, str, str]
+State = tuple[int, float, float, float, float]
+
+
+def _score(state: State, conf: float, rel: float, hub: float, part: float) -> tuple[float, State]:
+    d, c, r, h, p = state
+    c, r, h, p = min(c, conf), min(r, rel), min(h, hub), min(p, part)
+    return round(c * r * 0.75**d * h * p + 1e-12, 6), (d + 1, c, r, h, p)
+
+
+class EdgeReader:
+    """Edges of a published ``ends_table`` as a best-first search asks for them, a few nodes in one job.
+
+    Of a node with its state only the ``most`` best edges in the search's own order come to the driver: more are never
+    taken before the node limit, and after it only the edges among the reached nodes count, which ``among`` reads.
     """
-    near = distances(spark, edges, spark.createDataFrame([(anchor,)], "node string"), depth)
-    a = near.select(F.col("node").alias("src_key"), F.col("distance").alias("_a"))
-    b = near.select(F.col("node").alias("dst_key"), F.col("distance").alias("_b"))
-    inside = edges.join(a, "src_key").join(b, "dst_key")
-    rows = inside.orderBy(F.least("_a", "_b"), "src_key", "dst_key", "kind").select("src_key", "dst_key", "kind", "confidence").limit(limit).collect()
-    return [tuple(r) for r in rows]
+
+    def __init__(self, spark: SparkSession, ends: DataFrame, least: str):
+        self.spark = spark
+        self.ends = ends.filter(F.col("rank") >= X.CONFIDENCE_RANK[least])
+        self.jobs = 0
+
+    def best(self, asked: list[tuple[str, State]], most: int) -> dict[tuple[str, State], list]:
+        self.jobs += 1
+        rows = [(k, n, d, c, r, h, p) for k, (n, (d, c, r, h, p)) in enumerate(asked)]
+        want = F.broadcast(self.spark.createDataFrame(rows, "_k int, _node string, _sd int, _sc double, _sr double, _sh double, _sp double"))
+        names = sorted({n for n, _ in asked})
+        at = self.ends.filter(F.col("node").isin(names)).join(want, F.col("node") == F.col("_node"))
+        power = F.pow(F.lit(0.75), F.col("_sd"))
+        product = F.least("_sc", "conf") * F.least("_sr", "rel") * power * F.least("_sh", "hub") * F.least("_sp", "part")
+        order = [F.round(product + 1e-12, 6).desc(), F.col("other"), "src_key", "dst_key", "kind", "confidence"]
+        numbered = at.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).filter(F.col("_n") <= most)
+        out: dict[tuple[str, State], list] = {a: [] for a in asked}
+        for x in numbered.select("_k", "other", "src_key", "dst_key", "kind", "confidence", "conf", "rel", "hub", "part").collect():
+            out[asked[x[0]]].append((x[1], (x[2], x[3], x[4], x[5]), x[6:]))
+        return out
+
+    def among(self, nodes: list[str]) -> dict[str, list]:
+        """The edges whose ends are both of ``nodes``, by node; at most one of each kind for each pair."""
+        self.jobs += 1
+        out: dict[str, list] = {}
+        rows = self.ends.filter(F.col("node").isin(nodes) & F.col("other").isin(nodes))
+        for x in rows.select("node", "other", "src_key", "dst_key", "kind", "confidence", "conf", "rel", "hub", "part").collect():
+            out.setdefault(x[0], []).append((x[1], (x[2], x[3], x[4], x[5]), x[6:]))
+        return out
 
 
 def neighborhood(
-    edges: list[tuple], anchor: str, depth: int = 1, node_limit: int = 50, edge_limit: int = 200, least: str = "likely",
-    degree: dict[str, int] | None = None, role: dict[str, str] | None = None,
-) -> tuple[list[tuple[str, float, int]], list[tuple]]:
-    """Best-first neighbourhood of a node over collected edges (src, dst, kind, confidence).
+    reader, anchor: str, damping: float, depth: int = 1, node_limit: int = 50, edge_limit: int = 200,
+) -> tuple[list[tuple[str, float, int]], list[tuple[Edge, float]]]:
+    """Best-first neighbourhood of a node whose own hub damping is ``damping``.
 
     The frontier is ordered by score descending, depth, other node and edge. Each edge enters once; an edge to a
     new node beyond the node limit is skipped while edges between known nodes still enter; the edge limit ends
     the search. Relevance multiplies floors kept along the way: confidence, relation, hub damping and role, with
     0.75 for each further hop. Returns (node, relevance, depth) and (edge, relevance), best first.
+
+    ``reader`` gives edges (see ``EdgeReader``). The search is replayed from the start whenever it needs a node not yet
+    read; nodes that are next in the frontier are read with it, so jobs follow the depth and not the nodes. What
+    comes to the driver is bounded by the limits: edge_limit times two of each node expanded, and the edges among
+    the reached nodes.
     """
-    rank = X.CONFIDENCE_RANK
-    weight = {k: w for w, kinds in X.RELATION_WEIGHT.items() for k in kinds.split()}
-    use = [e for e in edges if rank.get(e[3], 0) >= rank[least]]
-    at: dict[str, list[tuple[str, tuple]]] = {}
-    for e in use:
-        at.setdefault(e[0], []).append((e[1], e))
-        if e[0] != e[1]:
-            at.setdefault(e[1], []).append((e[0], e))
-    deg = degree or {n: len(x) for n, x in at.items()}
-    damping = lambda n: 1 / math.log2(deg.get(n, 0) + 2)
-    penalty = lambda n: X.ROLE_PENALTY.get((role or {}).get(n, "production"), 0.0)
-    reached: dict[str, tuple[float, int]] = {anchor: (1.0, 0)}
-    taken: dict[tuple, float] = {}
-    heap: list[tuple] = []
-
-    def push(node: str, d: int, conf: float, rel: float, hub: float, part: float) -> None:
-        for other, e in at.get(node, ()):
+    read: dict[tuple[str, State], list] = {}
+    inner: dict[str, list] | None = None
+    start = (0, damping, 1.0, 1.0, 1.0)
+    while True:
+        missing: dict[tuple[str, State], None] = {}
+        reached: dict[str, tuple[float, int]] = {anchor: (1.0, 0)}
+        expanded: list[tuple[str, State]] = []
+        taken: dict[Edge, float] = {}
+        heap: list[tuple] = []
+        full = False
+
+        def push(node: str, state: State, edges: list) -> None:
+            for other, e, attributes in edges:
+                if e not in taken:
+                    score, new = _score(state, *attributes)
+                    heapq.heappush(heap, (-score, new[0], other, e, new))
+
+        def expand(node: str, state: State) -> bool:
+            if (node, state) not in read:
+                missing[node, state] = None
+                return False
+            expanded.append((node, state))
+            push(node, state, read[node, state])
+            return True
+
+        expand(anchor, start)
+        while heap and len(taken) < edge_limit and not missing:
+            neg, d, other, e, state = heapq.heappop(heap)
             if e in taken:
                 continue
-            c, r = min(conf, X.CONFIDENCE_WEIGHT[e[3]]), min(rel, weight.get(e[2], 0.5))
-            h, p = min(hub, damping(other)), min(part, penalty(other))
-            score = round(c * r * 0.75**d * h * p + 1e-12, 6)
-            heapq.heappush(heap, (-score, d + 1, other, e, c, r, h, p))
-
-    push(anchor, 0, damping(anchor), 1.0, 1.0, 1.0)
-    while heap and len(taken) < edge_limit:
-        neg, d, other, e, c, r, h, p = heapq.heappop(heap)
-        if e in taken or other not in reached and len(reached) >= node_limit:
-            continue
-        taken[e] = -neg
-        if other not in reached:
-            reached[other] = (-neg, d)
-            if d < depth:
-                push(other, d, c, r, h, p)
+            if other not in reached and len(reached) >= node_limit:
+                if not full:  # from here on only edges among the reached nodes enter, of all nodes expanded
+                    full = True
+                    if inner is None:
+                        inner = reader.among(sorted(reached))
+                    for node, s in expanded:
+                        push(node, s, inner.get(node, []))
+                continue
+            taken[e] = -neg
+            if other not in reached:
+                reached[other] = (-neg, d)
+                if d < depth and not expand(other, state):
+                    break
+        if not missing:
+            break
+        # the nodes that the frontier would reach next, each by its best edge
+        ahead = dict.fromkeys(reached)
+        for _, d, other, _, state in heapq.nsmallest(4 * node_limit, heap):
+            if other not in ahead and d < depth and len(ahead) < node_limit:
+                ahead[other] = None
+                if (other, state) not in read:
+                    missing[other, state] = None
+        read |= reader.best(list(missing), 2 * edge_limit)
     found = sorted(((n, s, d) for n, (s, d) in reached.items()), key=lambda x: (-x[1], x[0]))
     return found, sorted(taken.items(), key=lambda x: (-x[1], x[0]))
 
@@ -170,41 +250,3 @@ def widest_paths(scored: list[tuple[tuple, float]], sources: list[str]) -> dict[
             if other not in best:
                 heapq.heappush(heap, (-min(-neg, s), other, node))
     return best
-
-
-def export_chains(spark: SparkSession, exports: DataFrame, rounds: int = 16) -> DataFrame:
-    """Where an exported name is defined, through re-exports.
-
-    ``exports``: file_id, export_name ('*' for all), local_name (null for a re-export), from_file, from_name. For
-    each (file_id, export_name) that is not a star, an exact entry wins over stars; among stars the one whose
-    chain is least by the order of from_file. Rounds join the frontier with the next file; a (file, name) already
-    visited on the chain ends it, so cycles give no definition. Result: file_id, export_name, def_file, def_name,
-    hops.
-    """
-    scratch = Scratch(spark, "chains")
-    e = scratch.keep(exports.select("file_id", "export_name", "local_name", "from_file", "from_name"))
-    x = e.select(*[F.col(n).alias(f"_{n}") for n in e.columns])
-    frontier = scratch.keep(e.filter("export_name <> '*'").select("file_id", "export_name").distinct().select(
-        "file_id", "export_name", F.col("file_id").alias("at_file"), F.col("export_name").alias("at_name"),
-        F.array(F.concat_ws("\0", F.col("file_id").cast("string"), "export_name")).alias("seen"), F.array().cast("array<string>").alias("order"),
-    ))
-    done = []
-    for hop in range(rounds):
-        exact = frontier.join(x, (F.col("at_file") == F.col("_file_id")) & (F.col("at_name") == F.col("_export_name")))
-        star = frontier.join(exact.select("file_id", "export_name", "order").distinct(), ["file_id", "export_name", "order"], "left_anti").join(
-            x.filter("_export_name = '*'"), F.col("at_file") == F.col("_file_id"))
-        done.append(scratch.keep(exact.filter("_local_name IS NOT NULL").select(
-            "file_id", "export_name", F.col("at_file").alias("def_file"), F.col("_local_name").alias("def_name"), F.lit(hop).cast("long").alias("hops"), "order")))
-        step = lambda df, name, mark: df.select(
-            "file_id", "export_name", F.col("_from_file").alias("at_file"), name.alias("at_name"), "seen",
-            F.concat("order", F.array(F.concat(F.lit(mark), F.lpad(F.col("_from_file").cast("string"), 20, "0")))).alias("order"))
-        onward = step(exact.filter("_local_name IS NULL"), F.coalesce("_from_name", "_export_name"), "0").unionByName(step(star, F.col("at_name"), "1"))
-        key = F.concat_ws("\0", F.col("at_file").cast("string"), "at_name")
-        frontier = scratch.keep(onward.filter(F.col("at_file").isNotNull() & ~F.array_contains("seen", key)).withColumn("seen", F.array_append("seen", key)).distinct())
-        if frontier.isEmpty():
-            break
-    union = done[0]
-    for more in done[1:]:
-        union = union.unionByName(more)
-    best = union.groupBy("file_id", "export_name").agg(F.min(F.struct("order", "def_file", "def_name", "hops")).alias("_b"))
-    return best.select("file_id", "export_name", "_b.def_file", "_b.def_name", "_b.hops")

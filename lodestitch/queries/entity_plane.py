@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import entities as N
+from ..operators import graph_build as G
 from ..operators import graph_query as Q
-from ..session import table
-from .graph import BASE, ENDS, SYM, anchor, edges, symbols
+from ..session import published, table
+from .graph import BASE, ENDS, SYM, anchor, degrees, edges, symbols
 from .registry import Registry
 
 REG = Registry()
@@ -32,7 +33,13 @@ SITE = f"site AS (SELECT file_id, plane, entity_type, role, name, kind, count(*)
 
 
 def sites(s: SparkSession, d: str) -> DataFrame:
-    return N.sites(table(s, d, "source_files"))
+    return published(s, d, "sites", lambda: N.sites(table(s, d, "source_files")))
+
+
+def producer_calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls of symbols in files with a producing site, those through name hubs included."""
+    files = sites(s, d).filter(c("role").isin(N.PRODUCERS)).select("file_id").distinct()
+    return G.callers(edges(s, d), symbols(s, d).join(files, "file_id", "left_semi"))
 
 
 put("s10_entity_sites", f"WITH {SITE} SELECT * FROM site", sites)
@@ -52,8 +59,9 @@ SELECT s.node_key, w.relevance, row_number() OVER (ORDER BY w.relevance DESC, s.
         "node_key", "relevance", F.row_number().over(Window.orderBy(c("relevance").desc(), "node_key")).cast("long").alias("rank")))(
         sites(s, d).filter("plane <> 'contract'").groupBy("file_id").agg(F.max(X.round_score(X.hub_damping(c("n")))).alias("relevance"))))
 put("g8_boundary_collapse", BASE + f""", {SITE}, p AS (SELECT DISTINCT 'sym' AS k, s.node_key, t.name FROM site t JOIN sym s USING (file_id) WHERE t.role IN ({', '.join(map(_q, N.PRODUCERS))}))
-SELECT DISTINCT e.src_key, p.name AS entity, e.confidence FROM edges e JOIN p ON p.node_key = e.dst_key WHERE e.kind = 'call'""",
-    lambda s, d: edges(s, d).filter("kind = 'call'").join(symbols(s, d).select(c("node_key").alias("dst_key"), "file_id").join(
+SELECT DISTINCT e.src_key, p.name AS entity, e.confidence FROM edges e JOIN p ON p.node_key = e.dst_key WHERE e.kind = 'call'
+UNION SELECT e.src_key, p.name, e.confidence FROM edges e JOIN edges h ON h.src_key = e.dst_key AND h.kind = 'name_candidate' JOIN p ON p.node_key = h.dst_key WHERE e.kind = 'call' AND e.src_key <> h.dst_key""",
+    lambda s, d: producer_calls(s, d).join(symbols(s, d).select(c("node_key").alias("dst_key"), "file_id").join(
         sites(s, d).filter(c("role").isin(N.PRODUCERS)).select("file_id", c("name").alias("entity")), "file_id").select("dst_key", "entity").distinct(), "dst_key").select("src_key", "entity", "confidence").distinct())
 put("t7_diverse_ties", """WITH a AS (SELECT DISTINCT id, artifact_type, confidence FROM artifact_views WHERE is_current),
 t AS (SELECT *, row_number() OVER (PARTITION BY confidence, artifact_type ORDER BY id) AS turn FROM a)
@@ -63,7 +71,7 @@ put("q8_u8_expansion", BASE + f""", {ENDS}, seeds AS (SELECT node FROM deg ORDER
 hop AS (SELECT e.other AS node, round(CASE e.confidence WHEN 'certain' THEN 1.0 WHEN 'likely' THEN 0.6 ELSE 0.3 END * (1.0 / log2(deg.degree + 2)), 6)::DOUBLE AS relevance FROM ends e JOIN seeds USING (node) JOIN deg ON deg.node = e.other)
 SELECT node, max(relevance) AS relevance FROM hop GROUP BY 1""",
     lambda s, d: (lambda e: (lambda g: Q.endpoints(e).join(F.broadcast(g.orderBy(c("degree").desc(), "node").limit(3).select("node")), "node").select(c("other").alias("_o"), "confidence").join(
-        g.select(c("node").alias("_o"), "degree"), "_o").groupBy(c("_o").alias("node")).agg(F.max(X.round_score(X.confidence_weight(c("confidence")) * X.hub_damping(c("degree")))).alias("relevance")))(Q.degrees(e)))(edges(s, d)))
+        g.select(c("node").alias("_o"), "degree"), "_o").groupBy(c("_o").alias("node")).agg(F.max(X.round_score(X.confidence_weight(c("confidence")) * X.hub_damping(c("degree")))).alias("relevance")))(degrees(s, d)))(edges(s, d)))
 put("q1_anchor_resolution", f"WITH {SYM} SELECT name, count(*) AS n_candidates, CASE WHEN count(*) = 1 THEN min(node_key) END AS anchor FROM sym GROUP BY 1",
     lambda s, d: symbols(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("n_candidates"), F.min("node_key").alias("k")).select("name", "n_candidates", F.when(c("n_candidates") == 1, c("k")).alias("anchor")))
 put("q12_definitions", f"WITH {SYM}, r AS (SELECT name, symbol_id, row_number() OVER (PARTITION BY name ORDER BY decl_end - decl_start, symbol_id) AS rank FROM sym) SELECT name, symbol_id, rank FROM r WHERE rank <= 5",

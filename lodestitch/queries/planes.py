@@ -14,7 +14,7 @@ from ..operators import policy as P
 from ..operators import retrieval as R
 from ..session import table
 from ..streaming import watch as L
-from .graph import BASE, IMP, MEM, REF, SYM, edges, symbols
+from .graph import BASE, IMP, MEM, REF, SYM, edges, imports, symbols
 from .registry import Registry
 from .scalars import AREA_SQL
 
@@ -125,8 +125,8 @@ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY
 SELECT subject, id, role, confidence FROM n WHERE NOT EXISTS (SELECT 1 FROM n u WHERE u.confidence = 'certain' AND starts_with(n.subject, u.subject || '/'))""",
     lambda s, d: P.reconciled(table(s, d, "files").filter("role IS NOT NULL").select("id", F.regexp_replace("path", "/[^/]+$", "").alias("subject"), "role",
         F.when(c("role").isin("test", "fixture"), "certain").otherwise("possible").alias("confidence"), F.lit(True).alias("valid"))))
-put("p_seeds", BASE + " SELECT node_key FROM sym WHERE exported AND role IN ('production', 'unknown') AND node_key NOT IN (SELECT dst_key FROM edges WHERE kind = 'call')",
-    lambda s, d: symbols(s, d).filter(c("exported") & c("role").isin("production", "unknown")).select("node_key").join(edges(s, d).filter("kind = 'call'").select(c("dst_key").alias("node_key")), "node_key", "left_anti"))
+put("p_seeds", BASE + " SELECT node_key FROM sym WHERE exported AND role IN ('production', 'unknown') AND node_key NOT IN (SELECT dst_key FROM edges WHERE kind IN ('call', 'name_candidate'))",
+    lambda s, d: symbols(s, d).filter(c("exported") & c("role").isin("production", "unknown")).select("node_key").join(edges(s, d).filter("kind IN ('call', 'name_candidate')").select(c("dst_key").alias("node_key")), "node_key", "left_anti"))
 put("p_card_subjects", BASE + """, w AS (SELECT s.node_key, s.path, coalesce(sum(CASE e.confidence WHEN 'certain' THEN 1.0 WHEN 'likely' THEN 0.6 WHEN 'possible' THEN 0.3 END), 0)::DOUBLE AS weight FROM sym s LEFT JOIN edges e ON e.dst_key = s.node_key WHERE s.exported GROUP BY 1, 2)
 SELECT node_key, round(weight, 6) AS weight, row_number() OVER (PARTITION BY split_part(path, '/', 2) ORDER BY round(weight, 6) DESC, node_key) AS depth FROM w""",
     lambda s, d: symbols(s, d).filter("exported").select("node_key", "path").join(edges(s, d).groupBy(c("dst_key").alias("node_key")).agg(F.sum(X.confidence_weight(c("confidence"))).alias("w")), "node_key", "left").select(
@@ -151,7 +151,7 @@ EXISTS (SELECT 1 FROM mem m WHERE m.chunk_id = r.chunk_id AND m.prop = r.target_
         sy.filter("role = 'production'").select(c("name").alias("target_name")).distinct().withColumn("k", F.lit(True)), "target_name", "left").join(
         m.select("chunk_id", c("prop").alias("target_name")).distinct().withColumn("m", F.lit(True)), ["chunk_id", "target_name"], "left").select(
         "chunk_id", "target_name", F.coalesce("l", F.lit(False)).alias("local"), F.coalesce("i", F.lit(False)).alias("imported"), F.coalesce("k", F.lit(False)).alias("namesake"), F.coalesce("m", F.lit(False)).alias("member")))(
-        E.references(table(s, d, "chunks")), symbols(s, d), E.imports(table(s, d, "source_files")), E.member_calls(table(s, d, "chunks"))))
+        E.references(table(s, d, "chunks")), symbols(s, d), imports(s, d), E.member_calls(table(s, d, "chunks"))))
 put("e2_eligibility_counters", f"""WITH {SYM}, {REF} SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM sym s WHERE s.file_id = r.file_id AND s.name = r.target_name)) AS resolved,
 count(*) FILTER (f.role IN ('test', 'fixture')) AS excluded FROM ref r JOIN files f ON f.id = r.file_id""",
     lambda s, d: (lambda r, sy: r.join(table(s, d, "files").select(c("id").alias("file_id"), "role"), "file_id").join(sy.select("file_id", c("name").alias("target_name")).distinct().withColumn("l", F.lit(True)), ["file_id", "target_name"], "left").agg(

@@ -77,6 +77,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lodestitch-")
     _OWN_DIRS.append(own)
     sc.setCheckpointDir(f"file://{own}")
@@ -122,6 +124,24 @@ class Scratch:
             Scratch._live.discard(path)
 
 
+_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def published(spark: SparkSession, directory: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """A derived table of a versioned directory, built and written once an application and read by every query.
+
+    ``build`` gives the DataFrame; with ``partition_by`` rows are range-partitioned and sorted by these columns, so
+    that a point lookup reads the row groups of its key only. The tables lie in the shared folder.
+    """
+    key = (spark.sparkContext.applicationId, directory, name)
+    if key not in _PUBLISHED:
+        df = build()
+        if partition_by:
+            df = df.repartitionByRange(*partition_by).sortWithinPartitions(*partition_by)
+        _PUBLISHED[key] = Scratch(spark, f"published-{name}").keep(df)
+    return _PUBLISHED[key]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)

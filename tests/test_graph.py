@@ -1,7 +1,15 @@
 """Graph queries on small graphs with known answers."""
 
+import math
+import random
+
+import pytest
+
+from lodestitch.functions import scalars as X
+from lodestitch.operators import evidence as E
 from lodestitch.operators import graph_build as G
 from lodestitch.operators import graph_query as Q
+from lodestitch.operators import modules as M
 
 EDGES = [
     ("a", "b", "call", "certain"), ("a", "c", "call", "likely"), ("b", "d", "call", "certain"), ("c", "d", "call", "certain"),
@@ -30,17 +38,74 @@ def test_distances(spark):
     assert got == {"a": 0, "b": 1, "c": 1, "f": 1, "d": 2}
 
 
+class Whole:
+    """All edges in memory with true degrees, every list in full: the search without any bounded reading."""
+
+    def __init__(self, edges, least="likely"):
+        at, degree = {}, {}
+        for e in edges:
+            for n in {e[0], e[1]}:
+                degree[n] = degree.get(n, 0) + 1
+        self.degree = degree
+        weight = {k: w for w, kinds in X.RELATION_WEIGHT.items() for k in kinds.split()}
+        for e in edges:
+            if X.CONFIDENCE_RANK[e[3]] < X.CONFIDENCE_RANK[least]:
+                continue
+            for a, b in {(e[0], e[1]), (e[1], e[0])}:
+                at.setdefault(a, []).append((b, e, (X.CONFIDENCE_WEIGHT[e[3]], weight.get(e[2], 0.5), self.damping(b), 1.0)))
+        self.at = at
+
+    def damping(self, n):
+        return 1 / math.log2(self.degree.get(n, 0) + 2)
+
+    def best(self, asked, most):
+        return {a: self.at.get(a[0], []) for a in asked}
+
+    def among(self, nodes):
+        return {}
+
+
+def around(edges, anchor, least="likely", **limits):
+    whole = Whole(edges, least)
+    return Q.neighborhood(whole, anchor, whole.damping(anchor), **limits)
+
+
 def test_neighborhood_limits():
-    found, edges = Q.neighborhood(EDGES, "a", depth=3)
+    found, edges = around(EDGES, "a", depth=3)
     assert [n for n, _, _ in found][0] == "a" and {n for n, _, _ in found} == {"a", "b", "c", "d", "e"}
-    found, edges = Q.neighborhood(EDGES, "a", depth=3, node_limit=3)
+    found, edges = around(EDGES, "a", depth=3, node_limit=3)
     # edges between known nodes still enter when no new node may
     assert {n for n, _, _ in found} == {"a", "b", "c"} and len(edges) == 3
-    found, edges = Q.neighborhood(EDGES, "a", depth=3, edge_limit=1)
+    found, edges = around(EDGES, "a", depth=3, edge_limit=1)
     assert len(edges) == 1
-    assert Q.neighborhood([], "a")[0] == [("a", 1.0, 0)]
-    again = Q.neighborhood(list(reversed(EDGES)), "a", depth=3)
-    assert again == Q.neighborhood(EDGES, "a", depth=3)
+    assert around([], "a")[0] == [("a", 1.0, 0)]
+    assert around(list(reversed(EDGES)), "a", depth=3) == around(EDGES, "a", depth=3)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bounded_reading_gives_the_whole_search(spark, seed):
+    rnd = random.Random(seed)
+    kinds, confidences = ["call", "import", "member_call", "emits"], ["certain", "likely", "possible"]
+    node = lambda: f"n{int(rnd.random() ** 2 * 60)}"
+    edges = list({(node(), node(), rnd.choice(kinds), rnd.choice(confidences)) for _ in range(400)})
+    ends = Q.ends_table(df(spark, edges), Q.degrees(df(spark, edges)))
+    for depth, nodes, limit, least in ((1, 5, 8, "likely"), (2, 10, 30, "possible"), (3, 25, 60, "possible")):
+        whole = Whole(edges, least)
+        reader = Q.EdgeReader(spark, ends, least)
+        got = Q.neighborhood(reader, "n0", whole.damping("n0"), depth, nodes, limit)
+        assert got == Q.neighborhood(whole, "n0", whole.damping("n0"), depth, nodes, limit)
+        assert reader.jobs <= 3 * depth + 3
+
+
+def test_a_hub_beyond_all_limits(spark):
+    # an anchor with two neighbours, one of which has 20 000 further edges, the better ones last by name
+    edges = [("a", "hub", "call", "certain"), ("a", "z", "call", "certain")] + [("hub", f"leaf{k:05d}", "call", "possible") for k in range(20_000)]
+    edges += [("hub", "zz1", "call", "certain"), ("hub", "zz2", "call", "certain")]
+    degree = Q.degrees(df(spark, edges))
+    reader = Q.EdgeReader(spark, Q.ends_table(df(spark, edges), degree), "possible")
+    found, scored = Q.neighborhood(reader, "a", 1 / math.log2(4), 2, 6, 10)
+    assert [n for n, _, _ in found][:5] == ["a", "z", "hub", "zz1", "zz2"]
+    assert dict((n, s) for n, s, _ in found)["hub"] == round(0.5 / math.log2(20_005) + 1e-12, 6)
 
 
 def test_paths_and_widest():
@@ -53,20 +118,75 @@ def test_paths_and_widest():
 
 def test_export_chains(spark):
     rows = [
-        (1, "f", None, 2, "g"), (2, "g", "gImpl", None, None), (3, "*", None, 4, None), (3, "*", None, 2, None), (4, "g", "other", None, None), (3, "g", None, 2, "g"),
-        (5, "*", None, 6, None), (6, "*", None, 5, None), (5, "loop", None, 6, "loop"), (7, "h", None, 3, "q"), (4, "q", "qImpl", None, None),
+        (1, "f", None, 2, "g"), (2, "g", "gImpl", None, None), (3, "*", None, 4, "*"), (3, "*", None, 2, "*"), (4, "g", "other", None, None), (3, "g", None, 2, "g"),
+        (5, "*", None, 6, "*"), (6, "*", None, 5, "*"), (5, "loop", None, 6, "loop"), (7, "h", None, 3, "q"), (4, "q", "qImpl", None, None),
     ]
     e = spark.createDataFrame(rows, "file_id long, export_name string, local_name string, from_file long, from_name string")
-    got = {(r.file_id, r.export_name): (r.def_file, r.def_name, r.hops) for r in Q.export_chains(spark, e).collect()}
+    got = {(r.file_id, r.export_name): (r.def_file, r.def_name, r.hops) for r in M.export_chains(spark, e).collect()}
     assert got == {(1, "f"): (2, "gImpl", 1), (2, "g"): (2, "gImpl", 0), (3, "g"): (2, "gImpl", 1), (4, "g"): (4, "other", 0), (7, "h"): (4, "qImpl", 2), (4, "q"): (4, "qImpl", 0)}
 
 
+def test_long_chain_and_namespace(spark):
+    rows = [(k, "f", None, k + 1, "f") for k in range(30)] + [(30, "f", "impl", None, None), (31, "ns", None, 30, "*"), (32, "*", None, 33, "*"), (33, "default", "d", None, None)]
+    e = spark.createDataFrame(rows, "file_id long, export_name string, local_name string, from_file long, from_name string")
+    wanted = spark.createDataFrame([(0, "f"), (31, "ns"), (32, "default"), (99, "f")], "file_id long, export_name string")
+    got = {(r.file_id, r.export_name): (r.def_file, r.def_name, r.hops) for r in M.export_chains(spark, e, wanted).collect()}
+    assert got == {(0, "f"): (30, "impl", 30), (31, "ns"): (30, "*", 1)}  # a star passes on no default
+    assert M.export_chains(spark, e.limit(0)).count() == 0
+
+
+SOURCES = {
+    "src/app.ts": "import { load as read, type T } from './lib/index'\nimport whole, { part } from '../pkg/util.js'\nimport type { Only } from './types'\nconst x = require('left-pad')\nconst { a: b } = require('./lib')\nawait import('./gone')",
+    "src/lib/index.ts": "export * from './impl'\nexport { other as renamed } from './impl'\nexport * as space from './impl'\nexport default function main() {}",
+    "src/lib/impl.ts": "export const load = 1\nexport class Other {}\nconst other = 2\nexport { other }\nexport default class {}",
+    "src/types.d.ts": "export interface Only {}", "pkg/util.ts": "export function part() {}\nexport * from './loop'", "pkg/loop.mts": "export * from './util'",
+}
+
+
+def test_modules(spark):
+    files = spark.createDataFrame([(k, p, "r") for k, p in enumerate(SOURCES)] + [(90, "src/lib/impl.ts", "other"), (91, "src/gone.ts", "other")], "id long, path string, repo string")
+    sources = spark.createDataFrame([(k, t) for k, t in enumerate(SOURCES.values())] + [(90, None), (95, "import x from './y'")], "file_id long, content string")
+    imports = E.imports(sources)
+    assert {(r.local_name, r.imported_name, r.request, r.type_only) for r in imports.filter("file_id = 0").collect()} == {
+        ("read", "load", "./lib/index", False), ("T", "T", "./lib/index", False), ("whole", "default", "../pkg/util.js", False), ("part", "part", "../pkg/util.js", False),
+        ("Only", "Only", "./types", True), ("x", "*", "left-pad", False), ("b", "a", "./lib", False), (None, "*", "./gone", False), (None, "*", "left-pad", False), (None, "*", "./lib", False)}
+    exports = E.exports(sources)
+    assert {(r.export_name, r.local_name, r.from_request, r.from_name) for r in exports.filter("file_id = 1").collect()} == {
+        ("*", None, "./impl", "*"), ("renamed", None, "./impl", "other"), ("space", None, "./impl", "*"), ("default", "main", None, None)}
+    assert ("default", "default") in {(r.export_name, r.local_name) for r in exports.filter("file_id = 2").collect()}
+    requests = imports.select("file_id", "request", "type_only").unionByName(exports.filter("from_request IS NOT NULL").selectExpr("file_id", "from_request AS request", "false AS type_only"))
+    edges = M.module_edges(files, requests)
+    got = {(r.from_file, r.request): (r.to_file, r.package, r.resolution, r.type_only) for r in edges.collect()}
+    assert got[0, "./lib/index"] == got[0, "./lib"] == (1, None, "resolver", False) and got[0, "../pkg/util.js"] == (4, None, "resolver", False)
+    assert got[0, "./types"] == (None, None, "unresolved", True) and got[0, "./gone"] == (None, None, "unresolved", False)
+    assert got[0, "left-pad"] == (None, "left-pad", None, False) and (95, "./y") not in got
+    chains = {(r.file_id, r.export_name): (r.def_file, r.def_name) for r in M.export_chains(
+        spark, M.linked_exports(exports, edges), spark.createDataFrame([(1, "load"), (1, "renamed"), (1, "space"), (1, "default"), (4, "part"), (5, "part"), (5, "nothing")], "file_id long, export_name string")).collect()}
+    assert chains == {(1, "load"): (2, "load"), (1, "renamed"): (2, "other"), (1, "space"): (2, "*"), (1, "default"): (1, "main"), (4, "part"): (4, "part"), (5, "part"): (4, "part")}
+    workspace = spark.createDataFrame([("@w/util", "pkg")], "name string, root string")
+    asked = spark.createDataFrame([(0, "@w/util/util", False), (0, "@w/none", False)], "file_id long, request string, type_only boolean")
+    assert {r.request: (r.to_file, r.package, r.resolution) for r in M.module_edges(files, asked, workspace).collect()} == {"@w/util/util": (4, None, "workspace"), "@w/none": (None, "@w/none", None)}
+
+
 def test_ambiguous_calls_keep_every_candidate(spark):
-    symbols = spark.createDataFrame(
-        [(0, 0, "f0.js", "main", "sym:main")] + [(k, k, f"f{k}.js", "load", f"sym:load{k}") for k in range(1, 7)],
-        "symbol_id long, file_id long, path string, name string, node_key string",
-    )
-    refs = spark.createDataFrame([(0, 0, "load", 1)], "chunk_id long, file_id long, target_name string, n long")
-    imports = spark.createDataFrame([], "file_id long, local_name string, package string")
-    got = {tuple(r) for r in G.reference_edges(symbols, refs, imports).collect()}
-    assert got == {("sym:main", f"sym:load{k}", "call", "possible") for k in range(1, 7)}
+    names = [(0, "main", "sym:main")] + [(k, "load", f"sym:load{k}") for k in range(1, 7)] + [(7, "few", "sym:few7"), (8, "few", "sym:few8"), (9, "far", "sym:far")]
+    symbols = spark.createDataFrame([(k, k, f"f{k}.js", n, key) for k, n, key in names], "symbol_id long, file_id long, path string, name string, node_key string")
+    refs = spark.createDataFrame([(0, 0, "call", "load"), (0, 0, "render", "few"), (0, 0, "call", "alias"), (0, 0, "call", "pkg")], "chunk_id long, file_id long, kind string, target_name string")
+    imports = spark.createDataFrame([(0, "alias", None), (0, "pkg", "left-pad")], "file_id long, local_name string, package string")
+    chains = spark.createDataFrame([(0, "alias", 9, "far", "certain")], "file_id long, local_name string, def_file long, def_name string, confidence string")
+    edges = G.reference_edges(symbols, refs, imports, chains)
+    assert {tuple(r) for r in edges.collect()} == {
+        ("sym:main", "name:unknown:load", "call", "possible"), *[("name:unknown:load", f"sym:load{k}", "name_candidate", "possible") for k in range(1, 7)],
+        ("sym:main", "sym:few7", "render", "possible"), ("sym:main", "sym:few8", "render", "possible"), ("sym:main", "sym:far", "call", "certain"),
+        ("sym:main", "pkg:left-pad", "call", "likely")}
+    assert {r.dst_key for r in G.callers(edges, symbols).collect()} == {"sym:far", *[f"sym:load{k}" for k in range(1, 7)]}
+
+
+def test_events(spark):
+    files = spark.createDataFrame([(1, "a.js"), (2, "b.js")], "id long, path string")
+    chunks = spark.createDataFrame([(10, 1, "bus.emit('saved', 1); bus.on(\"gone\", f)"), (20, 2, "bus.once('saved', g); x.emit(name)")], "id long, file_id long, content string")
+    got = {tuple(r) for r in G.event_edges(files, E.event_sites(chunks)).collect()}
+    assert got == {
+        ("file:a.js", "event-site:a.js:1", "contains_event", "certain"), ("file:a.js", "event-site:a.js:2", "contains_event", "certain"),
+        ("file:b.js", "event-site:b.js:1", "contains_event", "certain"), ("event:unknown:gone", "event-site:a.js:1", "listens", "possible"),
+        ("event-site:a.js:2", "event:unknown:saved", "emits", "possible"), ("event:unknown:saved", "event-site:b.js:1", "listens", "possible")}
