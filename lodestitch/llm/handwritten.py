@@ -70,6 +70,9 @@ _NUMBERS = re.compile(r"\d+")
 _WORD = re.compile(r"\w+")
 
 
+_WORD_START = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_$")
+
+
 def head_comment(text: str) -> tuple[str, str]:
     """The comments before the first code, and the rest."""
     m = _HEAD.match(text)
@@ -88,38 +91,38 @@ def notice(text: str) -> str | None:
 def features(text: str) -> list[float]:
     """The FEATURES of a text without its header comment."""
     _, body = head_comment(_CONFLICT.sub("", text) if "<<<<<<<" in text else text)
-    counts = Counter(_TOKEN.findall(body))
-    comment_chars = literal_chars = word_chars = n_tokens = n_words = short = 0
-    plain: dict[str, int] = {}
-    words: list[tuple[int, int]] = []
-    for raw, n in counts.items():
-        t = raw.strip()
-        c = t[:1]
-        if c == "/" and len(t) > 1:
+    comment_chars = literal_chars = word_chars = n_tokens = n_words = n_distinct = short = 0
+    surprise = 0.0  # sum of n log2 n over the distinct tokens
+    for t, n in Counter(_TOKEN.findall(body)).items():
+        c = t[0]
+        if c in _WORD_START or c.isalpha():
+            size = len(t)
+            word_chars += n * size
+            n_words += n
+            n_distinct += 1
+            if size <= 2:
+                short += n
+        elif c == "/" and len(t) > 1:
             if t[1] in "/*":
-                comment_chars += n * len(t)
+                comment_chars += n * len(t.rstrip())
                 continue
             literal_chars += n * len(t)
         elif c in "'\"`" and len(t) > 1 or c.isdigit():
             literal_chars += n * len(t)
-        elif c.isalpha() or c in "_$":
-            words.append((len(t), n))
-            word_chars += n * len(t)
-            n_words += n
-            short += n * (len(t) <= 2)
         n_tokens += n
-        plain[t] = plain.get(t, 0) + n
+        if n > 1:
+            surprise += n * math.log2(n)
     code = _COMMENT.sub("", body) if comment_chars else body
     data = code.encode("utf-8", "surrogatepass")
-    entropy = -sum(n / n_tokens * math.log2(n / n_tokens) for n in plain.values()) if n_tokens else 0.0
-    lines = [x for x in code.split("\n") if x.strip()]
+    entropy = math.log2(n_tokens) - surprise / n_tokens if n_tokens else 0.0
+    lines = [x for x in code.split("\n") if x and not x.isspace()]
     shapes = set(map(str.strip, _NUMBERS.sub("0", _NAMES.sub("a", code)).split("\n"))) - {""}
     size = max(len(code), 1)
     return [
-        len(zlib.compress(data, 6)) / max(len(data), 1), entropy, sum(a * n for a, n in words) / max(n_words, 1),
+        len(zlib.compress(data, 6)) / max(len(data), 1), entropy, word_chars / max(n_words, 1),
         short / max(n_words, 1), comment_chars / max(len(body), 1), sum(map(len, lines)) / max(len(lines), 1),
         math.log1p(max(map(len, lines), default=0)), sum(map(code.count, " \t\n")) / size, literal_chars / size,
-        len(shapes) / max(len(lines), 1), len(words) / max(n_words, 1), math.log1p(size), word_chars / size,
+        len(shapes) / max(len(lines), 1), n_distinct / max(n_words, 1), math.log1p(size), word_chars / size,
     ]
 
 
@@ -245,7 +248,7 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
 
     ``files``: id, path, origin; ``sources``: file_id, content. Case and blanks of the origin do not count; a null
     origin is the repository's own. Equal texts are judged once. ``found`` is set if the forest's ``probability``
-    reaches THRESHOLD, if the file is one data literal, or if it is a copy: ALIKE of the word shingles of the smaller
+    reaches THRESHOLD, or if the file is a copy: ALIKE of the word shingles of the smaller
     and WHOLE of its own are shared with a file of a dependency. Null and empty contents are never found. The forest is fitted on at most SAMPLE labelled texts:
     files with a generator's notice or a bundler's banner, and data literals, against those without any; after
     each of CLEANINGS fits the texts without a notice that got DOUBT or more are left out of the negatives. With
@@ -291,7 +294,7 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
         "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
     judged = _judged(scratch.keep(own))
-    found = (F.col("probability") >= THRESHOLD) | F.col("is_copy") | F.col("is_data")
+    found = (F.col("probability") >= THRESHOLD) | F.col("is_copy")
     known = reps.select(F.col("digest").alias("_digest"), "rep").join(judged, "rep", "inner")
     return lookup_join(hashed.filter("NOT third"), known, "digest", "_digest").select(
         "file_id", F.round("probability", 6).alias("probability"), "is_copy", "is_data", (found & (F.col("size") > 0)).alias("found")
