@@ -156,13 +156,25 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class _Codes(dict):
+    """Checksum of each word, remembered up to a number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+_CODES = _Codes()
+
+
 def shingles(text: str) -> np.ndarray:
     """Hashes of all runs of SHINGLE words, repeated ones included."""
     words = _WORD.findall(text)
     if len(words) < SHINGLE:
         return np.zeros(0, dtype=np.uint64)
-    own = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)}
-    ids = np.fromiter(map(own.__getitem__, words), dtype=np.uint64, count=len(words))
+    ids = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
     n = len(ids) - SHINGLE + 1
     h = ids[:n].copy()
     with np.errstate(over="ignore"):
@@ -257,19 +269,19 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     scratch = Scratch(spark, "handwritten")
     third = F.lower(F.trim(F.coalesce(F.col("origin"), F.lit("repository")))) == "dependency"
     read = sources.select(F.col("file_id").alias("_sid"), "content")
+    text = F.coalesce("content", F.lit(""))
+    # texts are told apart by two hashes, 96 bits in all, and their length; only these are joined with the files
+    known = read.select("_sid", F.concat_ws(":", F.xxhash64(text), F.hash(text), F.length(text)).alias("key"), F.length(text).alias("size"))
     hashed = scratch.keep(
-        files.select(F.col("id").alias("file_id"), third.alias("third")).join(read, F.col("file_id") == F.col("_sid"), "inner")
-        .select(
-            "file_id", "third", F.sha2(F.concat(F.col("third").cast("string"), F.coalesce("content", F.lit(""))), 256).alias("digest"),
-            F.coalesce(F.length("content"), F.lit(0)).alias("size"),
-        )
+        files.select(F.col("id").alias("file_id"), third.alias("third")).join(known, F.col("file_id") == F.col("_sid"), "inner")
+        .select("file_id", "third", F.concat_ws(":", "key", F.col("third").cast("string")).alias("digest"), "size")
     )
-    # of equal texts the file of the least id stands for all; only its text is read again
+    # of equal texts the file of the least id stands for all; its text is shuffled once, to here
     reps = scratch.keep(hashed.groupBy("digest", "third").agg(F.min("file_id").alias("rep")))
-    texts = read.join(reps.select("rep", "third"), F.col("_sid") == F.col("rep"), "inner").select("rep", "third", "content")
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    texts = texts.dropDuplicates(["rep"])
-    originals = scratch.keep(texts.filter("third").repartition(spread, "rep").mapInPandas(_originals, "rep long, n long, shingles array<long>"))
+    texts = scratch.keep(
+        read.join(reps.select("rep", "third"), F.col("_sid") == F.col("rep"), "inner").select("rep", "third", "content").dropDuplicates(["rep"])
+    )
+    originals = scratch.keep(texts.filter("third").select("rep", "content").mapInPandas(_originals, "rep long, n long, shingles array<long>"))
     bits, packed = frequencies(originals)
     shared = spark.sparkContext.broadcast(packed)
 
@@ -285,11 +297,11 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
             yield pd.DataFrame(out, columns=["rep", "notice", "is_data", "features", "n", "hits", "probes"])
 
     described = scratch.keep(
-        texts.filter("NOT third").repartition(spread, "rep").mapInPandas(
+        texts.filter("NOT third").select("rep", "content").mapInPandas(
             describe, "rep long, notice string, is_data boolean, features array<double>, n long, hits long, probes array<long>"
         )
     )
-    copies = _copies(scratch, read, described, originals)
+    copies = _copies(scratch, texts, described, originals)
     own = described.join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
         "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
@@ -301,22 +313,30 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     )
 
 
-def _copies(scratch: Scratch, read: DataFrame, described: DataFrame, originals: DataFrame) -> DataFrame:
+#: Probes beyond the least number by which candidates are sifted before their texts are compared.
+FURTHER = 8
+
+
+def _copies(scratch: Scratch, texts: DataFrame, described: DataFrame, originals: DataFrame) -> DataFrame:
     """(rep): own texts that are copies of a dependency's file.
 
     Both sides are distinct texts, so copies of one text meet once. A copy shares as many of its hits as ``least``
-    says, so it shares one of those that are left when all but one of the ``least`` last are taken off; candidates
-    share such a probe, and are compared by all their shingles.
+    says. All but one of the ``least`` last taken off, it so shares one of those that are left; with up to FURTHER
+    more probes, so many more of them. Candidates that do are compared by all their shingles.
     """
     probed = described.select("rep", "n", "hits", F.posexplode("probes").alias("_at", "shingle"))
     original = originals.select(F.col("rep").alias("third_rep"), F.col("n").alias("_n"), F.explode("shingles").alias("_s"))
-    least = F.greatest(F.ceil(F.col("n") * WHOLE), F.ceil(F.least("n", "_n") * ALIKE))
+    whole = F.ceil(F.col("n") * WHOLE)
+    least = F.greatest(whole, F.ceil(F.least("n", "_n") * ALIKE))
+    more = F.least(F.lit(FURTHER), least - whole)
     pairs = scratch.keep(
-        probed.join(original, F.col("shingle") == F.col("_s"), "inner").filter((F.col("_at") <= F.col("hits") - least) & (least <= F.col("_n")))
-        .select("rep", "third_rep").distinct()
+        probed.join(original, F.col("shingle") == F.col("_s"), "inner")
+        .filter((F.col("_at") <= F.col("hits") - least + more) & (least <= F.col("_n")))
+        .groupBy("rep", "third_rep").agg(F.count(F.lit(1)).alias("_shared"), F.any_value(more).alias("_more"))
+        .filter("_shared > _more").select("rep", "third_rep")
     )
-    own_text = read.select(F.col("_sid").alias("rep"), F.col("content").alias("own_text"))
-    third_text = read.select(F.col("_sid").alias("third_rep"), F.col("content").alias("third_text"))
+    own_text = texts.filter("NOT third").select("rep", F.col("content").alias("own_text"))
+    third_text = texts.filter("third").select(F.col("rep").alias("third_rep"), F.col("content").alias("third_text"))
     return scratch.keep(
         pairs.join(own_text, "rep", "inner").join(third_text, "third_rep", "inner").mapInPandas(_compared, "rep long").distinct()
     )
