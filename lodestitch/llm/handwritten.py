@@ -16,13 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
 from ..session import Scratch
+from . import forest
 
 #: Names of the features, in order.
 FEATURES = [
@@ -307,7 +306,7 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
     own = described.join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
         "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
-    judged = _judged(scratch.keep(own))
+    judged = _judged(spark, scratch.keep(own))
     found = (F.col("probability") >= THRESHOLD) | F.col("is_copy")
     known = reps.select(F.col("digest").alias("_digest"), "rep").join(judged, "rep", "inner")
     return lookup_join(hashed.filter("NOT third"), known, "digest", "_digest").select(
@@ -344,28 +343,31 @@ def _copies(scratch: Scratch, texts: DataFrame, described: DataFrame, originals:
     )
 
 
-def _judged(own: DataFrame) -> DataFrame:
+def _judged(spark: SparkSession, own: DataFrame) -> DataFrame:
     """(rep, is_copy, is_data, probability)."""
     label = (
-        F.when(F.col("is_copy"), None).when((F.col("notice") == "generated") | (F.col("notice") == "banner") | F.col("is_data"), 1.0)
-        .otherwise(0.0)
+        F.when(F.col("is_copy"), None).when((F.col("notice") == "generated") | (F.col("notice") == "banner") | F.col("is_data"), 1)
+        .otherwise(0)
     )
-    rows = own.withColumn("label", label).withColumn("vector", array_to_vector("features"))
-    sample = rows.filter(F.col("label").isNotNull()).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "label", "vector")
-    sample = sample.repartition(1).sortWithinPartitions("rep").cache()
-    per_label = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if len(per_label) < 2:
-        return rows.select("rep", "is_copy", "is_data", F.lit(0.0).alias("probability"))
-    forest = RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2,
-        featureSubsetStrategy="sqrt",
+    # the bounded sample comes to the driver, the least by hash; all rows are scored where they are
+    sample = (
+        own.withColumn("label", label).filter(F.col("label").isNotNull()).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
+        .select("rep", "label", "features").toPandas().sort_values("rep")
     )
-    chance = vector_to_array("probability")[1]
-    chosen = sample
+    y = sample["label"].to_numpy(dtype=float)
+    if len(np.unique(y)) < 2:
+        return own.select("rep", "is_copy", "is_data", F.lit(0.0).alias("probability"))
+    x = np.stack(sample["features"].to_list()).astype(float)
+    chosen = np.ones(len(y), dtype=bool)
     for _ in range(CLEANINGS):
-        votes = forest.fit(chosen).transform(sample).withColumn("_p", chance)
-        surer = votes.filter((F.col("label") == 1.0) | (F.col("_p") < DOUBT)).select("rep", "label", "vector")
-        chosen = surer.repartition(1).sortWithinPartitions("rep").cache()
-    model = forest.fit(chosen)
-    sample.unpersist()
-    return model.transform(rows).select("rep", "is_copy", "is_data", chance.alias("probability"))
+        doubt = forest.fit(x[chosen], y[chosen], TREES, DEPTH, SEED).votes(x)
+        chosen = (y == 1) | (doubt < DOUBT)
+    shared = spark.sparkContext.broadcast(forest.fit(x[chosen], y[chosen], TREES, DEPTH, SEED))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                votes = shared.value.votes(np.stack(pdf["features"].to_list()).astype(float))
+                yield pd.DataFrame({"rep": pdf["rep"], "is_copy": pdf["is_copy"], "is_data": pdf["is_data"], "probability": votes})
+
+    return own.select("rep", "is_copy", "is_data", "features").mapInPandas(scored, "rep long, is_copy boolean, is_data boolean, probability double")
