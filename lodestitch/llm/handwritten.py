@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -170,19 +171,27 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def shingles(text: str) -> np.ndarray:
-    """Hashes of all runs of SHINGLE words, repeated ones included."""
-    words = _WORD.findall(text)
-    if len(words) < SHINGLE:
-        return np.zeros(0, dtype=np.uint64)
-    ids = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = len(ids) - SHINGLE + 1
-    h = ids[:n].copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, SHINGLE):
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += ids[k : k + n]
-    return _mix(h, 1)
+def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of SHINGLE words. Many short texts are hashed at once."""
+    for at in range(0, len(texts), 256):
+        words = [_WORD.findall(t) for t in texts[at : at + 256]]
+        ids = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(words)), dtype=np.uint64)
+        n = max(len(ids) - SHINGLE + 1, 0)
+        h = ids[:n].copy()
+        with np.errstate(over="ignore"):
+            for k in range(1, SHINGLE):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += ids[k : k + n]
+        h, start = _mix(h, 1), 0
+        for own in words:
+            part = np.sort(h[start : start + max(len(own) - SHINGLE + 1, 0)])
+            if len(part) > 1:
+                new = np.empty(len(part), dtype=bool)
+                new[0] = True
+                np.not_equal(part[1:], part[:-1], out=new[1:])
+                part = part[new]
+            yield part
+            start += len(own)
 
 
 def _at(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -231,7 +240,7 @@ def probes(hashes: np.ndarray, bits: int, counts: np.ndarray) -> tuple[int, np.n
 
 def _originals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [np.unique(shingles(text or "")).view(np.int64) for text in pdf["content"]]
+        found = [h.view(np.int64) for h in shingle_sets([text or "" for text in pdf["content"]])]
         yield pd.DataFrame({"rep": pdf["rep"], "n": [len(h) for h in found], "shingles": found})
 
 
@@ -250,7 +259,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for key, text in (rep, own), (third, original):
                 if key not in known:
-                    known[key] = np.unique(shingles(text))
+                    known[key] = next(shingle_sets([text]))
             if _is_copy(known[rep], known[third]):
                 copies.add(rep)
         yield pd.DataFrame({"rep": sorted(copies)}, dtype="int64")
@@ -290,9 +299,8 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
         counts = np.frombuffer(zlib.decompress(shared.value) if shared.value else b"", dtype=np.uint8)
         for pdf in batches:
             out = []
-            for rep, content in zip(pdf["rep"], pdf["content"]):
-                text = content or ""
-                own = np.unique(shingles(text))
+            texts = [text or "" for text in pdf["content"]]
+            for rep, text, own in zip(pdf["rep"], texts, shingle_sets(texts)):
                 hits, rare = probes(own, bits, counts)
                 out.append((rep, notice(text), is_data(text), features(text), len(own), hits, rare.view(np.int64)))
             yield pd.DataFrame(out, columns=["rep", "notice", "is_data", "features", "n", "hits", "probes"])
