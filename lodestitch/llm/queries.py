@@ -73,6 +73,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+@REG.add("p7_summary")
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.with_token_count(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.fill_summary(spark, sizes, "doc_id", "n_tokens", CAPACITY)
+
+
 @REG.add("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()

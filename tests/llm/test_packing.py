@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,6 +31,26 @@ def test_plan_is_tight_and_small():
     assert len(scaled) < 5 * len(histogram)
 
 
+@pytest.mark.parametrize("centre,spread", [(5.0, 0.7), (6.5, 1.0)])
+def test_patterns_place_short_items_too(centre, spread):
+    rng = np.random.default_rng(1)
+    histogram = Counter(np.clip(np.exp(rng.normal(centre, spread, 30_000)).astype(int), 1, 4096).tolist())
+    boxes, least, used, by_patterns = packing.summary(histogram, 4096)
+    assert by_patterns > 0.85 and used > 0.99 and boxes >= least
+
+
+def test_the_fit_is_optimal_over_patterns_of_any_depth():
+    rng = np.random.default_rng(2)
+    counts = np.zeros(25)
+    counts[3:12] = rng.integers(5, 60, 9)
+    matrix, x = packing.nnls(counts, 24, packing.patterns(24, 2))
+    weight = np.arange(25)
+    residual = (counts - matrix.T @ x) * weight
+    first = packing.best_pattern(counts * weight, 24)[0]
+    assert (x >= 0).all() and matrix.sum(axis=1).max() > 2
+    assert all(row @ residual <= 1e-3 * first for row in packing.patterns(24, 6))
+
+
 def test_pack(spark):
     sizes = [0, None, 5, 5, 5, 10, 11, 25, 9, 1, 10]
     df = spark.createDataFrame([(k, n, "x") for k, n in enumerate(sizes)], "id long, n long, piece string")
