@@ -80,10 +80,28 @@ def _parts(kind: str, name: str | None, start: int, end: int, lines: list[str])
     out, at = [], start
     while at < end:
         size, stop = tokens(lines[at]), at + 1
+        if size > MOST:  # a line above the maximum is cut inside, at whole characters
+            for part in _within(lines[at]):
+                out.append((kind, f"{name or kind}#part{len(out) + 1}", at + 1, at + 1, part))
+            at += 1
+            continue
         while stop < end and size + tokens(lines[stop]) + 1 <= TARGET:
             size += tokens(lines[stop]) + 1
             stop += 1
-        label = f"{name or kind}#part{len(out) + 1}"
-        out.append((kind, label, at + 1, stop, "\n".join(lines[at:stop])))
+        out.append((kind, f"{name or kind}#part{len(out) + 1}", at + 1, stop, "\n".join(lines[at:stop])))
+        at = stop
+    return out
+
+
+def _within(line: str) -> list[str]:
+    """Parts of a long line of at most TARGET tokens each."""
+    out, at = [], 0
+    while at < len(line):
+        stop = min(len(line), at + TARGET)
+        while stop < len(line) and tokens(line[at : stop + 64]) <= TARGET:
+            stop += 64
+        while stop > at + 1 and tokens(line[at:stop]) > TARGET:
+            stop = at + max(1, (stop - at) * TARGET // tokens(line[at:stop]))
+        out.append(line[at : min(stop, len(line))])
         at = stop
     return out

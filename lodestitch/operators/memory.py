@@ -36,6 +36,26 @@ def support_freshness(supports: DataFrame, evidence: DataFrame) -> DataFrame:
     return supports.join(e, "evidence_id", "left").select("artifact_id", "evidence_id", state.alias("state"))
 
 
+def stored_freshness(supports: DataFrame) -> DataFrame:
+    """(artifact_id, chunk_id, state) of supports with what was stored of source and context and what they are now:
+    source-stale if the source differs, context-stale if only the context does. Nulls equal each other."""
+    state = (
+        F.when(~F.col("stored_hash").eqNullSafe(F.col("now_hash")), "source-stale")
+        .when(~F.col("stored_context").eqNullSafe(F.col("now_context")), "context-stale").otherwise("fresh")
+    )
+    return supports.select("artifact_id", "chunk_id", state.alias("state"))
+
+
+def claims(runs: DataFrame, key: list[str], now: DataFrame, days: int) -> DataFrame:
+    """``runs`` (key, id, exported_at) with claim: of the runs of a key the newest is live, or an orphan if it is older
+    than ``days`` before ``now`` (one row); older ones are superseded. One live claim a key, so a late one replaces it."""
+    newest = runs.groupBy(*key).agg(F.max(F.struct("exported_at", "id")).alias("_newest"))
+    rows = runs.join(newest, key).crossJoin(F.broadcast(now))
+    first = F.struct("exported_at", "id") == F.col("_newest")
+    old = F.col("exported_at") < F.col("now") - F.make_interval(days=F.lit(days))
+    return rows.withColumn("claim", F.when(~first, "superseded").when(old, "orphan").otherwise("live")).drop("_newest", "now")
+
+
 def artifact_freshness(states: DataFrame) -> DataFrame:
     """(artifact_id, n, n_fresh, freshness): all supports fresh, some, or none."""
     per = states.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "fresh").alias("n_fresh"))

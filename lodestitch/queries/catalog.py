@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a registry ``REG``.
-MODULES = ["hierarchies", "scalars", "retrieval", "graph", "relational", "planes", "sources", "entity_plane"]
+MODULES = ["hierarchies", "scalars", "retrieval", "graph", "relational", "planes", "sources", "entity_plane", "upkeep"]
 
 
 def registries() -> list:

@@ -50,11 +50,6 @@ def links(s, d):
 # --- memory -----------------------------------------------------------------------------------------------------
 
 put("m1_j13_current_view", f"WITH {ART} SELECT id FROM art WHERE id NOT IN (SELECT supersedes FROM art WHERE supersedes IS NOT NULL)", lambda s, d: M.current(artifacts(s, d)).select("id"))
-put("m2_support_freshness", f"WITH {ART}, {SUP} SELECT artifact_id, evidence_id, CASE WHEN a.id IS NULL THEN 'source-stale' WHEN NOT coalesce(a.is_current, false) THEN 'context-stale' ELSE 'fresh' END AS state FROM sup LEFT JOIN art a ON a.id = evidence_id",
-    lambda s, d: M.support_freshness(supports(s, d), artifacts(s, d)))
-put("m3_artifact_freshness", f"""WITH {ART}, {SUP}, st AS (SELECT artifact_id, coalesce(a.is_current, false) AS ok FROM sup LEFT JOIN art a ON a.id = evidence_id)
-SELECT artifact_id, count(*) AS n, count(*) FILTER (ok) AS n_fresh, CASE WHEN bool_and(ok) THEN 'fresh' WHEN bool_or(ok) THEN 'degraded' ELSE 'stale' END AS freshness FROM st GROUP BY 1""",
-    lambda s, d: M.artifact_freshness(M.support_freshness(supports(s, d), artifacts(s, d))))
 put("m4_a20_hierarchical_freshness", f"""WITH RECURSIVE {ART}, lnk AS (SELECT DISTINCT id AS child, supersedes AS parent FROM art WHERE supersedes IS NOT NULL AND supersedes <> id),
 bad AS (SELECT id, 0 AS hops FROM art WHERE freshness IN ('degraded', 'stale') UNION SELECT lnk.parent, bad.hops + 1 FROM bad JOIN lnk ON lnk.child = bad.id WHERE bad.hops < 8)
 SELECT id, CASE WHEN freshness = 'stale' THEN 'stale' WHEN id IN (SELECT id FROM bad) THEN 'degraded' ELSE 'fresh' END AS freshness FROM art""",
@@ -105,8 +100,6 @@ SELECT id, min(tier)::BIGINT AS tier FROM n GROUP BY 1""",
 put("m13_validated_append", """SELECT w.path, CASE WHEN f.path IS NULL THEN 'unknown path' WHEN w.error IS DISTINCT FROM f.hash THEN 'changed source' ELSE NULL END AS reason FROM (SELECT DISTINCT path, error FROM walk_rejections) w LEFT JOIN files f ON f.path = w.path""",
     lambda s, d: (lambda a, r: r.select("path", "reason").unionByName(a.select("path", F.lit(None).cast("string").alias("reason"))))(*M.validated_append(
         table(s, d, "artifact_views").select("id"), table(s, d, "walk_rejections").select(F.lit(-1).cast("long").alias("id"), c("error").alias("hash"), "path").distinct(), table(s, d, "files"))))
-put("m14_run_ledger", "SELECT model, prompt_version, arg_max(id, (exported_at, id)) AS live FROM artifact_views GROUP BY ALL",
-    lambda s, d: table(s, d, "artifact_views").groupBy("model", "prompt_version").agg(F.max(F.struct("exported_at", "id")).alias("b")).select("model", "prompt_version", c("b.id").alias("live")))
 put("m15_refresh_selection", f"WITH {ART} SELECT id FROM art WHERE freshness IN ('degraded', 'stale') AND id NOT IN (SELECT supersedes FROM art WHERE supersedes IS NOT NULL)",
     lambda s, d: M.current(artifacts(s, d)).filter(M.freshness_rank(c("freshness")) > 0).select("id"))
 
@@ -158,26 +151,12 @@ count(*) FILTER (f.role IN ('test', 'fixture')) AS excluded FROM ref r JOIN file
         F.count(F.lit(1)).alias("n"), F.count_if(c("l")).alias("resolved"), F.count_if(c("role").isin("test", "fixture")).alias("excluded")))(E.references(table(s, d, "chunks")), symbols(s, d)))
 put("e3_inferred_gate", "SELECT repo FROM files GROUP BY 1 HAVING NOT bool_and(coalesce(role, 'unknown') = 'unknown')",
     lambda s, d: table(s, d, "files").groupBy("repo").agg(F.bool_and(F.coalesce("role", F.lit("unknown")) == "unknown").alias("a")).filter("NOT a").select("repo"))
-put("e4_project_planning", "SELECT c.id AS chunk_id, p.id AS project_id FROM chunks c JOIN files f ON f.id = c.file_id JOIN files g ON g.id = f.id JOIN package_instances p ON p.id = g.package_instance_id",
-    lambda s, d: table(s, d, "chunks").select(c("id").alias("chunk_id"), "file_id").join(table(s, d, "files").select(c("id").alias("file_id"), F.explode(F.array_compact(F.array("package_instance_id"))).alias("project_id")), "file_id").join(
-        table(s, d, "package_instances").select(c("id").alias("project_id")), "project_id", "left_semi").select("chunk_id", "project_id"))
-put("e5_execution_order", "SELECT id, row_number() OVER (ORDER BY CASE WHEN status = 'complete' THEN 1 ELSE 0 END, CASE WHEN version IS NULL THEN 1 ELSE 0 END, id) AS place FROM package_instances",
-    lambda s, d: R.top(table(s, d, "package_instances").select("id", "status", "version"), [(c("status") == "complete").cast("int"), c("version").isNull().cast("int"), c("id")], 1_000_000).select("id", c("rank").alias("place")))
 put("e6_answer_mapping", f"""WITH {SYM}, {REF} SELECT r.target_name, count(DISTINCT s.node_key) AS n_targets, CASE WHEN count(DISTINCT s.node_key) BETWEEN 1 AND 3 THEN 'likely' ELSE 'possible' END AS confidence FROM ref r LEFT JOIN sym s ON s.name = r.target_name GROUP BY 1""",
     lambda s, d: E.references(table(s, d, "chunks")).select("target_name").distinct().join(symbols(s, d).select(c("name").alias("target_name"), "node_key"), "target_name", "left").groupBy("target_name").agg(
         F.count_distinct("node_key").alias("n_targets")).withColumn("confidence", F.when(c("n_targets").between(1, 3), "likely").otherwise("possible")))
-put("e7_stage_and_activate", "SELECT status, count(*) AS n, bool_and(manifest_hash IS NOT NULL) AS ready FROM package_instances GROUP BY 1",
-    lambda s, d: table(s, d, "package_instances").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.bool_and(c("manifest_hash").isNotNull()).alias("ready")))
-put("e8_carry_forward", f"""WITH {ART}, o AS (SELECT id, arg_min(body, exported_at) AS body FROM artifact_views WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 0)
-SELECT a.id, coalesce(o.body = a.body, false) AS carried FROM art a JOIN o ON o.id = a.id""",
-    lambda s, d: (lambda o: artifacts(s, d).select("id", "body").join(o, c("id") == c("oid")).select("id", F.coalesce(c("old") == c("body"), F.lit(False)).alias("carried")))(
-        table(s, d, "artifact_views").filter("id IS NOT NULL").groupBy(c("id").alias("oid")).agg(F.min_by("body", "exported_at").alias("old"))))
 
 # --- embedding maintenance --------------------------------------------------------------------------------------
 
-put("v2_artifact_knn_current", f"WITH {ART}, s AS (SELECT artifact_id, max(vector_cosine) AS cosine FROM artifact_scores GROUP BY 1) SELECT artifact_id, cosine, row_number() OVER (ORDER BY cosine DESC, artifact_id) AS rank FROM s JOIN art ON art.id = artifact_id WHERE cosine IS NOT NULL AND artifact_id NOT IN (SELECT supersedes FROM art WHERE supersedes IS NOT NULL) ORDER BY rank LIMIT 20",
-    lambda s, d: R.top(table(s, d, "artifact_scores").groupBy("artifact_id").agg(F.max("vector_cosine").alias("cosine")).filter("cosine IS NOT NULL").join(
-        M.current(artifacts(s, d)).select(c("id").alias("artifact_id")), "artifact_id", "left_semi"), [c("cosine").desc(), c("artifact_id")], 20))
 put("v4_occurrences_of_vectors", "SELECT DISTINCT c.id AS chunk_id, e.vec_id FROM chunks c JOIN semantic_embeddings e ON e.document_hash = c.hash",
     lambda s, d: table(s, d, "chunks").select(c("id").alias("chunk_id"), "hash").join(table(s, d, "semantic_embeddings").select(c("document_hash").alias("hash"), "vec_id"), "hash").select("chunk_id", "vec_id").distinct())
 put("v5_dimension_check", "SELECT DISTINCT e.vec_id FROM semantic_embeddings e JOIN embedding_profiles p ON p.id = e.profile_id WHERE e.vec IS NOT NULL AND len(e.vec) <> p.dimensions",

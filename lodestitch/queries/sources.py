@@ -43,18 +43,8 @@ put("s1_source_walk", r"""SELECT id, path FROM files WHERE regexp_matches(path,
 put("s2_walk_rejections", "SELECT DISTINCT repo, regexp_replace(replace(trim(path), '\\', '/'), '^\\./', '') AS path, lower(trim(stage)) AS stage, error FROM walk_rejections",
     lambda s, d: table(s, d, "walk_rejections").select("repo", F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), r"^\./", "").alias("path"), F.lower(F.trim("stage")).alias("stage"), "error").distinct())
 put("s4_chunker", None, chunked)
-put("s5_line_index", None, lambda s, d: table(s, d, "chunks").filter("start_byte IS NOT NULL").select(c("id").alias("chunk_id"), "file_id", "start_byte").join(table(s, d, "source_files"), "file_id").select(
-    "chunk_id", S.line_of(c("content"), c("start_byte")).cast("long").alias("line")))
 put("s6_leading_comments", r"""SELECT id AS chunk_id, regexp_matches(content, '^\s*(?://[^\n]*\n|/\*)') AS commented FROM chunks""",
     lambda s, d: table(s, d, "chunks").select(c("id").alias("chunk_id"), c("content").rlike(r"^\s*(?://[^\n]*\n|/\*)").alias("commented")))
-_HEAD = "lower(substr(content, 1, 4096))"
-put("s7_file_role", rf"""SELECT f.id, CASE WHEN regexp_matches(path, '(^|/)(generated|__generated__|gen)/|\.(generated|g|gen|pb)\.[cm]?[jt]sx?$|_pb\.[jt]s$') OR regexp_matches({_HEAD}, '@generated|code generated by|do not edit') THEN 'generated'
- WHEN regexp_matches(path, '(^|/)(fixtures?|__fixtures__|__mocks__|mocks)/') THEN 'fixture' WHEN regexp_matches(path, '(^|/)(tests?|__tests__|spec|e2e)/|\.(test|spec)\.[cm]?[jt]sx?$') THEN 'test'
- WHEN regexp_matches(path, '(^|/)(docs?|examples?|stories)/|\.stories\.[jt]sx?$') THEN 'documentation' ELSE 'production' END AS role FROM files f JOIN source_files s ON s.file_id = f.id""",
-    lambda s, d: with_text(s, d).select("id", S.file_role(c("path"), c("content")).alias("role")))
-put("s11_dependency_budget", None, lambda s, d: T.greedy_budget(
-    with_text(s, d).filter(F.lower(F.trim("origin")) == "dependency").select("id", "repo", F.octet_length("content").cast("long").alias("n_bytes"), c("path").contains("index").alias("forced")),
-    "repo", ["id"], "n_bytes", 20_000, "forced").select("id", "taken"))
 put("s12_minified_filter", """SELECT id FROM (SELECT f.id, path, list_transform(string_split(content, chr(10))[1:5], lambda x: length(x)) AS n FROM files f JOIN source_files s ON s.file_id = f.id)
 WHERE contains(path, '.min.') OR (n[1] > 4000 AND len(n) = 5 AND list_min(n[2:5]) > 1000)""",
     lambda s, d: with_text(s, d).filter(S.is_minified(c("path"), c("content"))).select("id"))
@@ -93,8 +83,6 @@ put("s23_request_batches", "SELECT repo, batch, count(*) AS n FROM (SELECT repo,
 
 # --- lookups and inventories ------------------------------------------------------------------------------------
 
-put("q16_entity_lookup", "SELECT name, count(*) AS occurrences, count(*) OVER () AS matched FROM chunks WHERE contains(lower(name), 'ledger') GROUP BY 1",
-    lambda s, d: (lambda g: g.crossJoin(F.broadcast(g.agg(F.count(F.lit(1)).alias("matched")))))(table(s, d, "chunks").filter(F.lower("name").contains("ledger")).groupBy("name").agg(F.count(F.lit(1)).alias("occurrences"))))
 put("q17_overview_totals", "SELECT lower(trim(origin)) AS origin, coalesce(lower(role), 'none') AS role, count(*) AS n_files, count(DISTINCT repo) AS n_repos FROM files GROUP BY ALL",
     lambda s, d: table(s, d, "files").groupBy(F.lower(F.trim("origin")).alias("origin"), F.coalesce(F.lower("role"), F.lit("none")).alias("role")).agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("repo").alias("n_repos")))
 put("q19_semantic_overlay", "SELECT artifact_type, id, rank FROM (SELECT artifact_type, id, row_number() OVER (PARTITION BY artifact_type ORDER BY id DESC) AS rank FROM (SELECT DISTINCT artifact_type, id FROM artifact_views WHERE is_current AND freshness = 'fresh')) WHERE rank <= 10",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,21 @@ SKIPPED = ["node_modules", "dist", ".next", "coverage", "out"]
 LONG_LINE, LONG_LINES = 4000, 1000
 #: Characters of a text that the role classifier looks at.
 HEADER = 4096
+#: Roles in the order they are tried: names of folders or files, and marks within a file's name (fixed values).
+ROLES = {
+    "generated": (["generated", "__generated__"], [".generated.", ".gen.", "_generated.", "-generated."]),
+    "fixture": (["fixture", "fixtures", "__fixtures__", "mock", "mocks", "__mocks__", "stub", "stubs"], [".fixture.", ".fixtures.", ".mock.", ".stub."]),
+    "test": (
+        ["test", "tests", "__tests__", "testing", "spec", "specs", "e2e", "test-utils", "test_utils", "integration-tests"],
+        [".test.", ".spec.", ".e2e.", ".e2e-spec.", ".integration-test."],
+    ),
+    "documentation": (["docs", "documentation", ".storybook", "stories"], [".stories.", ".story."]),
+}
+#: What the head of a generated file says (fixed values).
+GENERATED_HEADS = [
+    "@generated", "auto-generated", "autogenerated", "automatically generated", "this file was generated",
+    "generated file - do not edit", "generated file. do not edit",
+]
 
 
 def is_source(path: Column) -> Column:
@@ -37,12 +57,19 @@ def walk(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def file_role(path: Column, text: Column) -> Column:
     """generated, fixture, test, documentation or production, the first that applies, from the path and the head."""
+    lowered = F.lower(F.translate(path, "\\", "/"))
+    parts = F.filter(F.split(lowered, "/"), lambda x: x != "")
+    name = F.element_at(parts, -1)
     head = F.lower(F.substring(text, 1, HEADER))
-    generated = path.rlike(r"(^|/)(generated|__generated__|gen)/|\.(generated|g|gen|pb)\.[cm]?[jt]sx?$|_pb\.[jt]s$") | head.rlike(r"@generated|code generated by|do not edit")
-    fixture = path.rlike(r"(^|/)(fixtures?|__fixtures__|__mocks__|mocks)/")
-    test = path.rlike(r"(^|/)(tests?|__tests__|spec|e2e)/|\.(test|spec)\.[cm]?[jt]sx?$")
-    docs = path.rlike(r"(^|/)(docs?|examples?|stories)/|\.stories\.[jt]sx?$")
-    return F.when(generated, "generated").when(fixture, "fixture").when(test, "test").when(docs, "documentation").otherwise("production")
+    within = lambda names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
+    marked = lambda column, marks: reduce(lambda a, b: a | b, [column.contains(m) for m in marks])
+    role = F.lit("production")
+    for kind in reversed(ROLES):
+        says = within(ROLES[kind][0]) | marked(name, ROLES[kind][1])
+        if kind == "generated":
+            says = says | marked(head, GENERATED_HEADS)
+        role = F.when(F.coalesce(says, F.lit(False)), kind).otherwise(role)
+    return role
 
 
 def is_minified(path: Column, text: Column) -> Column:
@@ -52,10 +79,24 @@ def is_minified(path: Column, text: Column) -> Column:
     return path.contains(".min.") | F.coalesce(long, F.lit(False))
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """Line, from 1, of a byte offset of a text."""
-    before = F.substring(F.encode(text, "utf-8"), F.lit(1), offset.cast("int"))
-    return F.size(F.filter(F.regexp_extract_all(F.hex(before), F.lit("(..)"), 1), lambda b: b == "0A")) + 1
+def lines_of(spans: DataFrame, sources: DataFrame, key: str, file: str, offset: str) -> DataFrame:
+    """(key, file, line): the line, from 1, of a byte offset of each span's file.
+
+    The offsets of a file meet its text once; its line ends are found once and searched by all of them. Null offsets
+    and files without a text have no rows; an offset beyond the end is in the last line.
+    """
+    kinds = dict(spans.dtypes)
+    asked = spans.filter(F.col(offset).isNotNull()).groupBy(file).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(offset).cast("long").alias("at"))).alias("_asked"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f, text, rows in zip(pdf[file], pdf["content"], pdf["_asked"]):
+                ends = np.flatnonzero(np.frombuffer((text or "").encode(), dtype=np.uint8) == 10)
+                at = np.array([r["at"] for r in rows])
+                yield pd.DataFrame({key: [r["k"] for r in rows], file: f, "line": np.searchsorted(ends, at, side="left") + 1})
+
+    texts = sources.select(file, "content").filter("content IS NOT NULL")
+    return texts.join(asked, file).mapInPandas(find, f"{key} {kinds[key]}, {file} {kinds[file]}, line long")
 
 
 def glob_pattern(glob: Column) -> Column:

@@ -115,8 +115,15 @@ def hashed_vectors(texts: list[str]) -> list[list[float]]:
     return out
 
 
-def greedy_budget(files: DataFrame, group: str, order: list, size: str, budget: int, forced: str) -> DataFrame:
-    """``files`` with ``taken``: in order, forced rows first, each file that still fits its group's byte budget.
+#: Bounds of a dependency scan: bytes and files of a package, and bytes of one file (fixed values).
+SCAN_BYTES, SCAN_FILES, SCAN_EACH = 100 << 20, 10_000, 2 << 20
+
+
+def greedy_budget(
+    files: DataFrame, group: str, order: list, size: str, budget: int, forced: str, most: int | None = None, each: int | None = None
+) -> DataFrame:
+    """``files`` with ``taken``: in order, forced rows first, each file that still fits its group's byte budget, as long
+    as fewer than ``most`` are taken and the file has at most ``each`` bytes. A null size counts as 0.
 
     A file that does not fit is skipped and later ones may still fit, which no running sum says; each group is
     folded in a task, with only keys and sizes in it.
@@ -125,10 +132,12 @@ def greedy_budget(files: DataFrame, group: str, order: list, size: str, budget:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([forced, *order], ascending=[False] + [True] * len(order))
-        used, taken = 0, []
-        for n, must in zip(pdf[size], pdf[forced]):
-            ok = bool(must) or used + n <= budget
+        used, n_taken, taken = 0, 0, []
+        for n, must in zip(pdf[size].fillna(0), pdf[forced]):
+            room = used + n <= budget and (each is None or n <= each) and (most is None or n_taken < most)
+            ok = bool(must) or bool(room)
             used += int(n) if ok else 0
+            n_taken += ok
             taken.append(ok)
         return pdf.assign(taken=taken)
 

@@ -100,13 +100,36 @@ def test_refresh_equals_rebuild(spark):
 
 
 def test_walk_and_roles(spark, tmp_path):
-    for p, text in {"a.ts": b"x", "src/gen/b.js": b"y", "node_modules/c.js": b"z", ".hid/d.ts": b"q", "e.md": b"r", "f.ts": b"\xff\xfe"}.items():
+    for p, text in {"a.ts": b"x", "src/generated/b.js": b"y", "node_modules/c.js": b"z", ".hid/d.ts": b"q", "e.md": b"r", "f.ts": b"\xff\xfe"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(text)
     files, rejected = S.walk(spark, str(tmp_path))
-    assert {r.path for r in files.collect()} == {"a.ts", "src/gen/b.js"} and [r.path for r in rejected.collect()] == ["f.ts"]
+    assert {r.path for r in files.collect()} == {"a.ts", "src/generated/b.js"} and [r.path for r in rejected.collect()] == ["f.ts"]
     roles = {r.path: r.role for r in files.select("path", S.file_role(F.col("path"), F.col("content")).alias("role")).collect()}
-    assert roles == {"a.ts": "production", "src/gen/b.js": "generated"}
+    assert roles == {"a.ts": "production", "src/generated/b.js": "generated"}
+
+
+def test_role_markers(spark):
+    cases = {
+        "src/doc/a.ts": "production", "Docs/a.ts": "documentation", "a/testing/x.ts": "test", "a/x.e2e.ts": "test", "stubs/x.ts": "fixture", "x.mock.ts": "fixture",
+        "pb_generated.js": "generated", "examples/a.ts": "production", "test/fixtures/a.ts": "fixture", "latest/a.ts": "production", "a\\tests\\b.ts": "test",
+    }
+    df = spark.createDataFrame([(p, "") for p in cases] + [("h.ts", "// AUTO-GENERATED by x"), ("n.ts", "// please do not edit"), ("z.ts", None)], "path string, content string")
+    got = {r.path: r.role for r in df.select("path", S.file_role(F.col("path"), F.col("content")).alias("role")).collect()}
+    assert got == {**cases, "h.ts": "generated", "n.ts": "production", "z.ts": "production"}
+
+
+def test_lines_of_offsets(spark):
+    spans = spark.createDataFrame([(1, 7, 0), (2, 7, 3), (3, 7, 4), (4, 7, 99), (5, 7, None), (6, 8, 0), (7, 9, 0)], "id long, file long, at long")
+    texts = spark.createDataFrame([(7, "ab\r\nä\n\nx"), (8, ""), (9, None)], "file long, content string")
+    assert {r.id: r.line for r in S.lines_of(spans, texts, "id", "file", "at").collect()} == {1: 1, 2: 1, 3: 2, 4: 4, 6: 1}
+
+
+def test_a_line_above_the_maximum_is_cut():
+    source = "x('" + "ä" * 30_000 + "');\nshort();\n"
+    got = chunker.chunks(source)
+    assert all(chunker.tokens(x[4]) <= chunker.MOST for x in got)
+    assert "".join(x[4] for x in got if x[2] == 1) == source.split("\n")[0]
 
 
 def test_chunker_keeps_every_line_of_code():
