@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .skew import lookup_join
+from .skew import HOT_FLOOR, lookup_join
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -59,13 +59,15 @@ def resolve_hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False
             F.col("parent").isNull().alias("done"),
         ).withColumn("seg", F.when(~F.col("done") | F.lit(paths), seg))
     )
-    done, active = [start.filter("done")], start.filter("NOT done")
+    done, active, left = [start.filter("done")], start.filter("NOT done"), HOT_FLOOR + 1
     while True:
         known = reduce(DataFrame.unionByName, [*done, active]).select(
             F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"),
             F.col("done").alias("_done"), F.col("seg").alias("_seg"),
         )
-        joined = lookup_join(active, known, "ptr", "_id").select(
+        # fewer rows than a hot key would have need no search for one
+        met = lookup_join(active, known, "ptr", "_id") if left > HOT_FLOOR else active.join(known, F.col("ptr") == F.col("_id"))
+        joined = met.select(
             "id", "parent", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"),
             F.col("_done").alias("done"), F.concat("_seg", "seg").alias("seg"),
         )
