@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 LEAST_FILL = 0.5
 
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
-_SOFT = re.compile(r"[;,{}()\[\]\s]")
+#: Strength of a cut after a mark within a line, above that of none (1) and of a blank (2) and below any line end.
+INNER = {";": 9, "}": 8, ">": 5, ",": 6, ")": 5, "]": 4, "{": 3, "(": 2, "[": 2}
+_ATOMS = re.compile(r"[^;,{}()\[\]>\s]*(?:\r\n|[;,{}()\[\]>\s])|[^;,{}()\[\]>\s]+")
 
 
 class RangeMax:
@@ -37,28 +39,25 @@ class RangeMax:
         return int(max(self.levels[k][lo], self.levels[k][hi - (1 << k) + 1]) % self.mod)
 
 
-def _fragments(line: str, limit: int) -> list[str]:
-    """A line longer than the limit, cut after punctuation or blanks where a cut exists in the second half of
-    the room, else at a character boundary."""
-    out: list[str] = []
-    while len(line.encode()) > limit:
-        take = len(line.encode()[:limit].decode(errors="ignore"))
-        if take == 0:  # a single character is larger than the limit
-            take = 1
-        soft = [m.end() for m in _SOFT.finditer(line, take // 2, take)]
-        # a carriage return stays with its line feed
-        cut = soft[-1] if soft else take
-        if line[cut - 1 : cut + 1] == "\r\n" and cut > 1:
-            cut -= 1
-        out.append(line[:cut])
-        line = line[cut:]
-    return [*out, line] if line else out
-
-
-def boundary_strengths(atoms: list[str], whole: list[bool]) -> np.ndarray:
+def _fragments(line: str, limit: int) -> list[tuple[str, int]]:
+    """(atom, strength of a cut after it) of a line longer than the limit: cut after each punctuation mark or blank,
+    and what is still longer than the limit at a character boundary."""
+    out: list[tuple[str, int]] = []
+    for atom in _ATOMS.findall(line):
+        strength = INNER.get(atom[-1], 1 if not atom[-1].isspace() else 2)
+        while len(atom.encode()) > limit:
+            take = max(1, len(atom.encode()[:limit].decode(errors="ignore")))  # one character may exceed the limit
+            out.append((atom[:take], 1))
+            atom = atom[take:]
+        if atom:
+            out.append((atom, strength))
+    return out
+
+
+def boundary_strengths(atoms: list[str], whole: list[bool], inner: list[int] | None = None) -> np.ndarray:
     """Strength of a cut after each atom: outer indentation, closed blocks and blank lines make it stronger.
 
-    A cut inside a line is the weakest, then one between two lines of code deep in a block; the strongest is a
+    A cut inside a line is the weakest (``inner`` tells its strength after an atom), then one between two lines of code deep in a block; the strongest is a
     blank line between two top-level statements.
     """
     n = len(atoms)
@@ -78,7 +77,7 @@ def boundary_strengths(atoms: list[str], whole: list[bool]) -> np.ndarray:
     out = np.zeros(n, dtype=np.int64)
     for i in range(n):
         if not whole[i]:
-            out[i] = 1
+            out[i] = inner[i] if inner else 1
             continue
         end = atoms[i].rstrip()
         after = 240 - 3 * int(depth[i + 1])
@@ -92,7 +91,7 @@ def boundary_strengths(atoms: list[str], whole: list[bool]) -> np.ndarray:
             after -= 20
         if i + 1 < n and blank[i + 1]:
             after -= 10  # the blank line stays with what it ends
-        out[i] = max(after, 2)
+        out[i] = max(after, 2) + 10
     return out
 
 
@@ -108,17 +107,19 @@ def split_text(text: str, limit: int, overlap_lines: int) -> list[tuple[int, int
     whole: list[bool] = []
     line_of: list[int] = []
     starts: list[bool] = []
+    inner: list[int] = []
     for no, line in enumerate(_LINES.findall(text)):
-        parts = [line] if len(line.encode()) <= limit else _fragments(line, limit)
-        for k, part in enumerate(parts):
+        parts = [(line, 0)] if len(line.encode()) <= limit else _fragments(line, limit)
+        for k, (part, strength) in enumerate(parts):
             atoms.append(part)
+            inner.append(strength)
             whole.append(k == len(parts) - 1)
             starts.append(k == 0)
             line_of.append(no)
     if not atoms:
         return []
     ends = np.array([0, *accumulate(len(a.encode()) for a in atoms)])
-    index = RangeMax(boundary_strengths(atoms, whole))
+    index = RangeMax(boundary_strengths(atoms, whole, inner))
     out, at, fresh, n = [], 0, 0, len(atoms)
     while True:
         most = int(np.searchsorted(ends, ends[at] + limit, side="right")) - 2
@@ -150,8 +151,8 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``limits`` (kind, max_bytes, overlap_lines) is one row per kind, a fixed small table; kinds are matched
     without case, separators and plural. Items with a null content or an unknown kind have no limit and, like
-    those within it, no rows. A piece's line span counts from start_line; if only end_line is known, back from
-    it; if neither, the span is null.
+    those within it, no rows. A piece's line span counts from start_line; if that is missing or cannot be right
+    (below 1, or behind end_line), back from end_line; if neither can be right, the span is null.
 
     Result: chunk_id, kind (as in limits), piece (from 0), pieces, start_line, end_line, n_bytes, content.
     """
@@ -188,8 +189,13 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _first_line(start: float, end: float, content: str) -> int | None:
-    if start is not None and start == start:
+    """The line the content begins at. Where start and end line contradict the number of lines, the one that can be
+    right counts: the start if it is a line number and leaves the end behind it, else the end."""
+    lines = content.count("\n") + (not content.endswith("\n"))
+    has_start, has_end = (x is not None and x == x for x in (start, end))
+    by_end = int(end) - lines + 1 if has_end else 0
+    if has_start and int(start) >= 1 and (not has_end or int(end) >= int(start) or by_end < 1):
         return int(start)
-    if end is not None and end == end:
-        return int(end) - (content.count("\n") + (not content.endswith("\n"))) + 1
-    return None
+    if by_end >= 1:
+        return by_end
+    return int(start) if has_start and int(start) >= 1 else None

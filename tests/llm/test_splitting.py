@@ -57,3 +57,18 @@ def test_split_oversized(spark):
     assert [(r.start_line, r.end_line) for r in got[1]] == [(5, 8), (8, 11), (11, 14)] == [(r.start_line, r.end_line) for r in got[2]]
     assert [(r.start_line, r.kind, r.n_bytes) for r in got[3]] == [(None, "imports", 28), (None, "imports", 28), (None, "imports", 14)]
     assert S.split_oversized(items.limit(0), limits).count() == 0
+
+
+def test_long_lines_are_cut_by_the_index_too():
+    line = "!function(e,t){var n=1;" + "function a(b,c){return b+c;}x=a(1,2),y=[3,4];" * 60
+    pieces = [p for _, _, p in S.split_text(line, 200, 2)]
+    assert "".join(pieces) == line and all(len(p) <= 200 for p in pieces)
+    assert all(p.endswith(";") for p in pieces[:-1])  # the strongest mark of the window, not the last one
+    assert [p for _, _, p in S.split_text("x" * 25 + ";" + "y" * 8, 10, 0)] == ["x" * 10, "x" * 10, "xxxxx;", "y" * 8]
+
+
+def test_contradicting_line_numbers():
+    text = "a\nb\nc\n"
+    assert S._first_line(5, 7, text) == 5 and S._first_line(None, 7, text) == 5 and S._first_line(0, 7, text) == 5
+    assert S._first_line(9, 7, text) == 5 and S._first_line(-1, 1, text) is None and S._first_line(None, None, text) is None
+    assert S._first_line(9, 1, text) == 9
