@@ -7,11 +7,14 @@ the documents are hash-joined with that table, and verified hits give the docume
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import permutations, product
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,19 +105,54 @@ def _lost_forms(word: str) -> set[str]:
     return {x for x in out if LOST in x}
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    every = [(k, c, ">".join(c)) for k, c in enumerate(chains())]
-    for pdf in batches:
-        out = []
-        for word, n in zip(pdf["word"], pdf["n"]):
-            if LOST in word:
-                continue
-            for k, chain, name in every:
-                g = garble(word, chain)
-                if g is not None and g != word:
-                    out.append((g, word, n, name, k))
-            out += [(g, word, n, "lost", len(every)) for g in _lost_forms(word)]
-        yield pd.DataFrame(out, columns=["garbled", "original", "n_original", "chain", "chain_no"])
+#: Bits of the table of words that the forms are sifted by, as a power of 2. A full table only lets more through.
+SIFT = 25
+
+
+def _places(words: Iterable[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) >> (32 - SIFT) for w in words), dtype=np.int64)
+
+
+def _either(a: bytes, b: bytes) -> bytes:
+    """Two packed tables of bits joined; an empty one has none set."""
+    if not a or not b:
+        return a or b
+    x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (a, b))
+    return zlib.compress((x | y).tobytes(), 1)
+
+
+def seen_words(words: DataFrame) -> bytes:
+    """Packed table of bits, one set for the place of each word; its size is bounded whatever the number of words."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << SIFT, dtype=bool)
+        for pdf in batches:
+            bits[_places(pdf["word"])] = True
+        yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    return words.select("word").mapInPandas(mark, "bits binary").rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", _either, _either, 3)
+
+
+def _forms(seen: Broadcast):
+    """Garbled forms of each word under all chains, those left out that no document has a word for."""
+
+    def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [(k, c, ">".join(c)) for k, c in enumerate(chains())]
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(seen.value), np.uint8)) if seen.value else np.zeros(1 << SIFT, np.uint8)
+        for pdf in batches:
+            out = []
+            for word, n in zip(pdf["word"], pdf["n"]):
+                if LOST in word:
+                    continue
+                for k, chain, name in every:
+                    g = garble(word, chain)
+                    if g is not None and g != word:
+                        out.append((g, word, n, name, k))
+                out += [(g, word, n, "lost", len(every)) for g in _lost_forms(word)]
+            frame = pd.DataFrame(out, columns=["garbled", "original", "n_original", "chain", "chain_no"])
+            yield frame[bits[_places(frame["garbled"])] > 0] if len(frame) else frame
+
+    return formed
 
 
 #: A word of one alphabet, in lower case, capitalised or in capitals; a Latin one has a letter without accent. The
@@ -140,7 +178,7 @@ def _core(word: Column) -> Column:
 
 
 def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, word, original, chain, weight, alike): the words of each document that are garbled forms.
+    """(doc_id, word, original, chain, weight, alike, by): the words of each document that are garbled forms.
 
     ``word`` and ``original`` stand without edge punctuation and with numbers as 0. A hit under a UTF-8 chain is
     certain. Under a chain of single-byte encodings, where sound words can look like garbled ones, the original
@@ -150,7 +188,8 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     characters within letters or digits, or repeatedly of them alone, is certain, its original known only if one
     clean word gives that form. UTF-8 damage of words whose sound form is nowhere in the corpus is found by
     reversing the chain. Words alone in quotes, backticks or brackets are examples of damage and no hits.
-    ``chain`` and ``original`` are the likeliest; ``alike`` lists all chains that give the word. Null and empty
+    ``chain`` and ``original`` are the likeliest; ``alike`` lists all chains that give the word;
+    ``by`` is ``table``, or ``reversal`` for what only reversing the chain or a mark of loss tells. Null and empty
     texts have no rows.
     """
     scratch = Scratch(spark, "encodings")
@@ -164,8 +203,9 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     # copies of a text count once; only between equal numbers of texts do documents count, in the low half of n
     words = scratch.keep(seen.groupBy("word", "text_key").agg(F.bool_and("quoted").alias("quoted"), F.count(F.lit(1)).alias("_docs")).groupBy("word").agg(
         (F.count(F.lit(1)) * TEXTS + F.sum("_docs")).alias("n"), F.bool_and("quoted").alias("always_quoted")))
+    sift = spark.sparkContext.broadcast(seen_words(words))
     forms = words.filter("NOT always_quoted").select("word", "n").repartition(F.col("word")).mapInPandas(
-        _forms, "garbled string, original string, n_original long, chain string, chain_no long"
+        _forms(sift), "garbled string, original string, n_original long, chain string, chain_no long"
     )
     plain, odd = F.col("original").rlike(_PLAIN), ~F.col("garbled").rlike(_READS)
     in_texts = F.shiftright("n_original", 32) > F.shiftright("n", 32)
@@ -194,7 +234,7 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     rest = words.join(best, F.col("word") == F.col("garbled"), "left_anti").select("word").mapInPandas(
         _reversed, "garbled string, original string, chain string"
     )
-    table = scratch.keep(known.unionByName(rest.withColumn("alike", F.array("chain"))))
+    table = scratch.keep(known.withColumn("by", F.lit("table")).unionByName(rest.withColumn("alike", F.array("chain")).withColumn("by", F.lit("reversal"))))
     letters = F.length(F.regexp_replace("word", "[0-9]", ""))
     certain = (
         (F.col("chain").startswith("utf-8"))
@@ -203,14 +243,14 @@ def damaged_words(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     )
     weak = F.when(F.col("chain") == "lost", 0).otherwise(WEAK)
     sure = seen.filter("NOT quoted").join(table, F.col("word") == F.col("garbled"), "inner").select(
-        doc_id, "word", "original", "chain", F.when(certain, CERTAIN).otherwise(weak).alias("weight"), "alike"
+        doc_id, "word", "original", "chain", F.when(certain, CERTAIN).otherwise(weak).alias("weight"), "alike", "by"
     )
     rare = every.filter("NOT frequent").join(table.select("garbled"), "garbled", "left_anti").select("garbled", "chain", "chain_no", "original", "reads")
     fits = scratch.keep(seen.filter("NOT quoted").join(rare, F.col("word") == F.col("garbled"), "inner").select(doc_id, "word", "original", "chain", "chain_no", "reads"))
     together = fits.filter("reads").groupBy(doc_id, "chain").agg(F.count_distinct("word").alias("_n")).filter(F.col("_n") >= MANY).select(doc_id, "chain")
     many = fits.join(together, [doc_id, "chain"], "left_semi").groupBy(doc_id, "word").agg(
         F.min(F.struct("chain_no", "original", "chain")).alias("_b"), F.array_sort(F.collect_set("chain")).alias("alike")
-    ).select(doc_id, "word", "_b.original", "_b.chain", F.lit(CERTAIN).alias("weight"), "alike")
+    ).select(doc_id, "word", "_b.original", "_b.chain", F.lit(CERTAIN).alias("weight"), "alike", F.lit("table").alias("by"))
     return sure.unionByName(many)
 
 
@@ -245,6 +285,15 @@ def damaged_documents(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return per_chain.filter(enough).groupBy(doc_id).agg(F.max("_n").alias("n_words"))
 
 
+def evidence(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_table, n_reversal) of the damaged documents: how many of their words the table of garbled forms
+    tells, and how many only the reversal."""
+    found = damaged_documents(hits, doc_id).select(doc_id)
+    return hits.join(found, doc_id, "left_semi").groupBy(doc_id).agg(
+        F.count_if(F.col("by") == "table").alias("n_table"), F.count_if(F.col("by") == "reversal").alias("n_reversal")
+    )
+
+
 def restored(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_restored, n_lost) of the damaged documents, each damaged word replaced by its original.
 

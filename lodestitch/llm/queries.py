@@ -108,6 +108,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.damaged_documents(hits).select("doc_id")
 
 
+@REG.add("p9_evidence")
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.evidence(encodings.damaged_words(spark, table(spark, sf_dir, "documents")))
+
+
 @REG.add("p9_restored")
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
