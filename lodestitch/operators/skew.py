@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +64,6 @@ def ranked(
     parted = scratch.keep(
         keys.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
     )
-    scratch.first = parted
     sizes = parted.groupBy(group, "_part").agg(F.sum("n").alias("_size"))
     over_parts = Window.partitionBy(group).orderBy("_part")
     offsets = sizes.select(
@@ -77,20 +81,72 @@ def ranked(
 
 
 def with_ranks(
-    spark: SparkSession, df: DataFrame, group: str, value: str, order: Column, tag: str = "rank"
+    spark: SparkSession, df: DataFrame, group: list[str], values: list[str], order: list[Column], tag: str = "rank"
 ) -> DataFrame:
-    """``df`` with n, before and total of each row's ``value`` in its group, as ``ranked`` gives them.
+    """``df`` with n, before and total: how many rows of its group have the row's ``values``, how many come before
+    them by ``order`` (over ``values``), and the group's rows.
 
-    The ranks are joined back by a hash of group and value (and their equality), which hot values, such as the null
-    of a large group, do not gather: the at most 1/HOT_SHARE most frequent above HOT_FLOOR are joined by broadcast.
+    Rows are range-partitioned by group and order, those of one value further by a hash of the row, so that neither a
+    hot group nor a hot value is gathered; positions are counted inside each partition, and what goes on over a
+    partition's end is mended by a table of at most two rows a partition. One shuffle, and a table written once.
     """
-    at, scratch = ranked(spark, df.select(group, value), group, [order], [value], tag)
-    hashed = F.xxhash64(group, value)
-    hot = [r[0] for r in scratch.first.filter(F.col("n") > HOT_FLOOR).orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE)).select(hashed).collect()]
-    right = at.select(hashed.alias("_rkey"), F.col(group).alias("_rg"), F.col(value).alias("_rv"), "n", "before", "total")
-    joined = _joined(df.select("*", hashed.alias("_key")), right, "_key", "_rkey", "inner", hot)
-    same = F.col(group).eqNullSafe(F.col("_rg")) & F.col(value).eqNullSafe(F.col("_rv"))
-    return joined.filter(same).select(*df.columns, "n", "before", "total")
+    scratch = Scratch(spark, tag)
+    keyed = df.withColumns({"_gk": F.xxhash64(*group), "_vk": F.xxhash64(*group, *values)})
+    spread = F.xxhash64(*[F.col(c) for c in df.columns])
+    parted = keyed.repartitionByRange(*[F.col(g) for g in group], *order, spread).sortWithinPartitions(*[F.col(g) for g in group], *order)
+    kinds = ", ".join(f"`{n}` {k}" for n, k in keyed.dtypes)
+    local = scratch.keep(parted.mapInPandas(_local_ranks, f"{kinds}, _part int, _mark boolean, _n long, _before long, _size long"))
+    offsets, ties = _across([tuple(r) for r in local.filter("_mark").select("_part", "_gk", "_vk", "_n", "_before", "_size").collect()])
+    over = spark.createDataFrame(offsets, "_op int, _og long, _offset long, _total long")
+    tied = spark.createDataFrame(ties, "_tp int, _tv long, _tn long, _tb long")
+    out = local.join(F.broadcast(over), (F.col("_part") == F.col("_op")) & (F.col("_gk") == F.col("_og")), "left").join(
+        F.broadcast(tied), (F.col("_part") == F.col("_tp")) & (F.col("_vk") == F.col("_tv")), "left")
+    return out.select(
+        *df.columns, F.coalesce("_tn", "_n").alias("n"), F.coalesce(F.col("_tb"), F.coalesce("_offset", F.lit(0)) + F.col("_before")).alias("before"),
+        F.coalesce("_total", "_size").alias("total"),
+    )
+
+
+def _local_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a sorted partition with run length, rows of the group before the run and group size, all within the
+    partition; _mark is on the first row of the first and of the last run."""
+    frames = [pdf for pdf in batches if len(pdf)]
+    if not frames:
+        return
+    g, v = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("_gk", "_vk"))
+    at = np.arange(len(g))
+    starts = lambda x: np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    groups, runs = starts(g), starts(v)
+    of_group, of_run = np.searchsorted(groups, at, side="right") - 1, np.searchsorted(runs, at, side="right") - 1
+    size, length = np.diff(np.append(groups, len(g))), np.diff(np.append(runs, len(g)))
+    mark = np.zeros(len(g), dtype=bool)
+    mark[[runs[0], runs[-1]]] = True
+    part, lo = TaskContext.get().partitionId(), 0
+    for f in frames:
+        k = slice(lo, lo + len(f))
+        yield f.assign(_part=part, _mark=mark[k], _n=length[of_run[k]], _before=runs[of_run[k]] - groups[of_group[k]], _size=size[of_group[k]])
+        lo += len(f)
+
+
+def _across(marks: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """What marked runs (part, group, value, n, before, size) say about groups and runs in several partitions:
+    (part, group, offset, total) and (part, value, n, before)."""
+    sizes: dict[int, dict[int, int]] = {}
+    for part, g, _, _, _, size in marks:
+        sizes.setdefault(g, {})[part] = size
+    offset, offsets = {}, []
+    for g, parts in sizes.items():
+        upto = 0
+        for part in sorted(parts):
+            offset[part, g] = upto
+            upto += parts[part]
+        if len(parts) > 1:
+            offsets += [(part, g, offset[part, g], upto) for part in parts]
+    runs: dict[int, dict[int, tuple[int, int]]] = {}
+    for part, g, v, n, before, _ in marks:
+        runs.setdefault(v, {})[part] = (n, offset[part, g] + before)
+    ties = [(part, v, sum(n for n, _ in at.values()), min(b for _, b in at.values())) for v, at in runs.items() if len(at) > 1 for part in at]
+    return offsets, ties
 
 
 def positions(spark: SparkSession, df: DataFrame, columns: list[str], order: list[Column] | None = None) -> DataFrame:

@@ -99,8 +99,6 @@ class Scratch:
     """
 
     _live: set[str] = set()
-    #: A table that a function hands out beside its result.
-    first: DataFrame | None = None
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
