@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import lookup_join, ranked, with_ranks
+from ..operators.skew import lookup_join, with_ranks
 from ..session import Scratch
 
 #: Rows folded into one champion at a time when looking for the item ahead of all others.
@@ -53,9 +53,9 @@ def robust_rank(spark: SparkSession, df: DataFrame, query: str, item: str, score
     scratch = Scratch(spark, "fusion")
     rows = scratch.keep(base)
     names = [f"_s{k}" for k in range(len(scores))]
-    # one row per score, so that all scores are ranked by one range partitioning; its group is query and score
-    each = rows.select("_q", "_i", F.posexplode(F.array(*names)).alias("_k", "_v")).withColumn("_grp", F.struct("_q", "_k"))
-    placed = with_ranks(spark, each, "_grp", "_v", F.col("_v").desc_nulls_last(), "fusion-ranks")
+    # one row per score, so that all scores are ranked by one range partitioning
+    each = rows.select("_q", "_i", F.posexplode(F.array(*names)).alias("_k", "_v"))
+    placed = with_ranks(spark, each, ["_q", "_k"], ["_v"], [F.col("_v").desc_nulls_last()], "fusion-ranks")
     mean = (F.col("before") + (F.col("n") + 1) / 2) / F.col("total")
     of = lambda k, x: F.max(F.when(F.col("_k") == k, x))
     rows = placed.groupBy("_q", "_i").agg(
@@ -69,9 +69,7 @@ def robust_rank(spark: SparkSession, df: DataFrame, query: str, item: str, score
     mean_rank = F.round(reduce(lambda a, b: a + b, [F.col(f"_r{k}") for k in range(m)]) / m, 12)
     scored = scratch.keep(rows.select("_q", "_i", *names, "n_items", rho.alias("rho"), mean_rank.alias("mean_rank")))
     order = [F.col("rho"), F.col("mean_rank"), F.col("_i")]
-    at, _ = ranked(spark, scored.select("_q", "rho", "mean_rank", "_i"), "_q", order, ["rho", "mean_rank", "_i"])
-    place = at.select(F.col("_q").alias("_pq"), F.col("_i").alias("_pi"), (F.col("before") + 1).alias("position"))
-    out = scored.join(place, (F.col("_q") == F.col("_pq")) & (F.col("_i") == F.col("_pi")), "inner")
+    out = with_ranks(spark, scored, ["_q"], ["rho", "mean_rank", "_i"], order, "fusion-places").withColumn("position", F.col("before") + 1)
     return out.select(
         F.col("_q").alias(query), F.col("_i").alias(item), *[F.col(n).alias(c) for n, c in zip(names, scores)],
         "rho", "mean_rank", "position", "n_items",
