@@ -9,17 +9,36 @@ from ..functions import scalars as X
 
 #: What a call pattern says about an entity: plane, type, role and edge kind (fixed values).
 SITES = [
-    (r"process\.env\.([A-Z][A-Z0-9_]*)", "general", "environment_variable", "environment_read", "reads_env"),
-    (r"\bconfig(?:Service)?\.(?:get|require)\(\s*'([^'\n]+)'", "general", "config_key", "config_read", "reads_config"),
-    (r"\b(?:fetch|axios|got|request)\(\s*'[a-z]+://([^'/\n]+)", "general", "external_host", "external_host_call", "calls_host"),
-    (r"path:\s*'([^'\n]+)'", "general", "route", "route_handler", "handles_route"),
-    (r"\b(?:queue|jobs?|worker)\.(?:add|addBulk|enqueue|publish|schedule)\(\s*'([^'\n]+)'", "runtime", "job", "job_producer", "produces_job"),
-    (r"\bnew Worker\(\s*'([^'\n]+)'", "runtime", "job", "job_handler", "job_handler"),
-    (r"transport\.call\(\s*'([^'\n]+)'", "runtime", "registry", "dispatch_site", "dispatches"),
+    (r"process\.env(?:\.|\[['\"])([A-Z][A-Z0-9_]*)", "general", "environment_variable", "environment_read", "reads_env"),
+    (r"\b(?:config|[A-Za-z]*[cC]onfigService)\.(?:get|getOrThrow|require)\(\s*['\"]([^'\"\n]+)['\"]", "general", "config_key", "config_read", "reads_config"),
+    (r"\b(?:fetch|axios(?:\.[a-z]+)?|got(?:\.[a-z]+)?|request)\(\s*['\"][a-z]+://([^'\"/\n]+)", "general", "external_host", "external_host_call", "calls_host"),
+    (r"\b(?:app|[a-zA-Z]*[rR]outer|server|fastify)\.(?:get|post|put|patch|delete|head|options|all)\(\s*['\"]([^'\"\n]+)['\"]", "general", "route", "route_handler", "handles_route"),
+    (r"@(?:Controller|Get|Post|Put|Patch|Delete|Head|Options|All)\(\s*['\"]([^'\"\n]*)['\"]", "general", "route", "route_handler", "handles_route"),
+    (r"\bpath:\s*'([^'\n]+)'", "general", "route", "route_handler", "handles_route"),
+    (r"\b[a-zA-Z]*[cC]lient\.(?:query|mutation|subscription)\(\s*\{\s*([A-Za-z_$][\w$]*)", "general", "graphql_operation", "graphql_operation", "invokes_graphql"),
+    (r"@(?:Query|Mutation|Subscription)\((?:[^()]|\([^()]*\))*\)\s*(?:async\s+)?([A-Za-z_$][\w$]*)\s*\(", "general", "graphql_operation", "graphql_handler", "handles_graphql"),
+    (r"\b(?:isEnabled|isFeatureEnabled|getFlag|hasFeature|useFeatureFlag|variation)\(\s*['\"]([^'\"\n]+)['\"]", "general", "feature_flag", "feature_flag_check", "checks_flag"),
+    (r"\b([a-zA-Z]*(?:[rR]epository|[mM]odel|prisma\.[a-zA-Z]+))\.(?:find|findOne|findMany|findUnique|findFirst|count|aggregate)\(", "general", "database_resource", "database_read", "reads_resource"),
+    (r"\b([a-zA-Z]*(?:[rR]epository|[mM]odel|prisma\.[a-zA-Z]+))\.(?:save|insert|create|update|upsert|delete|remove|createMany|updateMany|deleteMany)\(", "general", "database_resource", "database_write", "writes_resource"),
+    (r"\bgetRepository\(\s*([A-Za-z_$][\w$]*)", "general", "database_resource", "database_acquire", "acquires_resource"),
+    (r"\b[a-zA-Z]*(?:[qQ]ueue|[jJ]obs?|[wW]orker|[cC]ron|[sS]chedul\w*|[pP]roducer)\.(?:add|addBulk|addCron|enqueue|publish|schedule)\(\s*['\"]([^'\"\n]+)['\"]", "runtime", "job", "job_producer", "produces_job"),
+    (r"\bnew Worker\(\s*['\"]([^'\"\n]+)['\"]", "runtime", "job", "job_handler", "job_handler"),
+    (r"@(?:Cron|Interval|Timeout|Process|Processor|Job)\(\s*['\"]([^'\"\n]+)['\"]", "runtime", "job", "job_handler", "job_handler"),
+    (r"\bdefineLogicFunction\(\s*\{\s*universalIdentifier:\s*['\"]([^'\"\n]+)['\"]", "runtime", "registry", "registered_handler", "registered_handler"),
+    (r"\btargetLogicFunctionUniversalIdentifier:\s*['\"]([^'\"\n]+)['\"]", "runtime", "registry", "dispatch_site", "dispatches"),
+    (r"\bdatabaseEventTriggerSettings:\s*\{\s*eventName:\s*['\"]([^'\"\n]+)['\"]", "runtime", "data_lifecycle", "lifecycle_listener", "lifecycle_listener"),
+    (r"\.mutation\(\s*\{\s*((?:create|update|delete)[A-Z]\w*)", "runtime", "data_lifecycle", "lifecycle_producer", "produces_lifecycle"),
+    (r"\bprovide:\s*['\"]?([A-Za-z_$][\w$.]*)['\"]?\s*,\s*use(?:Class|Factory|Existing|Value)\b", "runtime", "di_token", "provider", "provides"),
+    (r"@Inject\(\s*['\"]?([A-Za-z_$][\w$.]*)", "runtime", "di_token", "injection_site", "injects"),
     (r"\binterface ([A-Z]\w*)", "contract", "interface", "contract_declaration", "declares_contract"),
     (r"\btype ([A-Z]\w*)\s*=", "contract", "type_alias", "contract_declaration", "declares_contract"),
     (r"\benum ([A-Z]\w*)", "contract", "enum", "contract_declaration", "declares_contract"),
-    (r":\s*([A-Z]\w*)\b", "contract", "reference", "contract_reference", "references_contract"),
+    (r"\b(?:const|let)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:z|yup|joi|Joi|t|v)\.object\(", "contract", "schema", "contract_declaration", "declares_contract"),
+    (r"\bclass ([A-Z]\w*(?:Dto|DTO|Input|Payload))\b", "contract", "schema", "contract_declaration", "declares_contract"),
+    (r"\)\s*:\s*([A-Z]\w*)\b", "contract", "reference", "return_contract", "returns_contract"),
+    (r"[(,)]\s*[A-Za-z_$][\w$]*\??\s*:\s*([A-Z]\w*)\b", "contract", "reference", "parameter_contract", "accepts_contract"),
+    (r"\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*:\s*([A-Z]\w*)\b", "contract", "reference", "contract_reference", "references_contract"),
+    (r"@([A-Z]\w*)\b", "contract", "decorator", "decorator_use", "decorated_by"),
 ]
 #: Roles that produce for the other side of a runtime boundary, and those that consume (fixed values).
 PRODUCERS = ["dispatch_site", "job_producer", "lifecycle_producer", "injection_site"]

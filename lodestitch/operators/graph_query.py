@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,31 @@ def ends_table(edges: DataFrame, degree: DataFrame, roles: DataFrame | None = No
     )
 
 
+def resolved_anchors(wanted: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(anchor, tier, n_candidates, node_key): what each wanted anchor (column anchor) names.
+
+    Tried in this order, the first that names anything decides: 1 an exact symbol key, 2 ``file:`` and a path, 3 a path
+    or its end, 4 ``path:name``, 5 a symbol's name. node_key is set only if there is exactly one candidate; an anchor
+    that names nothing has tier null and no candidates. Path ends are joined by equality with every end of every path.
+    """
+    parts = F.split("path", "/")
+    ends = files.select(F.concat(F.lit("file:"), "path").alias("node_key"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("_a"))
+    tier = lambda n, df: df.withColumn("_tier", F.lit(n))
+    names = reduce(DataFrame.unionByName, [
+        tier(1, symbols.select("node_key", F.col("node_key").alias("_a"))),
+        tier(2, files.select(F.concat(F.lit("file:"), "path").alias("node_key")).withColumn("_a", F.col("node_key"))),
+        tier(3, ends),
+        tier(4, symbols.select("node_key", F.concat("path", F.lit(":"), "name").alias("_a"))),
+        tier(5, symbols.select("node_key", F.col("name").alias("_a"))),
+    ])
+    asked = wanted.select("anchor").filter("anchor IS NOT NULL").distinct()
+    per = asked.join(names, F.col("anchor") == F.col("_a")).groupBy("anchor", "_tier").agg(F.count(F.lit(1)).alias("_n"), F.min("node_key").alias("_k"))
+    first = per.groupBy("anchor").agg(F.min(F.struct("_tier", "_n", "_k")).alias("_b"))
+    return asked.join(first, "anchor", "left").select(
+        "anchor", F.col("_b._tier").alias("tier"), F.coalesce("_b._n", F.lit(0)).alias("n_candidates"), F.when(F.col("_b._n") == 1, F.col("_b._k")).alias("node_key")
+    )
+
+
 #: An edge (source, target, kind, confidence), and the state of a reached node: depth and the floors of confidence,
 #: relation, hub damping and role along the way.
 Edge = tuple[str, str, str, str]

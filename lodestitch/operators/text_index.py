@@ -38,20 +38,29 @@ def idf(n_docs: Column, n_with: Column) -> Column:
     return F.greatest(F.log((n_docs - n_with + 0.5) / (n_with + 0.5)), F.lit(IDF_FLOOR))
 
 
-def bm25(docs: DataFrame, key: str, query: list[str], weights: dict[str, float]) -> DataFrame:
-    """(key, score) of every document with a query term; greater is better.
+def index(docs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """(term, key, tf, length): postings with the document's length beside them, to be published sorted by term."""
+    return postings(docs, key, weights).join(lengths(docs, key, weights), key).select("term", key, "tf", "length")
 
-    ``key`` is unique. Terms of the query are lower case and count once. Only matching postings are aggregated;
-    the collection's size and mean length are one small aggregate, broadcast to the matches.
-    """
-    terms = sorted(set(query))
-    hits = postings(docs, key, weights, terms)
-    sizes = lengths(docs, key, weights)
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_with"))
-    scored = (
-        hits.join(F.broadcast(spread), "term").join(sizes, key).crossJoin(F.broadcast(stats))  # one row
-        .withColumn("norm", K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-        .withColumn("part", idf(F.col("n_docs"), F.col("n_with")) * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm")))
-    )
-    return scored.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+def statistics(docs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """One row: n_docs and mean_length of the collection."""
+    return lengths(docs, key, weights).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+
+
+def search(entries: DataFrame, stats: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """(key, score) of every document with a query term, from a stored ``index`` and its ``statistics``; greater is
+    better. Terms of the query are lower case and count once; only their postings are read."""
+    hits = entries.filter(F.col("term").isin(sorted(set(query))))
+    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_with"))  # a row for each query term
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
+    part = idf(F.col("n_docs"), F.col("n_with")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = hits.join(F.broadcast(spread), "term").crossJoin(F.broadcast(stats))  # one row
+    return scored.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, key: str, query: list[str], weights: dict[str, float]) -> DataFrame:
+    """(key, score) as ``search`` gives them, for documents (``key`` unique) without a stored index: only the query's
+    postings are aggregated."""
+    hits = postings(docs, key, weights, sorted(set(query))).join(lengths(docs, key, weights), key)
+    return search(hits, statistics(docs, key, weights), key, query)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import retrieval as R
 from ..operators import text_index as T
-from ..session import table
+from ..session import published, table
 from .registry import Registry
 
 REG = Registry()
@@ -51,11 +51,26 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_ranking(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return R.top(T.bm25(table(spark, d, "documents"), "doc_id", QUERY, {"text": 1.0}), [c("score").desc(), c("doc_id")], limit)
+    return R.top(documents_found(spark, d), [c("score").desc(), c("doc_id")], limit)
+
+
+def _found(spark: SparkSession, d: str, name: str, rows, key: str, weights: dict[str, float]) -> DataFrame:
+    """The query's documents from the text index of a table, which is published once an application."""
+    entries = published(spark, d, f"postings-{name}", lambda: T.index(rows(), key, weights), ["term"])
+    stats = published(spark, d, f"statistics-{name}", lambda: T.statistics(rows(), key, weights))
+    return T.search(entries, stats, key, QUERY)
+
+
+def documents_found(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d, "documents", lambda: table(spark, d, "documents"), "doc_id", {"text": 1.0})
+
+
+def chunks_found(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d, "chunks", lambda: chunk_rows(spark, d), "chunk_id", T.CHUNK_WEIGHTS)
 
 
 def chunk_ranking(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return R.top(T.bm25(chunk_rows(spark, d), "chunk_id", QUERY, T.CHUNK_WEIGHTS), [c("score").desc(), c("chunk_id")], limit)
+    return R.top(chunks_found(spark, d), [c("score").desc(), c("chunk_id")], limit)
 
 
 put("s15_postings", f"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY 1",
@@ -63,7 +78,7 @@ put("s15_postings", f"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS
         F.count(F.lit(1)).alias("n_docs"), F.sum("tf").cast("long").alias("n")))
 
 put("r1_bm25_documents", _DOC_SQL + " SELECT doc_id, score FROM bm25",
-    lambda s, d: T.bm25(table(s, d, "documents"), "doc_id", QUERY, {"text": 1.0}))
+    lambda s, d: documents_found(s, d))
 
 put("r1_bm25_chunks", _CHUNK_SQL + " SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM bm25 ORDER BY rank LIMIT 50",
     lambda s, d: chunk_ranking(s, d, 50))
@@ -169,7 +184,7 @@ SELECT r.chunk_id, r.rank, rows.path, array_to_string(string_split(rows.content,
 put("f7_role_filter_before_fusion", _CHUNK_SQL + """
 SELECT b.chunk_id, b.score, row_number() OVER (ORDER BY b.score DESC, b.chunk_id) AS rank FROM bm25 b JOIN rows USING (chunk_id)
 WHERE rows.role IN ('production', 'unknown') AND lower(trim(rows.origin)) IN ('repository', 'workspace') ORDER BY rank LIMIT 50""",
-    lambda s, d: R.top(T.bm25(chunk_rows(s, d), "chunk_id", QUERY, T.CHUNK_WEIGHTS).join(
+    lambda s, d: R.top(chunks_found(s, d).join(
         chunk_rows(s, d).filter(c("role").isin("production", "unknown") & F.lower(F.trim("origin")).isin("repository", "workspace")).select("chunk_id"),
         "chunk_id", "left_semi"), [c("score").desc(), c("chunk_id")], 50))
 

@@ -43,13 +43,9 @@ put("s1_source_walk", r"""SELECT id, path FROM files WHERE regexp_matches(path,
 put("s2_walk_rejections", "SELECT DISTINCT repo, regexp_replace(replace(trim(path), '\\', '/'), '^\\./', '') AS path, lower(trim(stage)) AS stage, error FROM walk_rejections",
     lambda s, d: table(s, d, "walk_rejections").select("repo", F.regexp_replace(F.translate(F.trim("path"), "\\", "/"), r"^\./", "").alias("path"), F.lower(F.trim("stage")).alias("stage"), "error").distinct())
 put("s4_chunker", None, chunked)
-put("s6_leading_comments", r"""SELECT id AS chunk_id, regexp_matches(content, '^\s*(?://[^\n]*\n|/\*)') AS commented FROM chunks""",
-    lambda s, d: table(s, d, "chunks").select(c("id").alias("chunk_id"), c("content").rlike(r"^\s*(?://[^\n]*\n|/\*)").alias("commented")))
 put("s12_minified_filter", """SELECT id FROM (SELECT f.id, path, list_transform(string_split(content, chr(10))[1:5], lambda x: length(x)) AS n FROM files f JOIN source_files s ON s.file_id = f.id)
 WHERE contains(path, '.min.') OR (n[1] > 4000 AND len(n) = 5 AND list_min(n[2:5]) > 1000)""",
     lambda s, d: with_text(s, d).filter(S.is_minified(c("path"), c("content"))).select("id"))
-put("s13_workspaces", "SELECT id FROM files WHERE regexp_matches(path, '^packages/[^/]*/src/(?:.*/)?[^/]*\\.ts$')",
-    lambda s, d: (lambda f: f.crossJoin(F.broadcast(s.createDataFrame([("packages/*/src/**/*.ts",)], "glob string"))).filter(F.regexp("path", S.glob_pattern(c("glob")))).select("id"))(table(s, d, "files")))
 
 
 def republished(s: SparkSession, d: str) -> DataFrame:

@@ -362,3 +362,36 @@ put("s5_line_index", """SELECT c.id AS chunk_id, c.file_id, length(decode(encode
 put("s11_dependency_scan", None, lambda s, d: T.greedy_budget(
     files(s, d).filter(F.lower(F.trim("origin")) == "dependency").select("id", "repo", c("path").contains("index").alias("forced")).join(sources(s, d).select(c("file_id").alias("id"), F.octet_length("content").cast("long").alias("n_bytes")), "id"),
     "repo", ["id"], "n_bytes", T.SCAN_BYTES, "forced", T.SCAN_FILES, T.SCAN_EACH).select("id", "taken"))
+
+
+# --- anchors, comments, workspaces ------------------------------------------------------------------------------
+
+
+def wanted_anchors(s, d):
+    """Names, file names, keys and path:name pairs of everything indexed, and one that names nothing."""
+    sym = symbols(s, d)
+    parts = [sym.select(c("name").alias("anchor")), sym.select("node_key"), sym.select(F.concat("path", F.lit(":"), "name")), files(s, d).select(F.element_at(F.split("path", "/"), -1)), files(s, d).select(F.concat(F.lit("file:"), "path"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.union(s.createDataFrame([("no such anchor",)], "anchor string"))
+
+
+put("q1_resolved_anchors", f"""WITH {SYM}, want AS (SELECT name AS anchor FROM sym UNION SELECT node_key FROM sym UNION SELECT path || ':' || name FROM sym UNION SELECT string_split(path, '/')[-1] FROM files UNION SELECT 'file:' || path FROM files UNION SELECT 'no such anchor'),
+hit AS (SELECT w.anchor, 1 AS tier, s.node_key FROM want w JOIN sym s ON s.node_key = w.anchor UNION ALL SELECT w.anchor, 2, 'file:' || f.path FROM want w JOIN files f ON 'file:' || f.path = w.anchor
+  UNION ALL SELECT w.anchor, 3, 'file:' || f.path FROM want w JOIN files f ON f.path = w.anchor OR suffix(f.path, '/' || w.anchor) UNION ALL SELECT w.anchor, 4, s.node_key FROM want w JOIN sym s ON s.path || ':' || s.name = w.anchor
+  UNION ALL SELECT w.anchor, 5, s.node_key FROM want w JOIN sym s ON s.name = w.anchor),
+t AS (SELECT anchor, min(tier) AS tier FROM hit GROUP BY 1), k AS (SELECT anchor, tier, count(*) AS n, min(node_key) AS k FROM hit JOIN t USING (anchor, tier) GROUP BY 1, 2)
+SELECT w.anchor, k.tier, coalesce(k.n, 0) AS n_candidates, CASE WHEN k.n = 1 THEN k.k END AS node_key FROM want w LEFT JOIN k USING (anchor)""",
+    lambda s, d: Q.resolved_anchors(wanted_anchors(s, d), symbols(s, d), files(s, d)))
+put("s6_comment_spans", None, lambda s, d: S.leading_comment_starts(chunks(s, d).select(c("id").alias("chunk_id"), "file_id", "start_byte"), sources(s, d), "chunk_id", "file_id", "start_byte"))
+
+
+def manifests(s, d):
+    """A manifest for every top folder, as the tables hold no package.json."""
+    roots = files(s, d).select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("root")).distinct()
+    return roots.select(F.concat("root", F.lit("/package.json")).alias("path"), F.to_json(F.struct(F.concat(F.lit("@kit/"), F.element_at(F.split("root", "/"), -1)).alias("name"))).alias("text"))
+
+
+put("s13_workspace_packages", """WITH r AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:2], '/') AS root FROM files) SELECT min(root) AS root, '@kit/' || string_split(root, '/')[-1] AS name, 'src/index.ts' AS entry FROM r WHERE regexp_matches(root, '^packages/[^/]+$') GROUP BY 2""",
+    lambda s, d: S.workspaces(manifests(s, d), ["packages/*"]))

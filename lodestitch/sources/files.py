@@ -99,6 +99,49 @@ def lines_of(spans: DataFrame, sources: DataFrame, key: str, file: str, offset:
     return texts.join(asked, file).mapInPandas(find, f"{key} {kinds[key]}, {file} {kinds[file]}, line long")
 
 
+def leading_comment_starts(spans: DataFrame, sources: DataFrame, key: str, file: str, offset: str) -> DataFrame:
+    """(key, start): the byte offset of each span, moved back over a comment that only blanks with at most one line
+    break part from it. Spans of a file meet its text once; null offsets and missing texts have no rows."""
+    kinds = dict(spans.dtypes)
+    asked = spans.filter(F.col(offset).isNotNull()).groupBy(file).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(offset).cast("long").alias("at"))).alias("_asked"))
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text, rows in zip(pdf["content"], pdf["_asked"]):
+                data = text.encode()
+                yield pd.DataFrame({key: [r["k"] for r in rows], "start": [_before_comment(data, r["at"]) for r in rows]})
+
+    texts = sources.select(file, "content").filter("content IS NOT NULL")
+    return texts.join(asked, file).mapInPandas(back, f"{key} {kinds[key]}, start long")
+
+
+def _before_comment(data: bytes, at: int) -> int:
+    end = min(at, len(data))
+    while end and data[end - 1] in b" \t\r\n":
+        end -= 1
+    if data.count(b"\n", end, at) > 1:
+        return at
+    if data[max(0, end - 2) : end] == b"*/":
+        start = data.rfind(b"/*", 0, end)
+        return start if start >= 0 else at
+    line = data.rfind(b"\n", 0, end) + 1
+    begin = line + len(data[line:end]) - len(data[line:end].lstrip())
+    return begin if data[begin : begin + 2] == b"//" else at
+
+
+def workspaces(manifests: DataFrame, globs: list[str]) -> DataFrame:
+    """(root, name, entry) of workspace packages: ``manifests`` (path, text) whose folder a workspace glob matches.
+
+    The text is JSON with name and main or module; entry defaults to src/index.ts. A manifest that does not parse, or
+    has no name, is no package; of several with one name the least root counts.
+    """
+    pattern = reduce(lambda a, b: a | b, [F.regexp(F.col("root"), glob_pattern(F.lit(g))) for g in globs], F.lit(False))
+    read = F.from_json("text", "name string, main string, module string")
+    rows = manifests.select(F.regexp_replace("path", "/?[^/]*$", "").alias("root"), read.alias("m")).filter(pattern & F.col("m.name").isNotNull())
+    entry = F.coalesce("m.module", "m.main", F.lit("src/index.ts"))
+    return rows.groupBy(F.col("m.name").alias("name")).agg(F.min(F.struct("root", entry.alias("entry"))).alias("_b")).select("_b.root", "name", "_b.entry")
+
+
 def glob_pattern(glob: Column) -> Column:
     """Regular expression of a workspace glob: ** for any depth, * within a folder."""
     plain = F.regexp_replace(glob, r"([.+^$(){}|\[\]])", r"\\$1")

@@ -190,3 +190,41 @@ def test_events(spark):
         ("file:a.js", "event-site:a.js:1", "contains_event", "certain"), ("file:a.js", "event-site:a.js:2", "contains_event", "certain"),
         ("file:b.js", "event-site:b.js:1", "contains_event", "certain"), ("event:unknown:gone", "event-site:a.js:1", "listens", "possible"),
         ("event-site:a.js:2", "event:unknown:saved", "emits", "possible"), ("event:unknown:saved", "event-site:b.js:1", "listens", "possible")}
+
+
+def test_anchors(spark):
+    symbols = spark.createDataFrame([("sym:a/x.ts#::f@1", "a/x.ts", "f"), ("sym:b/x.ts#::f@1", "b/x.ts", "f"), ("sym:b/x.ts#::g@1", "b/x.ts", "g")], "node_key string, path string, name string")
+    files = spark.createDataFrame([(1, "a/x.ts"), (2, "b/x.ts"), (3, "b/g")], "id long, path string")
+    wanted = spark.createDataFrame([("f",), ("g",), ("x.ts",), ("a/x.ts",), ("b/x.ts:f",), ("file:b/x.ts",), ("sym:a/x.ts#::f@1",), ("none",), (None,)], "anchor string")
+    got = {r.anchor: (r.tier, r.n_candidates, r.node_key) for r in Q.resolved_anchors(wanted, symbols, files).collect()}
+    assert got == {
+        "f": (5, 2, None), "g": (3, 1, "file:b/g"), "x.ts": (3, 2, None), "a/x.ts": (3, 1, "file:a/x.ts"), "b/x.ts:f": (4, 1, "sym:b/x.ts#::f@1"),
+        "file:b/x.ts": (2, 1, "file:b/x.ts"), "sym:a/x.ts#::f@1": (1, 1, "sym:a/x.ts#::f@1"), "none": (None, 0, None)}
+
+
+ENTITIES = """
+const a = process.env.PORT, b = process.env['DB_URL']; config.get('k1'); appConfigService.getOrThrow("k2");
+await fetch('https://api.example.org/x'); axios.post("http://h.example/x"); userRouter.get('/users', f); @Post('items') create() {}
+apolloClient.query({ findUser }); @Query(() => User) async user(id) {} ; if (flags.isEnabled('beta')) {}
+userRepository.findOne(1); orderModel.save(o); ds.getRepository(Order); mailQueue.add('send', 1); new Worker("resize", f); @Cron('daily') run() {}
+defineLogicFunction({ universalIdentifier: 'lf-1', handler }); const t = { targetLogicFunctionUniversalIdentifier: 'lf-1' };
+x = { databaseEventTriggerSettings: { eventName: 'person.created' } }; client.mutation({ createPerson: 1 });
+providers = [{ provide: Clock, useClass: SystemClock }]; class S { constructor(@Inject(Clock) c: Clock): Result { const q: Query = 1 } }
+interface Shape {} type Alias = 1; enum Kind {} ; const schema = z.object({}); class CreateDto {}
+"""
+
+
+def test_entity_sites(spark):
+    from lodestitch.operators import entities as N
+
+    rows = N.sites(spark.createDataFrame([(1, ENTITIES), (2, None), (3, "")], "file_id long, content string")).collect()
+    got = {(r.role, r.name) for r in rows}
+    assert got >= {
+        ("environment_read", "PORT"), ("environment_read", "DB_URL"), ("config_read", "k1"), ("config_read", "k2"), ("external_host_call", "api.example.org"),
+        ("external_host_call", "h.example"), ("route_handler", "/users"), ("route_handler", "items"), ("graphql_operation", "findUser"), ("graphql_handler", "user"),
+        ("feature_flag_check", "beta"), ("database_read", "userRepository"), ("database_write", "orderModel"), ("database_acquire", "Order"), ("job_producer", "send"),
+        ("job_handler", "resize"), ("job_handler", "daily"), ("registered_handler", "lf-1"), ("dispatch_site", "lf-1"), ("lifecycle_listener", "person.created"),
+        ("lifecycle_producer", "createPerson"), ("provider", "Clock"), ("injection_site", "Clock"), ("contract_declaration", "Shape"), ("contract_declaration", "Alias"),
+        ("contract_declaration", "Kind"), ("contract_declaration", "schema"), ("contract_declaration", "CreateDto"), ("parameter_contract", "Clock") , ("return_contract", "Result"),
+        ("contract_reference", "Query"), ("decorator_use", "Inject")}
+    assert {r.file_id for r in rows} == {1}

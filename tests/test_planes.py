@@ -125,6 +125,17 @@ def test_lines_of_offsets(spark):
     assert {r.id: r.line for r in S.lines_of(spans, texts, "id", "file", "at").collect()} == {1: 1, 2: 1, 3: 2, 4: 4, 6: 1}
 
 
+def test_leading_comments_and_workspaces(spark):
+    text = "// one\nf();\n\n/* two\n * lines */\ng();\n// far\n\nh();\nlet x; // tail\n  i();"
+    at = {name: text.index(f"{name}()") for name in "fghi"}
+    spans = spark.createDataFrame([(n, 1, a) for n, a in at.items()] + [("z", 2, 0), ("n", 1, None)], "k string, file long, at long")
+    got = {r.k: r.start for r in S.leading_comment_starts(spans, spark.createDataFrame([(1, text), (2, "")], "file long, content string"), "k", "file", "at").collect()}
+    assert got == {"f": 0, "g": text.index("/* two"), "h": at["h"], "i": at["i"], "z": 0}
+    rows = [("packages/a/package.json", '{"name": "@w/a", "main": "lib/a.js"}'), ("packages/b/package.json", '{"name": "@w/b"}'), ("packages/c/package.json", "{"), ("packages/x/y/package.json", '{"name": "@w/y"}'), ("package.json", '{"name": "root"}')]
+    found = S.workspaces(spark.createDataFrame(rows, "path string, text string"), ["packages/*"])
+    assert {tuple(r) for r in found.collect()} == {("packages/a", "@w/a", "lib/a.js"), ("packages/b", "@w/b", "src/index.ts")}
+
+
 def test_a_line_above_the_maximum_is_cut():
     source = "x('" + "ä" * 30_000 + "');\nshort();\n"
     got = chunker.chunks(source)
