@@ -26,6 +26,20 @@ def test_innermost_breaks_ties_by_start(spark):
     assert {r.id for r in I.innermost(points, spans, "file", "at", "s", "e", "id", "sid", True).filter("container = 13").collect()} == {1}
 
 
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(k, k % 3, a, a + rnd.choice([0, 5, 300, 9000])) for k in range(150) for a in [rnd.randrange(20_000)]] + [(900, 0, None, 5), (901, 0, 7, None), (902, 1, 50, 40)]
+    df = spark.createDataFrame(rows, "id long, f long, s long, e long")
+    full = [r for r in rows if r[2] is not None and r[3] is not None]
+    for inclusive in (False, True):
+        meets = lambda x, y: x[2] <= y[3] and x[3] >= y[2] if inclusive else x[2] < y[3] and x[3] > y[2]
+        got = [(r.left_key, r.right_key) for r in I.overlapping(df, df, "f", "s", "e", "id", "id", inclusive).collect()]
+        want = {(x[0], y[0]) for x in full for y in full if x[1] == y[1] and meets(x, y)}
+        assert len(got) == len(set(got)) and {p for p in got if p[0] != 902 and p[1] != 902} == {p for p in want if p[0] != 902 and p[1] != 902}
+
+
 def test_longest_prefix(spark):
     paths = spark.createDataFrame([(1, "a/b/c/d.ts"), (2, "a/x.ts"), (3, "z.ts"), (4, "ab/c.ts")], "id long, path string")
     roots = spark.createDataFrame([("a", 10), ("a/b", 11), ("a/b/c", 12)], "root string, rid long")
