@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .skew import HOT_FLOOR, lookup_join
+from .skew import HOT_FLOOR, lookup_join, ranked
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -92,17 +92,74 @@ def resolve_hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False
     return out if paths else out.drop("path")
 
 
-def descendants(resolved: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, hops) of every node pair on one path, from ``resolve_hierarchy(paths=True)``.
+def _doubled(scratch: Scratch, state: DataFrame, step) -> DataFrame:
+    """Rounds of pointer doubling over ``state`` (id, ptr: the ancestor at the round's exact distance or null, value).
 
-    Explodes each node's own path, so no tree is gathered anywhere. Nodes in or below a cycle have no rows.
+    ``step(state, jumped)`` gives the new values (id, value) from the state and ``jumped`` (id, value, onto: the
+    ancestor's value, next: the ancestor's pointer) of the nodes with a pointer. Ends when no pointer is left.
     """
-    last = F.size("path") - 1
-    return resolved.filter(F.col("depth") > 0).select(
-        F.col("id").alias("descendant_id"), last.alias("_last"), F.posexplode("path").alias("_pos", "ancestor_id")
-    ).filter(F.col("_pos") < F.col("_last")).select(
-        "ancestor_id", "descendant_id", (F.col("_last") - F.col("_pos")).cast("long").alias("hops")
+    while True:
+        left = state.filter("ptr IS NOT NULL").count()
+        if not left:
+            return state
+        known = state.select(F.col("id").alias("_id"), F.col("value").alias("onto"), F.col("ptr").alias("next"))
+        active = state.filter("ptr IS NOT NULL")
+        met = lookup_join(active, known, "ptr", "_id") if left > HOT_FLOOR else active.join(known, F.col("ptr") == F.col("_id"))
+        jumped = scratch.keep(met.select("id", "ptr", "value", "onto", "next"))
+        state = scratch.keep(step(state, jumped))
+
+
+def intervals(spark: SparkSession, resolved: DataFrame) -> DataFrame:
+    """(id, root_id, depth, first, last, n_descendants): labels that tell all descendants without listing pairs.
+
+    ``resolved`` is the result of ``resolve_hierarchy``. Within a root's tree a node's descendants are exactly those
+    whose ``first`` lies above its own first and up to its last. Children are numbered in the order of their ids.
+    Subtree sizes are summed by pointer doubling, each round adding what lies beyond the distance so far; the sizes
+    before a node among its siblings, summed along its ancestors by doubling again, are its place. The work is the
+    number of nodes times the logarithm of the depth. Nodes in or below a cycle have no rows.
+    """
+    scratch = Scratch(spark, "intervals")
+    good = scratch.keep(resolved.filter("NOT in_cycle").select("id", "parent", "root_id", "depth"))
+
+    def grown(state: DataFrame, jumped: DataFrame) -> DataFrame:
+        more = jumped.groupBy("ptr").agg(F.sum("value").alias("_more")).select(F.col("ptr").alias("_p"), "_more")
+        up = jumped.select(F.col("id").alias("_i"), "next")
+        return state.select("id", "value").join(more, F.col("id") == F.col("_p"), "left").join(up, F.col("id") == F.col("_i"), "left").select(
+            "id", F.col("next").alias("ptr"), (F.col("value") + F.coalesce("_more", F.lit(0))).alias("value"))
+
+    def summed(state: DataFrame, jumped: DataFrame) -> DataFrame:
+        done = state.filter("ptr IS NULL").select("id", "ptr", "value")
+        return done.unionByName(jumped.select("id", F.col("next").alias("ptr"), (F.col("value") + F.col("onto")).alias("value")))
+
+    start = good.select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("value"))
+    sizes = _doubled(scratch, scratch.keep(start), grown).select("id", F.col("value").alias("size"))
+    sized = scratch.keep(good.join(sizes, "id"))
+    before, _ = ranked(spark, sized.filter("parent IS NOT NULL").select("parent", "id", "size"), "parent", [F.col("id")], ["id"], "siblings", "size")
+    offset = before.select(F.col("id").alias("_i"), (F.col("before") + 1).alias("_off"))
+    offsets = sized.select("id", "parent").join(offset, F.col("id") == F.col("_i"), "left")
+    places = _doubled(scratch, scratch.keep(offsets.select("id", F.col("parent").alias("ptr"), F.coalesce("_off", F.lit(0)).cast("long").alias("value"))), summed)
+    rows = sized.join(places.select("id", F.col("value").alias("first")), "id")
+    return rows.select("id", "root_id", "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("n_descendants"))
+
+
+#: Places of the ranges that descendants are looked up by.
+RANGE = 4096
+
+
+def descendants(labels: DataFrame, asked: Column | None = None) -> DataFrame:
+    """(ancestor_id, descendant_id, hops) of the nodes of ``intervals`` that ``asked`` (a condition on it) is true of.
+
+    Nodes meet by root and range of places, so neither a hot root nor a long chain is one key. Asked of all nodes, the
+    pairs grow with the square of a chain's length; the labels themselves do not.
+    """
+    number = lambda c: F.floor(c / RANGE)
+    up = labels.filter(F.lit(True) if asked is None else asked).filter("n_descendants > 0").select(
+        F.col("id").alias("ancestor_id"), F.col("root_id").alias("_root"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("depth").alias("_depth"),
+        F.explode(F.sequence(number(F.col("first") + 1), number(F.col("last")))).alias("_r"),
     )
+    down = labels.select("id", "root_id", "first", "depth", number(F.col("first")).alias("_at"))
+    within = (F.col("root_id") == F.col("_root")) & (F.col("_at") == F.col("_r")) & (F.col("first") > F.col("_first")) & (F.col("first") <= F.col("_last"))
+    return up.join(down, within).select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("_depth")).alias("hops"))
 
 
 def artifact_links(views: DataFrame) -> DataFrame:

@@ -50,17 +50,17 @@ def _joined(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ho
 
 
 def ranked(
-    spark: SparkSession, df: DataFrame, group: str, order: list[Column], names: list[str], tag: str = "rank"
+    spark: SparkSession, df: DataFrame, group: str, order: list[Column], names: list[str], tag: str = "rank", weight: str | None = None
 ) -> tuple[DataFrame, Scratch]:
     """Position of each distinct (group, order key) in its group without gathering a group in a task.
 
     ``order`` are the sort expressions over columns ``names``. Returns one row per (group, names) with
     ``n`` (rows with that key), ``before`` (rows of the group sorted before it) and ``total``. The keys are
     range-partitioned over the whole table, positions inside a partition come from a window, and the
-    partitions' offsets (at most groups + partitions rows) are added.
+    partitions' offsets (at most groups + partitions rows) are added. With ``weight`` (a column) rows count by it.
     """
     scratch = Scratch(spark, tag)
-    keys = df.groupBy(group, *names).agg(F.count(F.lit(1)).alias("n"))
+    keys = df.groupBy(group, *names).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     parted = scratch.keep(
         keys.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
     )

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from lodestitch.operators import skew
-from lodestitch.operators.hierarchy import artifact_links, descendants, resolve_hierarchy
+from lodestitch.operators.hierarchy import artifact_links, descendants, intervals, resolve_hierarchy
 
 VIEWS = "id long, supersedes long, superseded_by long, exported_at timestamp, created_at timestamp, name string, path string"
 T0 = datetime(2024, 1, 1)
@@ -34,7 +34,13 @@ def check(spark, parents: dict) -> None:
             assert (r.root_id, r.depth, r.in_cycle, r.path) == (-1, -1, True, None)
         else:
             assert (r.root_id, r.depth, r.in_cycle, r.path) == (path[0], len(path) - 1, False, path)
-    pairs = sorted(map(tuple, descendants(resolve_hierarchy(spark, links, paths=True)).collect()))
+    labels = intervals(spark, resolve_hierarchy(spark, links))
+    firsts: dict = {}
+    for r in labels.collect():
+        assert r.last - r.first == r.n_descendants
+        firsts.setdefault(r.root_id, []).append(r.first)
+    assert all(sorted(f) == list(range(len(f))) for f in firsts.values())  # each place once, from 0
+    pairs = sorted(map(tuple, descendants(labels).collect()))
     assert pairs == sorted((a, p[-1], len(p) - 1 - k) for p in want.values() if p for k, a in enumerate(p[:-1]))
 
 
@@ -53,6 +59,7 @@ def test_chain_star_and_self_loop(spark):
 def test_empty_table(spark):
     links = spark.createDataFrame([], "id long, parent long")
     assert resolve_hierarchy(spark, links).count() == 0
+    assert descendants(intervals(spark, resolve_hierarchy(spark, links))).count() == 0
 
 
 def test_hot_parent_is_joined_by_broadcast(spark, monkeypatch):
