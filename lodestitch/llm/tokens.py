@@ -16,22 +16,30 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str = VOCABULARY):
-    """The tokenizer of a vocabulary file, made once per Python worker."""
+    """The tokenizer of a vocabulary file."""
+    with open(path, "rb") as f:
+        return _encoder(f.read())
+
+
+@lru_cache(maxsize=4)
+def _encoder(data: bytes):
+    """The tokenizer of a vocabulary, made once per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_token_count(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
-    """(key, n_tokens) of every row; a null text has no tokens."""
+    """(key, n_tokens) of every row; a null text has no tokens. The vocabulary file is read here and sent to the
+    executors, which need no copy of it."""
     key_type = df.schema[key].dataType.simpleString()
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = _encoder(shared.value)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf[text]]
             yield pd.DataFrame({key: pdf[key], "n_tokens": n})

@@ -38,6 +38,26 @@ def test_recall(spark, monkeypatch):
     assert len(near & want) >= 0.99 * len(want) and near <= want
 
 
+def test_recall_with_keys_of_several_rotations(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 32))
+    x = centres[rng.integers(0, 30, 12_000)] + rng.normal(size=(12_000, 32))
+    x[6000:6600] = x[:600] + 0.15 * rng.normal(size=(600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = V.plan(32, len(x), len(x), x[:4000].astype(np.float32), 0.9, 0.99)
+    assert len(found.axes) >= 2 and found.probes >= 2
+    df = spark.createDataFrame([(k, 3, v.tolist(), None, "x") for k, v in enumerate(x)], SCHEMA)
+    profile = spark.createDataFrame([(3, 32)], "id long, dimensions long")
+    near = {(r.vec_id, r.other_id) for r in V.similar_vectors(spark, V.usable_vectors(df, profile), k=10, least=0.9).collect()}
+    want = set()
+    for k in range(len(x)):
+        cos = x @ x[k]
+        cos[k] = -2
+        top = np.argsort(-cos)[:10]
+        want |= {(k, int(j)) for j in top if cos[j] >= 0.9}
+    assert len(near & want) >= 0.97 * len(want)
+
+
 def test_copies_and_unusable(spark):
     a, b = [1.0] * 16, [1.0] * 15 + [-1.0]
     rows = [(k, 2, a) for k in range(40)] + [(40, 2, b), (41, 2, None), (42, 2, []), (43, 2, [0.0] * 16), (44, 2, [float("nan")] * 16), (45, 1, a), (46, 9, a), (40, 2, b), (47, 2, [2.0] * 16), (48, None, a)]
