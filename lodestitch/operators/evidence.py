@@ -42,7 +42,13 @@ def kind_name(kind: Column) -> Column:
     return F.when(letters.isin("import", "imports"), "imports").when(letters.startswith("classheader"), "class_header").otherwise(letters)
 
 
+def _eager(pattern: str) -> str:
+    """The pattern with names read possessively, which finds the same and never reads a name twice."""
+    return pattern.replace(r"[\w$]*)", r"[\w$]*+)")
+
+
 def _pairs(text: Column, pattern: str, a: str, b: str) -> Column:
+    pattern = _eager(pattern)
     one = F.regexp_extract_all(text, F.lit(pattern), 1)
     two = F.regexp_extract_all(text, F.lit(pattern), 2)
     return F.explode(F.arrays_zip(one.alias(a), two.alias(b)))
@@ -74,7 +80,7 @@ def typed_references(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_id, kind, target_name, n): names called, extended and rendered in each chunk, in one scan."""
 
     def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target_name")))
+        return F.transform(F.regexp_extract_all("content", F.lit(_eager(pattern)), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target_name")))
 
     every = F.concat(found("call", CALL), found("extend", EXTEND), found("render", RENDER))
     rows = chunks.select(F.col("id").alias("chunk_id"), "file_id", F.explode(every).alias("_r")).select("chunk_id", "file_id", "_r.*")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 
 def nodes(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(node_key, node_kind, display_name, file_id) of files, symbols and imported packages."""
@@ -59,18 +61,19 @@ def reference_edges(symbols: DataFrame, refs: DataFrame, imports: DataFrame, cha
     A name imported from a file in which nothing is found has no edge.
     """
     caller = symbols.select(F.col("symbol_id").alias("chunk_id"), F.col("node_key").alias("src"))
-    calls = refs.join(caller, "chunk_id").select("src", "file_id", "kind", "target_name").distinct()
+    scratch = Scratch(symbols.sparkSession, "calls")  # read by every branch below
+    calls = scratch.keep(refs.join(caller, "chunk_id").select("src", "file_id", "kind", "target_name").distinct())
     target = symbols.select(F.col("file_id").alias("_f"), F.col("name").alias("_n"), F.col("node_key").alias("dst"))
     on_name = (F.col("file_id") == F.col("_f")) & (F.col("target_name") == F.col("_n"))
     local = calls.join(target, on_name).filter("src <> dst").select("src", "dst", "kind", F.lit("certain").alias("confidence"))
-    rest = calls.join(target.select("_f", "_n").distinct(), on_name, "left_anti")
+    rest = scratch.keep(calls.join(target.select("_f", "_n").distinct(), on_name, "left_anti"))
     named = imports.filter("local_name IS NOT NULL").select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), "package")
     on_import = (F.col("file_id") == F.col("_if")) & (F.col("target_name") == F.col("_in"))
     parts = [local, rest.join(named.filter("package IS NOT NULL"), on_import).select("src", F.concat(F.lit("pkg:"), "package").alias("dst"), "kind", F.lit("likely").alias("confidence"))]
     if chains is not None:
         ends = chains.select(F.col("file_id").alias("_if"), F.col("local_name").alias("_in"), F.col("def_file").alias("_f"), F.col("def_name").alias("_n"), "confidence")
         parts.append(rest.join(ends, on_import).join(target, ["_f", "_n"]).select("src", "dst", "kind", "confidence"))
-    free = rest.join(named.select("_if", "_in").distinct(), on_import, "left_anti")
+    free = scratch.keep(rest.join(named.select("_if", "_in").distinct(), on_import, "left_anti"))
     per_name = target.groupBy("_n").agg(F.count(F.lit(1)).alias("_bear"))
     few, many = per_name.filter(F.col("_bear") <= DIRECT).select("_n"), per_name.filter(F.col("_bear") > DIRECT).select("_n")
     possible = F.lit("possible").alias("confidence")

@@ -134,6 +134,18 @@ def exports(s: SparkSession, d: str) -> DataFrame:
     return published(s, d, "exports", lambda: E.exports(table(s, d, "source_files")))
 
 
+def typed_references(s: SparkSession, d: str) -> DataFrame:
+    return published(s, d, "references", lambda: E.typed_references(table(s, d, "chunks")))
+
+
+def member_calls(s: SparkSession, d: str) -> DataFrame:
+    return published(s, d, "member_calls", lambda: E.member_calls(table(s, d, "chunks")))
+
+
+def event_sites(s: SparkSession, d: str) -> DataFrame:
+    return published(s, d, "events", lambda: E.event_sites(table(s, d, "chunks")))
+
+
 def modules(s: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         again = exports(s, d).filter("from_request IS NOT NULL").select("file_id", c("from_request").alias("request"), F.lit(False).alias("type_only"))
@@ -158,11 +170,11 @@ def edges(s: SparkSession, d: str) -> DataFrame:
     """All edges, written once an application, as every graph query reads them."""
 
     def build() -> DataFrame:
-        chunks, files, sym = table(s, d, "chunks"), table(s, d, "files"), symbols(s, d)
+        files, sym = table(s, d, "files"), symbols(s, d)
         return (
             G.contains_edges(sym).unionByName(G.import_edges(files, modules(s, d)))
-            .unionByName(G.reference_edges(sym, E.typed_references(chunks), imports(s, d), imported_definitions(s, d)))
-            .unionByName(G.member_edges(sym, E.member_calls(chunks))).unionByName(G.event_edges(files, E.event_sites(chunks)))
+            .unionByName(G.reference_edges(sym, typed_references(s, d), imports(s, d), imported_definitions(s, d)))
+            .unionByName(G.member_edges(sym, member_calls(s, d))).unionByName(G.event_edges(files, event_sites(s, d)))
         )
 
     return published(s, d, "edges", build, ["kind", "dst_key"])
