@@ -41,9 +41,10 @@ SHINGLE, ALIKE = 5, 0.8
 #: The least share of the repository's file itself: a file is judged as a whole, so one that is for the greater part
 #: something else is no copy, whatever small third-party file it holds. A truncated copy is not touched by this.
 WHOLE = 0.4
-#: Places for each shingle of the dependencies in the table of how frequent they are, and the greatest size of the
-#: table as a power of 2. A full table only lets more through.
-PLACES, PLACES_MOST = 8, 25
+#: Places for each shingle of the dependencies in the table of how frequent they are, by which shingles are ordered, and
+#: in the table of marks (a bit a place) by which those no dependency has are left out, each with the greatest size
+#: as a power of 2: 16 and 128 MB. Full tables only let more through. Tables are built and sent in pieces of SLICE bytes.
+PLACES, PLACES_MOST, MARKS, MARKS_MOST, SLICE = 2, 24, 8, 30, 1 << 22
 
 #: What generators write into the header (fixed values).
 NOTICES = re.compile(
@@ -199,43 +200,67 @@ def _at(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _added(a: bytes, b: bytes) -> bytes:
-    """Two packed tables of counts added, up to 255; an empty one has no counts."""
-    if not a or not b:
-        return a or b
-    x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (a, b))
-    return zlib.compress((x + np.minimum(y, 255 - x)).tobytes(), 1)
+def _merged(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, bytes]:
+    """Two packed pieces of one table: marks (1) of either, or counts (0) added up to 255."""
+    x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for _, z in (a, b))
+    return a[0], zlib.compress((x | y if a[0] else x + np.minimum(y, 255 - x)).tobytes(), 1)
 
 
-def frequencies(originals: DataFrame) -> tuple[int, bytes]:
-    """(bits, packed counts): by place, how many ``originals`` have a shingle there; never 0 for one they have."""
+#: A table of counts and one of marks, packed: their sizes as powers of 2, and the pieces that are not empty by table and place.
+Packed = tuple[tuple[int, int], dict[tuple[int, int], bytes]]
+
+
+def frequencies(originals: DataFrame) -> Packed:
+    """By place, about how many ``originals`` have a shingle there, never 0 for one they have; and marks of those they have."""
     total = originals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(max(16, math.ceil(math.log2(PLACES * total + 1))), PLACES_MOST)
+    bits, mark_bits = (min(max(16, math.ceil(math.log2(p * total + 1))), most) for p, most in ((PLACES, PLACES_MOST), (MARKS, MARKS_MOST)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << bits, dtype=np.uint8)
+        tables = np.zeros(1 << bits, dtype=np.uint8), np.zeros(1 << (mark_bits - 3), dtype=np.uint8)
         for pdf in batches:
-            for h in pdf["shingles"]:
-                at = np.unique(_at(np.asarray(h, dtype=np.int64), bits))
-                counts[at] += counts[at] < 255
-        yield pd.DataFrame({"counts": [zlib.compress(counts.tobytes(), 1)]})
-
-    counted = originals.select("shingles").mapInPandas(count, "counts binary").rdd.map(lambda r: bytes(r[0]))
-    return bits, counted.treeAggregate(b"", _added, _added, 3)
-
-
-def probes(hashes: np.ndarray, bits: int, counts: np.ndarray) -> tuple[int, np.ndarray]:
+            if not pdf["n"].sum():
+                continue
+            hashes = np.sort(np.concatenate(pdf["shingles"].to_list()).astype(np.int64).view(np.uint64))
+            at, n = np.unique(_at(hashes, bits), return_counts=True)
+            tables[0][at] = np.minimum(tables[0][at] + n, 255)
+            at = _at(hashes, mark_bits)
+            first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+            tables[1][at[first] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+        for kind, whole in enumerate(tables):
+            for lo in range(0, len(whole), SLICE):
+                if whole[lo : lo + SLICE].any():
+                    yield pd.DataFrame({"kind": [kind], "lo": [lo], "piece": [zlib.compress(whole[lo : lo + SLICE].tobytes(), 1)]})
+
+    pieces = originals.select("n", "shingles").mapInPandas(count, "kind int, lo long, piece binary").rdd
+    merged = pieces.map(lambda r: ((r[0], r[1]), (r[0], bytes(r[2])))).reduceByKey(_merged).collect()
+    return (bits, mark_bits), {key: piece for key, (_, piece) in merged}
+
+
+def unpacked(packed: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of counts and of marks."""
+    (bits, mark_bits), pieces = packed
+    tables = np.zeros(1 << bits, dtype=np.uint8), np.zeros(1 << (mark_bits - 3), dtype=np.uint8)
+    for (kind, lo), piece in pieces.items():
+        part = np.frombuffer(zlib.decompress(piece), np.uint8)
+        tables[kind][lo : lo + len(part)] = part
+    return tables
+
+
+def _rare_first(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sorted hashes in the one order in which all texts have their shingles: by count, then by hash."""
+    return hashes[np.argsort(counts[_at(hashes, len(counts).bit_length() - 1)], kind="stable")]
+
+
+def probes(hashes: np.ndarray, counts: np.ndarray, marks: np.ndarray) -> tuple[int, np.ndarray]:
     """(hits, probes): how many shingles of a text the dependencies may have, and of these, the rare first, all but
-    the least number to share less one: a dependency's file that shares WHOLE of the text's has one of them."""
-    if not len(counts) or not len(hashes):
-        return 0, hashes[:0]
-    n = counts[_at(hashes, bits)]
-    hits = int(np.count_nonzero(n))
-    wanted = hits - math.ceil(WHOLE * len(hashes)) + 1
-    if wanted <= 0:
-        return hits, hashes[:0]
-    order = np.argsort(n, kind="stable")[len(n) - hits :]
-    return hits, hashes[order[:wanted]]
+    the least number to share less one, and FURTHER more: a dependency's file that shares WHOLE of the text's has as
+    many of them and one."""
+    at = _at(hashes, len(marks).bit_length() + 2)
+    own = hashes[(marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+    wanted = len(own) - math.ceil(WHOLE * len(hashes)) + 1
+    if wanted <= 0 or not len(own):
+        return len(own), own[:0]
+    return len(own), _rare_first(own, counts)[: wanted + FURTHER]
 
 
 def _originals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,25 +317,29 @@ def machine_written(spark: SparkSession, files: DataFrame, sources: DataFrame) -
         read.join(reps.select("rep", "third"), F.col("_sid") == F.col("rep"), "inner").select("rep", "third", "content").dropDuplicates(["rep"])
     )
     originals = scratch.keep(texts.filter("third").select("rep", "content").mapInPandas(_originals, "rep long, n long, shingles array<long>"))
-    bits, packed = frequencies(originals)
-    shared = spark.sparkContext.broadcast(packed)
+    shared = spark.sparkContext.broadcast(frequencies(originals))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.frombuffer(zlib.decompress(shared.value) if shared.value else b"", dtype=np.uint8)
+        counts, marks = unpacked(shared.value)
         for pdf in batches:
             out = []
             texts = [text or "" for text in pdf["content"]]
             for rep, text, own in zip(pdf["rep"], texts, shingle_sets(texts)):
-                hits, rare = probes(own, bits, counts)
+                hits, rare = probes(own, counts, marks)
                 out.append((rep, notice(text), is_data(text), features(text), len(own), hits, rare.view(np.int64)))
             yield pd.DataFrame(out, columns=["rep", "notice", "is_data", "features", "n", "hits", "probes"])
 
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, _ = unpacked(shared.value)
+        for pdf in batches:
+            yield pdf.assign(shingles=[_rare_first(np.asarray(h, dtype=np.int64), counts) for h in pdf["shingles"]])
+
     described = scratch.keep(
         texts.filter("NOT third").select("rep", "content").mapInPandas(
             describe, "rep long, notice string, is_data boolean, features array<double>, n long, hits long, probes array<long>"
         )
     )
-    copies = _copies(scratch, texts, described, originals)
+    copies = _copies(scratch, texts, described, originals.mapInPandas(ordered, originals.schema))
     own = described.join(copies.withColumn("is_copy", F.lit(True)), "rep", "left").select(
         "rep", "notice", "is_data", "features", F.coalesce("is_copy", F.lit(False)).alias("is_copy")
     )
@@ -329,18 +358,28 @@ FURTHER = 8
 def _copies(scratch: Scratch, texts: DataFrame, described: DataFrame, originals: DataFrame) -> DataFrame:
     """(rep): own texts that are copies of a dependency's file.
 
-    Both sides are distinct texts, so copies of one text meet once. A copy shares as many of its hits as ``least``
-    says. All but one of the ``least`` last taken off, it so shares one of those that are left; with up to FURTHER
-    more probes, so many more of them. Candidates that do are compared by all their shingles.
+    Both sides are distinct texts, so copies of one text meet once; both have their shingles in one order, the rare
+    first. Two texts that share ``least`` shingles share 1 + ``more`` of those that are left when of either the last
+    ``least`` - 1 - ``more`` are taken off. Common shingles so stay out of the join on both sides: an original not larger than the own
+    text must be shared for ALIKE of its own, so only the rare rest of it and FURTHER are looked up; with a larger one
+    the same is true of the own text, so the two cases are joined apart (``_larger``). Candidates left are compared
+    by all their shingles.
     """
-    probed = described.select("rep", "n", "hits", F.posexplode("probes").alias("_at", "shingle"))
-    original = originals.select(F.col("rep").alias("third_rep"), F.col("n").alias("_n"), F.explode("shingles").alias("_s"))
-    whole = F.ceil(F.col("n") * WHOLE)
-    least = F.greatest(whole, F.ceil(F.least("n", "_n") * ALIKE))
-    more = F.least(F.lit(FURTHER), least - whole)
+    share = lambda n: F.ceil(n * ALIKE)
+    of_larger = (share(F.col("n")) <= F.col("hits")) & (F.col("_at") <= F.col("hits") - share(F.col("n")) + FURTHER)
+    probed = described.select("rep", "n", "hits", F.posexplode("probes").alias("_at", "shingle")).withColumn(
+        "_larger", F.explode(F.when(of_larger, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    )
+    rare = F.col("_to") <= F.col("_n") - share(F.col("_n")) + FURTHER
+    original = originals.select(F.col("rep").alias("third_rep"), F.col("n").alias("_n"), F.posexplode("shingles").alias("_to", "_s")).withColumn(
+        "_l", F.explode(F.when(rare, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True))))
+    )
+    least = F.greatest(F.ceil(F.col("n") * WHOLE), share(F.least("n", "_n")))
+    more = F.least(F.lit(FURTHER), least - 1)
     pairs = scratch.keep(
-        probed.join(original, F.col("shingle") == F.col("_s"), "inner")
-        .filter((F.col("_at") <= F.col("hits") - least + more) & (least <= F.col("_n")))
+        probed.join(original, (F.col("shingle") == F.col("_s")) & (F.col("_larger") == F.col("_l")), "inner")
+        .filter((F.col("_larger") == (F.col("_n") > F.col("n"))) & (least <= F.col("_n")) & (least <= F.col("hits")))
+        .filter((F.col("_at") <= F.col("hits") - least + more) & (F.col("_to") <= F.col("_n") - least + more))
         .groupBy("rep", "third_rep").agg(F.count(F.lit(1)).alias("_shared"), F.any_value(more).alias("_more"))
         .filter("_shared > _more").select("rep", "third_rep")
     )

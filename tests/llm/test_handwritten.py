@@ -97,3 +97,55 @@ def test_every_contained_copy_is_found(spark):
     s = spark.createDataFrame(texts, "file_id long, content string")
     got = {r.file_id for r in H.machine_written(spark, f, s).filter("is_copy").collect()}
     assert got == want
+
+
+def words(rnd, n):
+    return [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+
+
+def test_common_text_makes_no_candidates(spark, monkeypatch):
+    rnd = random.Random(6)
+    blocks = [words(rnd, 45) for _ in range(3)]
+    files, texts = [], []
+
+    def add(n, origin, parts):
+        files.append((n, f"src/{n}.js", origin))
+        texts.append((n, " ".join(parts)))
+
+    for k in range(60):
+        add(k, "dependency", blocks[k % 3] + words(rnd, 60))
+        add(100 + k, "repository", sum(rnd.sample(blocks, 3), []) + words(rnd, 75))
+    want = {200 + k for k in range(6)}
+    for k in range(6):
+        add(200 + k, "repository", texts[2 * k][1].split() + words(rnd, 20))
+    kept, keep = [], H.Scratch.keep
+
+    def spy(self, df):
+        kept.append(keep(self, df))
+        return kept[-1]
+
+    monkeypatch.setattr(H.Scratch, "keep", spy)
+    f = spark.createDataFrame(files, "id long, path string, origin string")
+    s = spark.createDataFrame(texts, "file_id long, content string")
+    assert {r.file_id for r in H.machine_written(spark, f, s).filter("is_copy").collect()} == want
+    (pairs,) = [df for df in kept if df.columns == ["rep", "third_rep"]]
+    assert pairs.count() <= 2 * len(want)
+
+
+def test_full_tables_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(H, "PLACES_MOST", 6)
+    monkeypatch.setattr(H, "MARKS_MOST", 9)
+    monkeypatch.setattr(H, "SLICE", 16)
+    test_every_contained_copy_is_found(spark)
+
+
+def test_marks_and_counts(spark):
+    rnd = random.Random(2)
+    found = list(H.shingle_sets([" ".join(words(rnd, 80)) for _ in range(30)] + [""]))
+    rows = [(k, len(h), h.view("int64").tolist()) for k, h in enumerate(found)]
+    packed = H.frequencies(spark.createDataFrame(rows + rows[:10], "rep long, n long, shingles array<long>"))
+    counts, marks = H.unpacked(packed)
+    assert all(H.probes(h, counts, marks)[0] == len(h) for h in found)
+    other = next(H.shingle_sets([" ".join(words(rnd, 80))]))
+    assert H.probes(other, counts, marks)[0] < 20 and not len(H.probes(other, counts, marks)[1])
+    assert H.frequencies(spark.createDataFrame([], "rep long, n long, shingles array<long>"))[1] == {}
