@@ -81,3 +81,14 @@ def test_links_of_views(spark):
     ]
     links = artifact_links(spark.createDataFrame(rows, VIEWS))
     assert sorted(map(tuple, links.collect())) == [(1, None), (2, 1), (3, 1), (4, 3), (5, None)]
+
+
+def test_all_descendants_of_every_artifact(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    parents = {n: n - 1 for n in range(41, 55)} | {40: None, 60: 50, 61: 60, 70: 71, 71: 70, 72: 71}
+    rows = [(n, p, None, T0, T0, "a", "p") for n, p in parents.items()] + [(40, None, None, T0 - timedelta(1), T0, "a", "p")]
+    spark.createDataFrame(rows, VIEWS).write.parquet(f"{tmp_path}/artifact_views.parquet")
+    got = sorted(map(tuple, queries()["p1_all_descendants"](spark, str(tmp_path)).collect()))
+    assert got == sorted((a, p[-1], len(p) - 1 - k) for p in walk(parents).values() if p for k, a in enumerate(p[:-1]))
+    assert sorted(map(tuple, queries()["p1_descendants"](spark, str(tmp_path)).collect())) == [r for r in got if r[0] % 50 == 0]
